@@ -27,9 +27,21 @@ def local_session(app: str = "docloom", cores: str | int = "*", **settings: str)
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    find_package(spark)
     return spark
 
 
+def find_package(spark: SparkSession) -> None:
+    """Lets Python workers that start in another folder of the same host import this package.
+
+    Clusters ship it in their own way (``--py-files``); a folder that isn't there does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder, by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
