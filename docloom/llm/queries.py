@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import neardup
+from docloom.llm import linededup, neardup, secretscan
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,20 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     groups = neardup.grouped(table(spark, sf_dir, "documents"), width=3, radius=2)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of the secrets in every whole text."""
+    return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines of repeated three-line windows."""
+    cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "lines_total", "lines_removed", "text")
+
+
+ORACLE_SQL["op1_secret_scan"] = secretscan.ORACLE_SQL
+ORACLE_SQL["op3_line_dedup"] = linededup.ORACLE_SQL
