@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import linededup, neardup, secretscan
+from docloom.llm import linededup, neardup, packing, secretscan
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op1_secret_scan"] = secretscan.ORACLE_SQL
 ORACLE_SQL["op3_line_dedup"] = linededup.ORACLE_SQL
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence of at most 2048 tokens."""
+    return packing.packed_pieces(table(spark, sf_dir, "documents"))
