@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, language, linededup, neardup, packing, quality, secretscan
+from docloom.llm import annsearch, decontaminate, language, linededup, neardup, packing, quality, secretscan
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text."""
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every vector whose id is divisible by 50."""
+    return annsearch.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
