@@ -7,7 +7,9 @@ that any later one covers are removed, so overlapping repeats merge.
 
 Repeated windows are found by a grouped minimum, which combines before its shuffle, and only
 windows that repeat are joined back. The join is an inner equi-join on the window's hash, whose
-hot keys adaptive execution splits; no group of copies is gathered or paired.
+hot keys adaptive execution splits; no group of copies is gathered or paired. What a document loses
+(its id and window starts) is broadcast to the texts while there are at most ``MOST_DOCUMENTS`` of
+them with ``MOST_STARTS`` starts, so that texts stay where they are; beyond that both are shuffled.
 
 Defined results: null texts stay null and have no lines; texts under three lines stay; null ids
 come last in the order; rows equal in id and text count as one document and are treated alike;
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import written
 
 WIDTH = 3
+MOST_DOCUMENTS, MOST_STARTS = 1_000_000, 4_000_000
 
 
 def _windows(width: int) -> Column:
@@ -53,6 +56,9 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with ``text`` cleaned, and the columns ``lines_total`` and ``lines_removed`` (long)."""
     found = covered_lines(docs, width).select(F.col("doc_id").alias("covered_id"), F.col("text_hash").alias("covered_hash"), "starts")
     found = written(found, "covered")
+    documents, starts = found.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
+    if documents <= MOST_DOCUMENTS and starts <= MOST_STARTS:
+        found = F.broadcast(found)
     same = F.col("covered_id").eqNullSafe(F.col("doc_id")) & (F.col("covered_hash") == F.xxhash64("text"))
     lines = F.split("text", "\n", -1)
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.array(*[s + k for k in range(width)]))))
