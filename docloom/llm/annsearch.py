@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by a permutation index.
 
-A bounded sample of vectors are pivots. A vector is represented by the order of its ``POSTED``
+Pivots are taken from a bounded sample of vectors, each next one the farthest from those taken, so
+that a crowd of near copies gives one pivot. A vector is represented by the order of its ``POSTED``
 nearest pivots, and posted with its place in that order in the inverted file of each of them. A
 query reads the files of its ``ASKED`` nearest pivots and ranks vectors by the footrule distance of
 the orders, where a pivot that a vector doesn't list counts as one place past its list. The first
-``SHARE`` of each index block, and ``LEAST`` vectors at least, are ranked again by the exact cosine
-in double precision.
+``SHARE`` of each index block, ``LEAST`` vectors at least, and all vectors within ``RADIUS`` of the
+largest footrule distance (so that a crowd of near copies is never cut) are ranked again by the
+exact cosine in double precision.
 
 Every row is indexed: each task builds the inverted files of its rows, ``BLOCK`` at a time, with
 equal vectors once. Queries come in blocks of bounded size that each task reads whole; tasks keep
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import written
 
-PIVOTS, POSTED, ASKED, SHARE, LEAST = 256, 128, 64, 0.2, 512
+PIVOTS, POSTED, ASKED, SHARE, LEAST, RADIUS = 256, 128, 64, 0.2, 512, 0.25
 #: Vectors that pivots are taken from.
 PIVOT_SAMPLE = 1024
 BLOCK = 16_384
@@ -57,6 +59,10 @@ class PermutationIndex:
         """The numbers of the nearest ``first`` pivots of each vector, nearest first."""
         return np.argsort(-(vectors @ self.pivots.T), axis=1, kind="stable")[:, :first]
 
+    def farthest(self, asked: int) -> int:
+        """The distance from an order that shares no pivot."""
+        return int((self.posted - np.arange(asked)).sum())
+
     def footrule(self, asked: np.ndarray) -> np.ndarray:
         """The distance of every row's order from a query's list of pivots."""
         absent = self.posted - np.arange(len(asked))
@@ -67,6 +73,15 @@ class PermutationIndex:
         return total
 
 
+def spread(vectors: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` of the unit vectors, each the least similar to those before it; no copies."""
+    taken, nearest = [0], vectors @ vectors[0]
+    while len(taken) < min(most, len(vectors)) and nearest.min() < 1 - 1e-9:
+        taken.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, vectors @ vectors[taken[-1]])
+    return vectors[taken]
+
+
 def usable(vector: Column) -> Column:
     """A vector as doubles, or null where it takes no part."""
     doubles = vector.cast("array<double>")
@@ -106,8 +121,10 @@ def _search(table: DataFrame, queries: np.ndarray, query_ids: np.ndarray, pivots
                 asked = index.order(queries, min(ASKED, len(pivots)))
             kept = min(len(distinct), max(k + 1, LEAST, -int(-SHARE * len(distinct) // 1)))
             for i, own in enumerate(query_ids.tolist()):
-                ranked = index.footrule(asked[i]).astype(np.int64) * len(distinct) + np.arange(len(distinct))
-                rows = np.argpartition(ranked, kept - 1)[:kept]
+                footrule = index.footrule(asked[i]).astype(np.int64)
+                ranked = footrule * len(distinct) + np.arange(len(distinct))
+                near = int((footrule <= RADIUS * index.farthest(len(asked[i]))).sum())
+                rows = np.argpartition(ranked, max(kept, near) - 1)[: max(kept, near)]
                 score = np.einsum("ij,j->i", distinct[rows], queries[i]) / (index.norms[rows] * norms[i])
                 # All rows that can be among the best k + 1, ties at the last place included.
                 least = np.partition(score, len(score) - min(k + 1, len(score)))[len(score) - min(k + 1, len(score))]
@@ -147,8 +164,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, id_column: str
         sample = alike.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).toArrow()
         vectors = _matrix(sample.column(1))
         vectors = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
-        _, first = np.unique(vectors, axis=0, return_index=True)
-        pivots = vectors[np.sort(first)[:PIVOTS]]
+        pivots = spread(vectors, PIVOTS)
         asked = alike.where(is_query)
         blocks = -(-asked.count() // QUERY_BLOCK)
         for block in range(blocks):
