@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import annsearch, decontaminate, language, linededup, neardup, packing, quality, secretscan
+from docloom.llm import annsearch, decontaminate, language, linededup, neardup, packing, quality, secretscan, warc
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors found for every vector whose id is divisible by 50."""
     return annsearch.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op6_warc_round_trip"] = warc.ORACLE_SQL
