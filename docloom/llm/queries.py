@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import annsearch, decontaminate, language, linededup, neardup, packing, quality, secretscan, warc
+from docloom.llm import annsearch, decontaminate, htmltext, language, linededup, neardup, packing, quality, secretscan, warc
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op6_warc_round_trip"] = warc.ORACLE_SQL
+
+
+@query
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
