@@ -58,9 +58,9 @@ def annot_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annots.applied(notes, ops).select("doc_id", "id", "reply_to", F.md5("payload").alias("digest"))
 
 
-@query("""WITH s AS (SELECT conv_id AS doc_id, role AS page_no, turn AS xref, row_number() OVER w AS at, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations WHERE turn % 6 <> 5 WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn)),
-c AS (SELECT conv_id AS doc_id, role AS page_no, 1000 + turn AS new_xref, row_number() OVER w AS at, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations WHERE conv_id % 3 <> 0 OR turn > 1 WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn))
-SELECT s.doc_id, s.page_no, xref, new_xref FROM s JOIN c USING (doc_id, page_no, at) WHERE s.n = c.n""")
+@query("""WITH s AS (SELECT conv_id AS doc_id, role AS page_no, turn AS xref, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations WHERE turn % 6 <> 5 WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn)),
+c AS (SELECT conv_id AS doc_id, role AS page_no, 1000 + turn AS new_xref, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations WHERE conv_id % 3 <> 0 OR turn > 1 WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn))
+SELECT s.doc_id, s.page_no, xref, new_xref FROM s JOIN c USING (doc_id, page_no, place) WHERE s.n = c.n""")
 def xref_zip_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of copied pages by position, where their numbers agree."""
     turns = table(spark, sf_dir, "conversations")
