@@ -170,9 +170,10 @@ def links(fps: DataFrame, radius: int = 2, shard_limit: int = 2000, depth: int =
         shards = shards.unionByName(more)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:  # a task without rows
             return
+        rows = pa.Table.from_batches(held)
         path, agreed, fp = (rows.column(c).to_numpy() for c in ("path", "agreed", "fp"))
         order = np.lexsort((fp, agreed, path))
         path, agreed, fp = path[order], agreed[order], fp[order].view(np.uint64)
