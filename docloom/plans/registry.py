@@ -45,4 +45,4 @@ class Relation:
             return f"CAST({text} AS {types[kind]})"
 
         rows = ", ".join("(" + ", ".join(written(v, k) for v, (_, k) in zip(r, fields, strict=True)) + ")" for r in self.rows)
-        return f"{self.name}({', '.join(n for n, _ in fields)}) AS (VALUES {rows})"
+        return f"{self.name}({', '.join(f'"{n}"' for n, _ in fields)}) AS (VALUES {rows})"
