@@ -97,7 +97,7 @@ def paths_to_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 HISTORY = Relation("h", "pos int, op string, at int, depth int, saved int, dirty boolean", [(1, "do", 1, 1, 0, True), (2, "do", 2, 2, 0, True), (3, "save", 2, 2, 2, False), (4, "undo", 1, 2, 2, True), (5, "redo", 2, 2, 2, False), (6, "undo", 1, 2, 2, True), (7, "do", 2, 2, -1, True), (8, "redo", 2, 2, -1, True), (9, "undo", 1, 2, -1, True), (10, "undo", 0, 2, -1, True), (11, "undo", 0, 2, -1, True)])
 
 
-@query(f"WITH {HISTORY.cte} SELECT pos, "at", depth, saved, dirty FROM h")
+@query(f'WITH {HISTORY.cte} SELECT pos, "at", depth, saved, dirty FROM h')
 def undo_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of an undo history after each event."""
     events = HISTORY.frame(spark).select(F.lit("d").alias("doc_id"), "pos", "op")
