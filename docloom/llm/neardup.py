@@ -192,10 +192,10 @@ def links(fps: DataFrame, radius: int = 2, shard_limit: int = 2000, depth: int =
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected component, for the nodes of ``edges`` (a, b).
+    """(node, label): the nodes of ``edges`` (a, b) with one node that stands for their connected component.
 
     Alternates the large-star and small-star steps, each a group and a join over the edges, until
-    the edges are stars around their smallest nodes. Each round is written, so lineage stays short.
+    the edges are stars. Each round is written, so lineage stays short.
     """
 
     def stars(pairs: DataFrame) -> DataFrame:
@@ -212,18 +212,16 @@ def components(edges: DataFrame) -> DataFrame:
         hung = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return hung.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    def mark(pairs: DataFrame) -> tuple:
-        return pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def settled(pairs: DataFrame) -> bool:
+        """Whether each node hangs on one other that hangs on none."""
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e")
+        nodes = pairs.select(ends).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("least"))
+        return not nodes.where("up > 1 OR (up > 0 AND least = 0)").head(1)
 
     current = written(edges.where("a <> b"), "edges")
-    before = mark(current)
-    while True:
-        after_round = written(small(stars(current)), "stars")
-        discard(current)
-        current, now = after_round, mark(after_round)
-        if now == before:
-            break
-        before = now
+    while not settled(current):
+        before, current = current, written(small(stars(current)), "stars")
+        discard(before)
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 

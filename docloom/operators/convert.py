@@ -134,3 +134,27 @@ def warnings_summary(results: DataFrame) -> DataFrame:
     """(warning, n, name): each warning with the number of files, and the file's name if it is one."""
     rows = results.select("path", F.explode("warnings").alias("warning")).distinct()
     return rows.groupBy("warning").agg(F.count("*").alias("n"), F.when(F.count("*") == 1, F.first("path")).alias("name"))
+
+
+def ole2_kind(content: Column) -> Column:
+    """Struct (kind, sub) of an old office file by the names of its streams, wherever they stand; null if it has neither."""
+    hexed = F.hex(content)
+    has = lambda name: F.contains(hexed, F.lit(name.encode("utf-16-le").hex().upper()))
+    kind = lambda s: F.struct(F.lit("word").alias("kind"), F.lit(s).alias("sub"))
+    return F.when(has("WordDocument"), kind("doc")).when(has("EncryptedPackage"), kind("sifreli"))
+
+
+def digest_state(content: Column, digests: Column) -> Column:
+    """Struct (state, algorithm): ``consistent`` if some digest (hex) is that of the content, ``inconsistent`` if digests of known length are all others', else ``unknown``."""
+    known = {40: ("SHA-1", F.sha1(content)), 64: ("SHA-256", F.sha2(content, 256)), 96: ("SHA-384", F.sha2(content, 384)), 128: ("SHA-512", F.sha2(content, 512))}
+
+    def name(d: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for length, (algorithm, _) in known.items():
+            out = F.when(F.length(d) == length, algorithm).otherwise(out)
+        return out
+
+    right = F.filter(digests, lambda d: F.lower(d).isin(*[value for _, value in known.values()]))
+    sized = F.filter(digests, lambda d: name(d).isNotNull())
+    state = lambda s, d: F.struct(F.lit(s).alias("state"), d.alias("algorithm"))
+    return F.when(F.size(right) > 0, state("consistent", name(F.get(right, F.lit(0))))).when(F.size(sized) > 0, state("inconsistent", name(F.get(sized, F.lit(0))))).otherwise(state("unknown", F.lit(None).cast("string")))

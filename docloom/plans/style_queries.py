@@ -210,3 +210,26 @@ def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = table(spark, sf_dir, "documents")
     stream = hits.pages(spark, f"{sf_dir}/documents.parque[t]", batch.schema)  # a glob takes a file or a folder
     return hits.delivered(hits.hits(stream, "the of")).select("doc_id", "start")
+
+
+SETUPS = Relation(
+    "p",
+    'paper string, orientation string, l string, r string, t string, b string, width double, height double, "left" double, "right" double, top double, bottom double'.replace('"', ""),
+    [("A4", "1", "50", "900", None, "-1", 595.28, 841.89, 50.0, 238.112, 42.52, 14.17), ("2", "0", "10", "20", "30", "40", 595.28, 419.53, 40.0, 30.0, 10.0, 20.0), ("letter", "2", "10", "20", "30", "40", 792.0, 612.0, 30.0, 40.0, 20.0, 10.0), ("odd", None, None, None, None, None, 595.28, 841.89, 42.52, 28.35, 42.52, 14.17)],
+)
+
+
+@query(f'WITH {SETUPS.cte} SELECT paper, orientation, width, height, "left", "right", top, bottom FROM p')
+def page_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as they are seen, with their margins."""
+    setup = styles.page_setup(F.col("paper"), F.col("orientation"), {"left": F.col("l"), "right": F.col("r"), "top": F.col("t"), "bottom": F.col("b")})
+    return SETUPS.frame(spark).select("paper", "orientation", setup.alias("s")).select("paper", "orientation", "s.*")
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'consistent' WHEN 1 THEN 'inconsistent' ELSE 'unknown' END AS state, CASE doc_id % 3 WHEN 0 THEN 'SHA-256' WHEN 1 THEN 'SHA-1' END AS algorithm FROM documents""")
+def signature_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a signature's digests are those of the content."""
+    content = F.col("text").cast("binary")
+    n = F.col("doc_id") % 3
+    digests = F.when(n == 0, F.array(F.lit("0" * 40), F.upper(F.sha2(content, 256)))).when(n == 1, F.array(F.lit("ab"), F.lit("0" * 40))).otherwise(F.array(F.lit("ab")))
+    return table(spark, sf_dir, "documents").select("doc_id", convert.digest_state(content, digests).alias("s")).select("doc_id", "s.*")

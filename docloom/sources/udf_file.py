@@ -8,6 +8,7 @@ archives are read within limits. A file that can't be read gives one row with it
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -166,3 +167,41 @@ def data(found: DataFrame) -> DataFrame:
 def entries(found: DataFrame) -> DataFrame:
     """The entries of archives, with the first characters of each."""
     return _relation(found, ENTRIES, _entries)
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """(path, signed, format_id, paper, orientation, left, right, top, bottom) of archives by the first characters of their content, without reading the rest."""
+    from pyspark.sql import functions as F
+
+    parts = entries(found).where("error IS NULL").groupBy("path").agg(
+        F.max(F.when(F.col("name") == "content.xml", F.col("head"))).alias("head"),
+        F.bool_or((F.col("name") == "sign.sgn") | F.lower("name").endswith(".p7s")).alias("signed"),
+    )
+    page = F.regexp_extract("head", r"(?i)<pageFormat\b([^>]*)>", 1)
+    value = lambda text, name: F.nullif(F.regexp_extract(text, rf'\b{name}\s*=\s*"([^"]*)"', 1), F.lit(""))
+    sides = [F.round(value(page, f"{side}Margin").try_cast("double"), 2).alias(side) for side in ("left", "right", "top", "bottom")]
+    return parts.select("path", "signed", value(F.col("head"), "format_id").alias("format_id"), F.coalesce(value(page, "mediaSizeName"), F.lit("1")).alias("paper"), value(page, "paperOrientation").alias("orientation"), *sides)
+
+
+def decoded(content: bytes) -> str:
+    """Text by its byte-order mark, else by the encoding that it declares, else UTF-8, else the Turkish code page."""
+    for mark, encoding in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if content.startswith(mark):
+            return content[len(mark) :].decode(encoding, "replace")
+    declared = re.match(rb"""\s*<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9._-]{1,40})["']""", content[:256])
+    for encoding in filter(None, (declared and declared[1].decode(), "utf-8", "cp1254")):
+        try:
+            return content.decode(encoding)
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return content.decode("cp1254", "replace")
+
+
+def texts(found: DataFrame) -> DataFrame:
+    """(path, text): files of bare text, decoded."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "text": [decoded(bytes(c)) for c in batch["content"]]})
+
+    return found.select("path", "content").mapInPandas(read, "path string, text string")

@@ -63,3 +63,16 @@ def test_stream_gives_each_place_once(spark, tmp_path):
     stream = hits.pages(spark, str(tmp_path / "in"), rows.schema, files_per_batch=1)
     got = sorted(tuple(r) for r in hits.delivered(hits.hits(stream, "a b")).collect())
     assert got == [(1, 0, 3), (1, 4, 7)]
+
+
+def test_summary_and_text_encodings(spark, tmp_path):
+    from docloom.operators import convert
+
+    xml = '<template format_id="1.8"><content/><properties><pageFormat mediaSizeName="2" paperOrientation="0" leftMargin="42.5199"/></properties></template>'
+    (tmp_path / "a.udf").write_bytes(zipped(content__xml=xml, sign__sgn="x"))
+    row = udf_file.summary(udf_file.files(spark, str(tmp_path))).first()
+    assert (row.signed, row.format_id, row.paper, row.orientation, row.left, row.right) == (True, "1.8", "2", "0", 42.52, None)
+    assert udf_file.decoded("ğ".encode("cp1254")) == "ğ" and udf_file.decoded("﻿ğ".encode("utf-16-le")) == "ğ" and udf_file.decoded("ğ".encode()) == "ğ"
+    assert udf_file.decoded('<?xml version="1.0" encoding="iso-8859-9"?>ğ'.encode("iso-8859-9")).endswith("ğ")
+    old = spark.createDataFrame([(b"x" * 600 + name.encode("utf-16-le"),) for name in ("WordDocument", "EncryptedPackage", "none")], "c binary")
+    assert [r[0] and r[0].sub for r in old.select(convert.ole2_kind(F.col("c"))).collect()] == ["doc", "sifreli", None]
