@@ -39,6 +39,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Texts of these characters alone are split alike by both libraries; others go to ``tokenizers``.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ‐-‧]*")
+#: A run of white space this long goes to ``tokenizers`` too: the faster library overflows its stack on long ones.
+LONG_BLANK = re.compile(r"\s{1000}")
 
 
 @functools.cache
@@ -61,7 +63,7 @@ def _fast(path: str):
 
 def token_ids(text: str, tokenizer: str = TOKENIZER, ranks: str | None = RANKS) -> list[int]:
     """The ids of ``tokenizers`` without added special tokens; by the rank file of the same vocabulary where both agree."""
-    if ranks and PLAIN.fullmatch(text) and "<|" not in text:
+    if ranks and PLAIN.fullmatch(text) and "<|" not in text and not LONG_BLANK.search(text):
         return _fast(ranks).encode_ordinary(text)
     return _reference(tokenizer).encode(text, add_special_tokens=False).ids
 

@@ -103,6 +103,11 @@ def test_both_libraries_agree_on_plain_characters():
             assert packing._fast(packing.RANKS).encode_ordinary(text) == packing._reference(packing.TOKENIZER).encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_long_runs_get_the_ids_of_the_tokenizer():
+    for text in (" " * 999 + "a", "a" * 5000, "!" * 3000, (" \n" * 499 + "x") * 3, " " * 200_000, "\n" * 200_000 + "a"):
+        assert packing.token_ids(text) == packing.token_ids(text, ranks=None)
+
+
 def test_bounds_and_exchange(spark):
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 101, 400)
