@@ -244,16 +244,21 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     Ids that several rows share: the row with the smallest text hash, once. Rows without an id form
     components only with each other or below rows with ids, by the same rule.
     """
-    groups = written(grouped(docs, width, radius), "groups")
-    named = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     anchor = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    kept = groups.groupBy(anchor.alias("anchor")).agg(F.min(named).alias("n")).select("n.doc_id", "n.text_hash")
+    groups = grouped(docs, width, radius).select("doc_id", "text_hash", "component_id", "fp")
+    return stay(docs, written(groups.withColumn("anchor", anchor), "groups"))
+
+
+def stay(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the smallest id, then text hash, of each ``anchor`` of the written table ``groups`` (doc_id, text_hash, anchor)."""
+    named = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    kept = groups.groupBy("anchor").agg(F.min(named).alias("n")).select("n.doc_id", "n.text_hash")
     kept = written(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")), "kept")
     same = (F.col("kept_id").eqNullSafe(F.col("doc_id"))) & (F.col("kept_hash") == F.xxhash64("text"))
-    stay = docs.join(kept, same, "left_semi")
+    found = docs.join(kept, same, "left_semi")
     repeats = groups.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
     if not repeats.head(1):
-        return stay
+        return found
     again = repeats.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
-    once = stay.join(again, same, "left_anti")
-    return once.unionByName(stay.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = found.join(again, same, "left_anti")
+    return once.unionByName(found.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
