@@ -35,6 +35,18 @@ def islands(pages: DataFrame, key: str, page: str = "page_no") -> DataFrame:
     return marked.groupBy(key, "island").agg(F.min(page).alias("first"), F.max(page).alias("last")).drop("island")
 
 
+def summaries(pages: DataFrame, key: str, page: str = "page_no") -> DataFrame:
+    """(key, summary): the runs of each key's pages in short, as ``ranges.page_summary`` writes them, with at most four runs of a key in one place."""
+    runs = islands(pages, key, page).withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.col("first").asc_nulls_last())))
+    text = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("–", F.col("first").cast("string"), F.col("last").cast("string")))
+    shown = F.when((F.col("k") <= 4) & F.col("first").isNotNull(), F.struct("k", text.alias("text")))
+    found = runs.groupBy(key).agg(F.array_sort(F.collect_list(shown)).alias("shown"), F.count("first").alias("n"), F.sum(F.col("last") - F.col("first") + 1).alias("pages"))
+    texts = F.transform("shown", lambda s: s.text)
+    short = F.concat(F.array_join(F.slice(texts, 1, 3), ", "), F.lit(" … ("), F.col("pages").cast("string"), F.lit(" sayfa)"))
+    body = F.when(F.col("n") > 4, short).otherwise(F.array_join(texts, ", "))
+    return found.select(key, F.when(F.col("n") == 0, "").otherwise(F.concat(F.lit("s. "), body)).alias("summary"))
+
+
 def build_recipe(recipe: DataFrame, pages: DataFrame) -> DataFrame:
     """Each page of a recipe with its source page's size and its rotation.
 

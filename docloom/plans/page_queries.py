@@ -66,8 +66,8 @@ t AS (SELECT source, a, row_number() OVER (PARTITION BY source ORDER BY a) AS k,
 SELECT source, 's. ' || CASE WHEN max(m) > 4 THEN string_agg(x, ', ' ORDER BY a) FILTER (k <= 3) || ' … (' || CAST(max(n) AS BIGINT) || ' sayfa)' ELSE string_agg(x, ', ' ORDER BY a) END AS summary FROM t GROUP BY source""")
 def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page numbers in short: runs, and of many runs the first three."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").groupBy("source").agg(F.collect_list(F.col("doc_id").cast("int")).alias("p"))
-    return docs.select("source", ranges.page_summary(F.col("p")).alias("summary"))
+    docs = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("source", F.col("doc_id").cast("int").alias("d"))
+    return pages.summaries(docs, "source", "d")
 
 
 @query("""WITH p AS (SELECT DISTINCT source, doc_id FROM documents WHERE doc_id % 3 <> 0),
