@@ -6,7 +6,7 @@ bounded size and each group is packed by best-fit decreasing in one task. Dual-f
 give a lower bound of the group's bins; a group that meets its bound is certified. Then groups with
 a gap, and the slack bins of certified groups, exchange their pieces: they are pooled, dealt out
 anew and packed again, and the new packing is taken if it has fewer bins. Rounds end when nothing
-is pooled or gained.
+is pooled or gained; each one but the last saves a bin, so they end.
 
 Only piece numbers and lengths travel in the rounds; the ids stay where they were written.
 
@@ -17,6 +17,7 @@ itself; null ids are kept; an empty table gives no rows; of other columns only `
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,13 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import parts_for, written
+from docloom.llm.common import discard, parts_for, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces packed together in one task.
 GROUP = 50_000
-MOST_ROUNDS = 4
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Texts of these characters alone are split alike by both libraries; others go to ``tokenizers``.
@@ -175,7 +175,7 @@ def _packed_groups(items: DataFrame, number: int, groups: int, capacity: int) ->
         order = np.argsort(slots)  # rows come in any order
         slots, lengths = slots[order], lengths[order]
         bins, offsets, room = best_fit_decreasing(lengths, capacity)
-        first = number << 56 | int(group.column("dealt")[0].as_py()) << 24
+        first = number << 48 | int(group.column("dealt")[0].as_py()) << 24
         met = len(room) == lower_bound(lengths, capacity)
         columns = [slots, lengths, first + bins, offsets, room[bins], np.full(len(slots), met)]
         return pa.table([pa.array(c) for c in columns], names=["slot", "length", "sequence_id", "offset", "room", "certified"])
@@ -188,7 +188,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     """(slot, sequence_id, offset) of each piece of the written table ``items`` (slot, length)."""
     items = items.select("slot", "length")
     packed = written(_packed_groups(items, 0, parts_for(items.count(), group), capacity), "packed")
-    for number in range(1, MOST_ROUNDS + 1):
+    for number in itertools.count(1):
         pooled = ~F.col("certified") | (F.col("room") >= capacity // 4)
         pool, rest = packed.where(pooled), packed.where(~pooled)
         size, before = pool.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
@@ -197,7 +197,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         again = written(_packed_groups(pool.select("slot", "length"), number, parts_for(size, group), capacity), "repacked")
         if again.where("offset = 0").count() >= before:
             break
-        packed = written(rest.unionByName(again), "packed")
+        before_it, packed = packed, written(rest.unionByName(again), "packed")
+        discard(before_it)
+        discard(again)
     return packed.select("slot", "sequence_id", "offset")
 
 
