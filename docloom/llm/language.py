@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import crc32_of_id
+from docloom.llm.common import broadcast_if_small, crc32_of_id, written
 
 LONGEST = 4
 SPACE = 1 << 14
 UNDETERMINED = "und"
 #: Rows of each language that are learnt from, landmarks of each language, and languages at most.
-SAMPLE, LANDMARKS, MOST_LANGUAGES = 800, 48, 200
+SAMPLE, LANDMARKS = 800, 48
+MOST_BROADCAST = 1_000_000
 RIDGE = 1e-3
 TEXTS_AT_ONCE = 256
 CHARACTERS_AT_ONCE = 1 << 20
@@ -97,11 +98,14 @@ def held_out() -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model | None:
     """Learns from at most ``sample`` rows of each language that are not held out; None without any."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    some = ranked.withColumn("rank", rank).where(F.col("rank") <= sample).limit(sample * MOST_LANGUAGES)
-    some = F.broadcast(some.select(F.col("doc_id").alias("chosen"), "rank", F.col("lang").alias("of")).dropDuplicates(["chosen", "of"]))
-    rows = known.join(some, F.col("chosen").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("lang"))).select("lang", "rank", "text")
+    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("text_hash"))
+    # Rows equal in id, language and text have one rank and are learnt from once.
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text_hash"))
+    some = ranked.withColumn("rank", rank).where(F.col("rank") <= sample)
+    some = some.select(F.col("doc_id").alias("chosen"), F.col("text_hash").alias("chosen_hash"), "rank", F.col("lang").alias("of")).distinct()
+    some = broadcast_if_small(written(some, "chosen"), MOST_BROADCAST)
+    same = F.col("chosen").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("lang")) & (F.col("chosen_hash") == F.xxhash64("text"))
+    rows = known.join(some, same).select("lang", "rank", "text")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +114,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Mo
                 bits = np.packbits(_presences(part.column(2).to_pylist()).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "rank", "bits"])
 
-    found = rows.mapInArrow(packed, "lang string, rank int, bits binary").limit(sample * MOST_LANGUAGES).toPandas()
+    found = rows.mapInArrow(packed, "lang string, rank int, bits binary").dropDuplicates(["lang", "rank"]).toPandas()
     if not len(found):
         return None
     found = found.sort_values(["lang", "rank", "bits"])  # tasks end in any order
