@@ -119,11 +119,11 @@ def test_hashes(items: DataFrame) -> DataFrame:
 
 
 def _classes(benchmark: DataFrame) -> DataFrame:
-    """(item, text, n): one row for the items with equal tokens, and their number of tokens."""
+    """(item, item_id, text): one row for the items with equal tokens, known by the tokens' hash; the smallest id, null if none has one."""
     tokens = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)), " ")
     keyed = benchmark.where(F.col("text").isNotNull()).select("item_id", "text", F.sha2(tokens, 256).alias("same"))
-    least = keyed.groupBy("same").agg(F.min_by("text", "item_id").alias("text"), F.min("item_id").alias("item"))
-    return least.select("item", "text")
+    first = F.min(F.struct(F.col("item_id").isNull().alias("last"), "item_id", "text")).alias("first")
+    return keyed.groupBy("same").agg(first).select(F.xxhash64("same").alias("item"), "first.item_id", "first.text")
 
 
 def training_hits(docs: DataFrame, test: DataFrame, short: bool) -> DataFrame:
@@ -197,9 +197,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     agreeing, neg_at = max((a, -at) for a, at in (agreement(item, doc, int(s)) for s in hit["shifts"]))
                     if agreeing:
                         rows.append((doc_id, text_hash, hit["item"], agreeing, -neg_at))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "item_id", "agreeing", "doc_token"]).astype({"doc_id": batch["doc_id"].dtype})
+            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "item", "agreeing", "doc_token"]).astype({"doc_id": batch["doc_id"].dtype})
 
-    return due.mapInPandas(verified, f"doc_id {types['doc_id']}, text_hash long, item_id {types['item']}, agreeing long, doc_token long")
+    found = due.mapInPandas(verified, f"doc_id {types['doc_id']}, text_hash long, item {types['item']}, agreeing long, doc_token long")
+    ids = broadcast_if_small(items.select("item", "item_id"), MOST_BROADCAST)
+    return found.join(ids, "item").select("doc_id", "text_hash", "item_id", "agreeing", "doc_token")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
