@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import written
+
 MOST_HOPS = 32
 
 
@@ -38,17 +40,20 @@ def applied(annots: DataFrame, ops: DataFrame) -> DataFrame:
     return rows.unionByName(ops.where("op = 'add'").select("doc_id", "id", "reply_to", "payload"))
 
 
-def with_replies(annots: DataFrame, deleted: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
-    """(doc_id, id): ``deleted`` and all that reply to them, through other replies too; a recursive query."""
-    return annots.sparkSession.sql(
-        f"""WITH RECURSIVE gone AS (
-              SELECT doc_id, id, 0 AS hop FROM {{deleted}}
-              UNION ALL
-              SELECT a.doc_id, a.id, g.hop + 1 FROM gone g JOIN {{annots}} a ON a.doc_id = g.doc_id AND a.reply_to = g.id WHERE g.hop < {hops})
-            SELECT DISTINCT doc_id, id FROM gone""",
-        deleted=deleted.select("doc_id", "id"),
-        annots=annots.select("doc_id", "id", "reply_to"),
-    )
+def with_replies(annots: DataFrame, deleted: DataFrame) -> DataFrame:
+    """(doc_id, id): ``deleted`` and all that reply to them, through other replies too, at any depth.
+
+    Each round takes the replies to what the round before found; ids found already don't count, so
+    cycles end. Rounds are written, so lineage stays short.
+    """
+    replies = annots.select("doc_id", F.col("reply_to").alias("to"), F.col("id").alias("reply"))
+    gone = frontier = written(deleted.select("doc_id", "id").distinct(), "gone")
+    while frontier.head(1):
+        reached = frontier.join(replies.withColumnRenamed("doc_id", "of"), (F.col("of") == F.col("doc_id")) & (F.col("to") == F.col("id")))
+        reached = reached.select("doc_id", F.col("reply").alias("id")).distinct()
+        frontier = written(reached.join(gone, ["doc_id", "id"], "left_anti"), "replies")
+        gone = gone.unionByName(frontier)
+    return gone
 
 
 def xref_map(source: DataFrame, copies: DataFrame) -> DataFrame:
