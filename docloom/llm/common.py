@@ -2,38 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+from docloom.session import scratch_path, shared_dir, table
 
-    Where it is unset, a local session gets a folder of its own (tests); a cluster must set it.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = context.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="docloom-")
-    return _own_dirs[app]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
+__all__ = ["broadcast_if_small", "crc32_of_id", "discard", "parts_for", "scratch_path", "shared_dir", "table", "unlike", "written"]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -60,6 +34,17 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def unlike(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with signs added until no column of ``df`` has one of them, in whatever case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def parts_for(rows: int, rows_per_part: int) -> int:
     return max(1, -(-rows // rows_per_part))
 
