@@ -6,14 +6,12 @@ Texts are compared in a form that keeps their length, so positions are those of
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+from docloom.functions.arrays import bind, spans
 from docloom.functions.text import GLYPHS_SAME_LENGTH, search_form
 
 HIT = "array<struct<start:int,end:int>>"
@@ -59,37 +57,38 @@ def hit_count(text: Column, query: str, case_sensitive: bool = False) -> Column:
     return F.coalesce(F.regexp_count(search_form(text, case_sensitive), F.lit("(?U)" + pattern)), F.lit(0))
 
 
-def positions(text: Column, query: str, case_sensitive: bool = False) -> Column:
-    """Structs (start, end) of the non-overlapping matches, in code points, from matches and the gaps between them."""
+def positions(text: Column, query: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:
+    """Structs (start, end) of the non-overlapping matches, in code points, from matches and the gaps between them.
+
+    ``whole_word``: only those that no letter or digit touches. They are filtered after matching, so what was taken stays taken.
+    """
     pattern = search_pattern(normal_query(query, case_sensitive))
+    nothing = F.array().cast(HIT)
     if not pattern:
-        return F.array().cast(HIT)
-    form = search_form(text, case_sensitive)
-    found = F.regexp_extract_all(form, F.lit("(?U)(" + pattern + ")"), F.lit(1))
-    gaps = F.slice(F.split(form, "(?U)" + pattern, -1), F.lit(1), F.size(found))
-    sizes = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size")))
+        return nothing
 
-    def step(done: Column, s: Column) -> Column:
-        start, end = done.at + s.gap, done.at + s.gap + s.size
-        return F.struct(end.alias("at"), F.concat(done.hits, F.array(F.struct(start.alias("start"), end.alias("end")))).alias("hits"))
+    def matched(form: Column) -> Column:
+        found = F.regexp_extract_all(form, F.lit("(?U)(" + pattern + ")"), F.lit(1))
+        parts = F.struct(found.alias("found"), F.split(form, "(?U)" + pattern, -1).alias("pieces"))
+        placed = bind(parts, lambda p: free_of_words(p.pieces, p.found) if whole_word else spans(p.pieces, p.found))
+        return F.when(form.rlike("(?U)" + pattern), placed).otherwise(nothing)
 
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(HIT).alias("hits"))
-    return F.when(F.size(found) > 0, F.aggregate(sizes, nothing, step, lambda d: d.hits)).otherwise(F.array().cast(HIT))
+    return bind(search_form(text, case_sensitive), matched)
 
 
-def whole_words(text: Column, hits: Column, case_sensitive: bool = False) -> Column:
-    """The hits that no letter or digit touches. They are filtered after matching, so what was taken stays taken."""
-    form = search_form(text, case_sensitive)
-    touches = lambda at: F.substring(form, at, F.lit(1)).rlike(r"[\p{L}\p{N}]")
-    return F.filter(hits, lambda h: ~F.when(h.start > 0, touches(h.start)).otherwise(False) & ~F.coalesce(touches(h.end + 1), F.lit(False)))
+def free_of_words(pieces: Column, found: Column) -> Column:
+    """The spans of the matches ``found`` between ``pieces`` with neither a letter nor a digit on either side."""
+    n, is_word = F.size(found), r"[\p{L}\p{N}]"
+    before = F.zip_with(F.slice(pieces, F.lit(1), n), F.concat(F.array(F.lit("")), F.slice(found, F.lit(1), n - 1)), lambda gap, m: F.right(F.concat(m, gap), F.lit(1)).rlike(is_word))
+    after = F.zip_with(F.slice(pieces, F.lit(2), n), F.concat(F.slice(found, F.lit(2), n - 1), F.array(F.lit(""))), lambda gap, m: F.left(F.concat(gap, m), F.lit(1)).rlike(is_word))
+    touched = F.zip_with(before, after, lambda a, b: a | b)
+    marked = F.filter(F.zip_with(spans(pieces, found), touched, lambda s, t: F.struct(s.alias("span"), t.alias("touched"))), lambda m: ~m.touched)
+    return F.transform(marked, lambda m: m.span)
 
 
 def search(pages: DataFrame, query: str, case_sensitive: bool = False, whole_word: bool = False, text: str = "text") -> DataFrame:
     """``pages`` with a row for each hit: ``start`` and ``end``. Null texts have none."""
-    hits = positions(F.col(text), query, case_sensitive)
-    if whole_word:
-        hits = whole_words(F.col(text), hits, case_sensitive)
-    return pages.select("*", F.inline(hits))
+    return pages.select("*", F.inline(positions(F.col(text), query, case_sensitive, whole_word)))
 
 
 def count_by_document(pages: DataFrame, query: str, case_sensitive: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,13 +142,3 @@ def page_texts(items: DataFrame) -> DataFrame:
     own, read = joined(False), joined(True)
     gap = F.when((own != "") & F.exists("parts", lambda p: p.late), "\n").otherwise("")
     return pages.select("doc_id", "page_no", F.concat(own, gap, read).alias("text"), (F.length(own) + F.length(gap)).alias("recognised_from"))
-
-
-@F.pandas_udf(ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType())))
-def _python_positions(texts: pd.Series, patterns: pd.Series) -> pd.Series:
-    return pd.Series([[m.span() for m in re.finditer(p, t)] if t is not None and p else [] for t, p in zip(texts, patterns, strict=True)])
-
-
-def positions_of_each(text: Column, pattern: Column) -> Column:
-    """As ``positions``, for a pattern of its own on each row."""
-    return _python_positions(text, pattern)
