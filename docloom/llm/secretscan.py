@@ -11,6 +11,9 @@ Postings are grouped by block of about ``BLOCK`` documents, so a trigram that a
 documents hold makes no large group. Candidates are narrow rows; they are broadcast while there
 are at most ``MOST_BROADCAST`` and joined by shuffle beyond.
 
+Only some trigrams of a literal run are posted, one after the other without overlap, which keeps the
+index small and loses no candidate.
+
 Defined results: null texts count as empty; null ids are kept; rows with equal ids are scanned
 each for itself; an empty table gives no rows; other columns pass through or are not read.
 """
@@ -27,12 +30,14 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.arrays import bind, spans
 from docloom.llm.common import broadcast_if_small, parts_for, written
 
 BLOCK = 8192
 MOST_BROADCAST = 2_000_000
 #: Above so many alternatives a literal run is cut into the trigrams it has so far.
 MOST_STRINGS = 64
+MOST_MEMBERS = 6
 
 
 @dataclass(frozen=True)
@@ -54,6 +59,17 @@ BASE_RULES = (
     Rule("access", "AKIA[A-Z0-9]{16,}"),
     Rule("hex", "[0-9a-f]{24,}"),
 )
+#: Forms of published tokens, keys and connection strings, fixed values.
+MORE_RULES = (
+    Rule("private_key", "-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("git_token", "gh[opsur]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("map_key", "AIza[A-Za-z0-9_-]{35}"),
+    Rule("pay_key", "[rs]k_live_[A-Za-z0-9]{24,}"),
+    Rule("login_url", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D:/@]{1,64}:[^\x20\x09-\x0D:/@]{1,64}@[A-Za-z0-9]"),
+)
+RULES = BASE_RULES + MORE_RULES
 
 Clauses = frozenset  # of frozensets of trigrams; the clause without trigrams is always true
 ALWAYS: Clauses = frozenset([frozenset()])
@@ -71,20 +87,20 @@ def _both(a: Clauses, b: Clauses) -> Clauses:
 
 
 def _trigrams(strings: frozenset[str]) -> Clauses:
-    return reduce(_either, (frozenset([frozenset(s[i : i + 3] for i in range(len(s) - 2))]) for s in strings))
+    return reduce(_either, (frozenset([frozenset(s[i : i + 3] for i in {*range(0, len(s) - 2, 3), max(0, len(s) - 3)} if len(s) > 2)]) for s in strings))
 
 
 def _set_members(items: list) -> frozenset[str] | None:
-    """The lower-case members of a small character class, or None."""
+    """The lower-case members of a character class of at most MOST_MEMBERS, or None."""
     found: set[str] = set()
     for kind, value in items:
         if kind is sre.LITERAL:
             found.add(chr(value).lower())
-        elif kind is sre.RANGE and value[1] - value[0] < 4:
+        elif kind is sre.RANGE and value[1] - value[0] < MOST_MEMBERS:
             found |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
         else:
             return None
-    return frozenset(found) if len(found) <= 4 else None
+    return frozenset(found) if len(found) <= MOST_MEMBERS else None
 
 
 def _query(items: list) -> tuple[frozenset[str] | None, Clauses]:
@@ -165,22 +181,17 @@ def candidates(index: DataFrame, queries: dict[str, Clauses]) -> DataFrame:
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Structs (start, rank, kind, end) of the matches of one rule, in code points."""
-    pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    group = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole))
-    sizes = F.zip_with(gaps, F.zip_with(whole, group, lambda w, g: F.struct(F.length(w).alias("w"), F.length(g).alias("g"))), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.w.alias("w"), m.g.alias("g")))
-    empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    whole, group = (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g)) for g in (0, rule.group))
+    parts = F.struct(whole.alias("whole"), F.split(text, rule.pattern, -1).alias("pieces"), group.alias("group"))
 
-    def step(done: Column, m: Column) -> Column:
-        start = done.at + m.gap
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (start + m.w).alias("end"))
-        return F.struct((start + m.w).alias("at"), F.when(m.g >= rule.least, F.concat(done.spans, F.array(span))).otherwise(done.spans).alias("spans"))
+    def kept(p: Column) -> Column:
+        found = F.zip_with(spans(p.pieces, p.whole), p.group, lambda s, g: F.struct(s.start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), s.end.alias("end"), F.length(g).alias("size")))
+        return F.transform(F.filter(found, lambda s: s["size"] >= rule.least), lambda s: F.struct(s.start.alias("start"), s["rank"].alias("rank"), s.kind.alias("kind"), s.end.alias("end")))
 
-    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda done: done.spans)
+    return bind(parts, kept)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` (doc_id, text, ...) as doc_id and ``spans``: structs (start, rank, kind, end) of all secrets by start, then rule."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id"))
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
@@ -200,8 +211,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     return rows.select("doc_id", F.array_sort(F.flatten(F.array(*parts))).alias("spans"))
 
 
-def digest(scanned: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
-    """doc_id, the count of each kind, base_sha256 and spans as text."""
+def digest(scanned: DataFrame) -> DataFrame:
+    """doc_id, the count of each base kind, base_sha256 and all spans as text."""
     base = {rule.kind for rule in BASE_RULES}
 
     def joined(spans: Column) -> Column:
@@ -210,8 +221,8 @@ def digest(scanned: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFram
     def number(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [number(rule.kind) for rule in rules]
-    base_spans = F.filter("spans", lambda s: s.kind.isin(*base)) if len(rules) > len(base) else F.col("spans")
+    counts = [number(rule.kind) for rule in BASE_RULES]
+    base_spans = F.filter("spans", lambda s: s.kind.isin(*base))
     return scanned.select("doc_id", *counts, F.sha2(joined(base_spans), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
@@ -225,15 +236,16 @@ def _sql_matches(rank: int, rule: Rule) -> str:
 
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-m AS ({" UNION ALL ".join(_sql_matches(i, r) for i, r in enumerate(BASE_RULES))}),
+m AS ({" UNION ALL ".join(_sql_matches(i, r) for i, r in enumerate(RULES))}),
 k AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m WHERE len(w) > 0),
 p AS (SELECT doc_id, rank, kind, length(w[i]) AS n,
   CAST(list_sum([length(x) for x in s[1:i]]) + coalesce(list_sum([length(x) for x in w[1:i-1]]), 0) AS BIGINT) AS start
   FROM k WHERE length(g[i]) >= least),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
-  count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, rank) AS spans
+  count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, rank) AS spans,
+  string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, rank) FILTER (rank < {len(BASE_RULES)}) AS base
   FROM p GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a ON d.doc_id = a.doc_id
 """

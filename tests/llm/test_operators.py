@@ -62,6 +62,36 @@ def test_secrets_agree_with_plain_expressions(spark):
     assert secretscan.scan(frame(spark, [])).count() == 0
 
 
+def test_further_kinds_and_many_matches(spark):
+    import time
+
+    long_id = "eyJ" + "a" * 10
+    texts = [
+        (1, f"x -----BEGIN RSA PRIVATE KEY----- y -----BEGIN PRIVATE KEY----- {long_id}.{long_id}.{'b' * 9}"),
+        (2, "ghp_" + "A" * 36 + " xoxb-" + "1" * 12 + " AIza" + "z" * 35 + " sk_live_" + "y" * 24 + " gHp_" + "A" * 36),
+        (3, "see postgres://me:pw@host/db and http://host:80/path and http://a:b c@d"),
+        (4, "é token=abcdef " * 100_000),
+    ]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secretscan.digest(secretscan.scan(frame(spark, texts))).collect()}
+    assert time.perf_counter() - began < 60
+    for i, t in texts[:3]:
+        expected = sorted((m.start(), n, f"{rule.kind}:{m.start()}:{m.end()}") for n, rule in enumerate(secretscan.MORE_RULES) for m in re.finditer(rule.pattern, t))
+        assert got[i].spans == ",".join(e for *_, e in expected) and expected, i
+        assert got[i].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert [len(got[i].spans.split(",")) for i in (1, 2, 3)] == [3, 4, 1]
+    assert got[4].n_assign == 100_000 and got[4].spans.endswith(f"assign:{15 * 99_999 + 2}:{15 * 99_999 + 14}")
+
+
+@pytest.mark.parametrize("rule", secretscan.RULES, ids=lambda rule: rule.kind)
+def test_no_match_escapes_its_trigrams(rule):
+    known = {"assign": 'PassWD = "abcdef', "access": "AKIA" + "Z" * 16, "hex": "0" * 24, "private_key": "-----BEGIN EC PRIVATE KEY-----", "jwt": "eyJaaaaaaaa.eyJaaaaaaaa.aaaaaaaa", "git_token": "ghr_" + "0" * 36, "chat_token": "xoxs-0000000000", "map_key": "AIza" + "-" * 35, "pay_key": "rk_live_" + "0" * 24, "login_url": "ab://c:d@e"}
+    text, query = known[rule.kind], secretscan.trigram_query(rule.pattern)
+    assert re.fullmatch(rule.pattern, text)
+    assert any(all(t in text.lower() for t in clause) for clause in query)
+    assert (query == secretscan.ALWAYS) == (rule.kind == "hex")
+
+
 @pytest.mark.parametrize(
     ("pattern", "clauses"),
     [("abcd", ["abc bcd"]), ("ab+cde", ["cde"]), ("(foo|bar)x?", ["bar", "foo"]), ("[0-9a-f]{4,}", [""]), ("x[AB]cd", ["acd xac", "bcd xbc"]), ("ab", [""]), ("(?:abc)?", [""])],
