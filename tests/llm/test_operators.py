@@ -395,12 +395,40 @@ def test_language_of_held_out_rows(spark):
         ("<div class=content><header><h1>Head</h1></header><p>Body text here.</p></div><div class='sidebar'>no</div>", "Head Body text here."),
         ("<p>" + "word " * 40 + "</p><p>short one</p><p>" + "more " * 40 + "</p>", ("word " * 40 + "short one " + "more " * 40).strip()),
         ("<article>open to the end &copy; 5 < 6", "open to the end © 5 < 6"),
+        ("<div class='social-science'><p>" + "word " * 60 + "</p></div>", ("word " * 60).strip()),
+        ("<div id='search-results-explained'><p>" + "word " * 60 + "</p></div>", ("word " * 60).strip()),
+        ("<article><p class='notice-of-event'>It is on Monday.</p></article>", "It is on Monday."),
+        ("<article><div class='entry-header'><h1>Title</h1></div><p>Text of it.</p></article>", "Title Text of it."),
+        ("<nav><a href=a>Home</a><p>" + "word " * 60 + "</p>", ("word " * 60).strip()),
+        ("<nav><a href=a>Home</a><article><p>Text.</p></article><footer>foot", "Text."),
+        ("<h1>Hi</h1><p>A short page.</p>", "Hi A short page."),
+        ("<article><p>Text.</p><ul><li><a href=a>First source</a></li><li><a href=b>Second</a></li></ul></article>", "Text. First source Second"),
+        ("<form id=aspnet><main><p>Text.</p></main></form><form><p>Your name and all that</p></form>", "Text."),
+        ("<div class='site-header'>Name</div><div class='post-content'><p>Text.</p><div class='post-comments'><p>" + "me too " * 30 + "</p></div></div><div class='ad-box'>Buy now</div>", "Text."),
+        ("<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><p>Since 1990</p><ul><li><a href=c>About</a></li></ul><h1>Title</h1><p>" + "word " * 40 + "</p>", "Title " + ("word " * 40).strip()),
+        ("<div><a href=a>Home</div><p>" + "word " * 40 + "</p>", ("word " * 40).strip()),
     ],
 )
 def test_main_text(page, text):
     assert htmltext.main_text(page, htmltext.trained()) == text
 
 
+def test_tree_splits_by_words_and_neighbours():
+    used = {htmltext.FEATURES[i] for i in htmltext.trained().used()}
+    assert used >= {"words", "links", "named"} and used & {"words_before", "links_before"} and used & {"words_after", "links_after"}
+    x, y = htmltext.LABELLED[:, :-1], htmltext.LABELLED[:, -1]
+    assert ((htmltext.trained().predict(x) > 0.5) == y).all()
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x" + "</div>" * 100_000, "<b>" * 100_000 + "<p>x" + "</i>" * 100_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<svg>x" * 50_000, "<form>" * 50_000 + "<article>x" * 50_000])
+def test_pages_take_time_in_proportion(page):
+    import time
+
+    began = time.perf_counter()
+    htmltext.blocks(page)
+    assert time.perf_counter() - began < 3
+
+
 def test_extraction_keeps_rows(spark):
     rows = [(1, "u", "<article>x</article>"), (None, None, None), (1, "u", "<article>x</article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
