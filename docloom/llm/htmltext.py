@@ -45,6 +45,16 @@ LABELLED = np.array(
         (0, 1, 0, 0.0, 4, 1.00, 5, 1.00, 3, 1.00, 1),
         (0, 1, 0, 0.0, 7, 1.00, 60, 0.00, 6, 1.00, 1),
         (0, 1, 0, 0.5, 30, 0.00, 40, 0.00, 20, 0.00, 1),
+        (0, 1, 0, 0.0, 12, 0.00, 3, 1.00, 5, 1.00, 1),
+        (0, 1, 0, 0.0, 1, 0.00, 1, 1.00, 2, 0.00, 1),
+        (0, 1, 0, 0.0, 2, 1.00, 2, 1.00, 1, 1.00, 1),
+        (0, 1, 0, 0.0, 9, 0.60, 8, 0.70, 11, 0.50, 1),
+        (0, 1, 0, 0.0, 3, 1.00, 5, 0.00, 0, 0.00, 1),
+        (0, 1, 1, 0.0, 1, 0.00, 1, 1.00, 4, 0.00, 1),
+        (0, 1, 1, 0.0, 2, 0.00, 0, 0.00, 4, 0.00, 1),
+        (0, 1, 0, 0.0, 0, 0.00, 20, 0.00, 20, 0.00, 1),
+        (0, 1, 0, 0.0, 30, 0.00, 6, 1.00, 0, 0.00, 1),
+        (0, 1, 0, 0.5, 3, 0.00, 1, 1.00, 0, 0.00, 1),
         # inside elements for menus, side bars, forms and feet
         (1, -1, 0, 0.0, 1, 1.00, 0, 0.00, 1, 1.00, 0),
         (1, -1, 0, 0.0, 18, 0.00, 60, 0.00, 0, 0.00, 0),
@@ -60,6 +70,12 @@ LABELLED = np.array(
         (0, 1, 0, 1.0, 4, 0.00, 60, 0.00, 60, 0.00, 0),
         (0, 1, 0, 1.0, 5, 1.00, 40, 0.00, 6, 1.00, 0),
         (0, 0, 0, 1.0, 70, 0.00, 30, 0.00, 40, 0.00, 0),
+        (0, 0, 0, 1.0, 12, 0.00, 20, 0.00, 15, 0.00, 0),
+        (0, 0, 0, 1.0, 6, 0.00, 0, 0.00, 30, 0.00, 0),
+        (0, 1, 0, 1.0, 15, 0.00, 30, 0.00, 0, 0.00, 0),
+        (0, 1, 0, 1.0, 8, 0.20, 9, 0.10, 7, 0.00, 0),
+        (0, 1, 1, 1.0, 2, 0.00, 44, 0.00, 12, 0.00, 0),
+        (0, -1, 0, 1.0, 33, 0.00, 12, 0.00, 8, 0.00, 0),
         (0, 0, 0, 1.0, 9, 0.00, 2, 1.00, 50, 0.00, 0),
         (0, -1, 0, 1.0, 8, 0.00, 1, 1.00, 10, 0.00, 0),
         # outside the article of a page that has one
@@ -67,6 +83,10 @@ LABELLED = np.array(
         (0, -1, 0, 0.0, 5, 0.00, 1, 1.00, 9, 0.00, 0),
         (0, -1, 1, 0.0, 4, 0.00, 2, 1.00, 60, 0.00, 0),
         (0, -1, 0, 0.5, 20, 0.00, 60, 0.00, 0, 0.00, 0),
+        (0, -1, 0, 0.0, 70, 0.00, 25, 0.00, 80, 0.00, 0),
+        (0, -1, 0, 0.0, 9, 0.00, 30, 0.00, 6, 0.00, 0),
+        (0, -1, 1, 0.0, 3, 0.00, 12, 0.00, 20, 0.00, 0),
+        (0, -1, 0, 0.0, 2, 0.00, 3, 0.00, 0, 0.00, 0),
         # pages that name nothing: running text
         (0, 0, 0, 0.0, 90, 0.00, 6, 0.00, 70, 0.00, 1),
         (0, 0, 0, 0.0, 45, 0.10, 3, 1.00, 60, 0.05, 1),
@@ -81,6 +101,12 @@ LABELLED = np.array(
         (0, 0, 0, 0.0, 3, 0.00, 1, 0.00, 0, 0.00, 1),
         (0, 0, 0, 0.0, 5, 0.00, 4, 0.00, 3, 0.00, 1),
         (0, 0, 0, 0.0, 7, 0.00, 30, 0.00, 0, 0.00, 1),
+        (0, 0, 0, 0.0, 6, 0.00, 40, 0.00, 0, 0.00, 1),
+        (0, 0, 0, 0.0, 5, 0.00, 10, 0.00, 0, 0.00, 1),
+        (0, 0, 0, 0.0, 5, 0.00, 1, 0.00, 0, 0.00, 1),
+        (0, 0, 0, 0.0, 2, 0.00, 3, 0.05, 0, 0.00, 1),
+        (0, 0, 0, 0.0, 1, 0.00, 6, 0.00, 4, 0.00, 1),
+        (0, 0, 0, 0.0, 6, 0.00, 0, 0.00, 0, 0.00, 1),
         (0, 0, 1, 0.0, 1, 0.00, 0, 0.00, 3, 0.00, 1),
         (0, 0, 1, 0.0, 5, 0.00, 30, 0.00, 44, 0.00, 1),
         (0, 0, 1, 0.0, 7, 0.00, 2, 1.00, 60, 0.00, 1),
@@ -98,6 +124,10 @@ LABELLED = np.array(
         (0, 0, 0, 0.0, 6, 0.00, 1, 1.00, 1, 1.00, 0),
         (0, 0, 0, 0.0, 4, 0.00, 2, 1.00, 50, 0.00, 0),
         (0, 0, 0, 0.0, 5, 0.00, 2, 1.00, 0, 0.00, 0),
+        (0, 0, 0, 0.0, 6, 0.00, 3, 1.00, 0, 0.00, 0),
+        (0, 0, 0, 0.0, 2, 0.00, 1, 1.00, 0, 0.00, 0),
+        (0, 0, 0, 0.0, 1, 0.00, 4, 1.00, 6, 0.00, 0),
+        (0, 0, 0, 0.0, 3, 0.00, 2, 0.80, 30, 0.00, 0),
         (0, 0, 0, 0.0, 5, 0.00, 0, 0.00, 1, 1.00, 0),
         (0, 0, 0, 0.0, 4, 0.00, 5, 0.20, 2, 1.00, 0),
         (0, 0, 0, 0.0, 8, 0.50, 40, 0.00, 0, 0.00, 0),
