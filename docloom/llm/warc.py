@@ -1,7 +1,7 @@
 r"""WARC archives: written by Spark's text writer, read back with boundary-chain verification.
 
 Writing: each page is a ``response`` record with its HTML, or a ``revisit`` record that refers to the
-response with the same payload. Records are rows of a text table whose line separator is the blank
+response with the same payload and states the payload's digest. Records are rows of a text table whose line separator is the blank
 lines that end a record, so the files are plain WARC and Spark's commit protocol covers lost tasks.
 
 Reading: the files are split at the magic line, by Spark's splittable text reader. Each piece is a
@@ -13,7 +13,8 @@ of the blocks of a file, finds where the true chain enters each block; a walk th
 offsets then marks its records. Payloads that hold the magic line are put together from their pieces.
 
 Defined results: null HTML counts as empty and empty payloads are responses; of equal payloads of
-``least_bytes`` bytes or more the largest page id is the response (all rows that share it); null ids
+``least_bytes`` bytes or more the largest page id is the response (all rows that share it); ids may
+repeat with other payloads, as a revisit is resolved by id and digest; null ids
 are never chosen while there is an id, and if all are null all are responses; null or odd URLs are
 written percent-encoded; an empty table gives no rows; other columns are not read.
 """
@@ -39,7 +40,7 @@ LEAST_BYTES = 1000
 MOST_BROADCAST = 2_000_000
 _ID = "urn:docloom:page:"
 _LENGTH = re.compile(rb"(?im)^Content-Length:\s*(\d+)\s*$")
-_FIELD = {name: re.compile(rb"(?im)^%s:\s*(.*?)\s*$" % name.encode()) for name in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To")}
+_FIELD = {name: re.compile(rb"(?im)^%s:\s*(.*?)\s*$" % name.encode()) for name in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Payload-Digest")}
 _BREAK = b"\r\n\r\n"
 
 
@@ -100,7 +101,7 @@ def _payload(block: bytes) -> bytes:
 
 
 def _parsed(piece: bytes) -> tuple | None:
-    """(type, id, refers_to, header bytes, content bytes), if the piece begins with a record's header."""
+    """(type, id, refers_to, stated digest, header bytes, content bytes), if the piece begins with a record's header."""
     at = piece.find(_BREAK)
     head = piece[:at] if at >= 0 else b""
     length = _LENGTH.search(head)
@@ -110,7 +111,7 @@ def _parsed(piece: bytes) -> tuple | None:
     return (*fields, at + len(_BREAK), int(length[1]))
 
 
-_CANDIDATE = "file string, block long, at long, next long, leaves long, end long, type string, id string, refers_to string, complete boolean, payload_bytes long, payload_digest string"
+_CANDIDATE = "file string, block long, at long, next long, leaves long, end long, type string, id string, refers_to string, stated string, complete boolean, payload_bytes long, payload_digest string"
 
 
 def _candidates(pieces: DataFrame) -> DataFrame:
@@ -140,13 +141,13 @@ def _candidates(pieces: DataFrame) -> DataFrame:
                     key, rows, end = (file, block), [], 0
                 at, parsed = end - len(MAGIC), _parsed(value)
                 if parsed is None:  # also what stands before the file's first magic line
-                    rows.append((at, None, None, None, None, False, None, None))
+                    rows.append((at, None, None, None, None, None, False, None, None))
                 else:
-                    kind, name, refers_to, head, length = parsed
+                    kind, name, refers_to, stated, head, length = parsed
                     complete = len(value) >= head + length
                     payload = _payload(value[head : head + length]) if complete else None
                     digest = hashlib.sha1(payload).hexdigest() if complete else None
-                    rows.append((at, end + head + length + len(END), kind, name, refers_to, complete, len(payload) if complete else None, digest))
+                    rows.append((at, end + head + length + len(END), kind, name, refers_to, stated, complete, len(payload) if complete else None, digest))
                 end += len(value) + len(MAGIC)
         if key:
             yield of_block(*key, rows, end)
@@ -228,8 +229,8 @@ def _assembled(spark: SparkSession, path: str, marked: DataFrame) -> DataFrame:
         rows = record.sort_by("at")
         whole = MAGIC.encode().join(rows.column("value").to_pylist())
         parsed, payload = _parsed(whole), None
-        if parsed and len(whole) >= parsed[3] + parsed[4]:
-            payload = _payload(whole[parsed[3] : parsed[3] + parsed[4]])
+        if parsed and len(whole) >= sum(parsed[-2:]):
+            payload = _payload(whole[parsed[-2] : sum(parsed[-2:])])
         size, digest = (len(payload), hashlib.sha1(payload).hexdigest()) if payload is not None else (None, None)
         return pa.table({"file": rows.column("file")[:1], "at": rows.column("owner")[:1], "bytes": pa.array([size], pa.int64()), "sha1": pa.array([digest], pa.string())})
 
@@ -248,11 +249,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def number(urn: str) -> Column:
         return F.expr(f"try_cast(regexp_extract({urn}, '{_ID}(-?[0-9]+)', 1) AS bigint)")
 
-    pages = true.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
-    responses, revisits = pages.where("record_type = 'response'"), pages.where("record_type = 'revisit'")
-    referred = responses.join(revisits.select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi")
-    referred = referred.groupBy(F.col("page_id").alias("refers_to")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
-    resolved = revisits.select("page_id", "record_type", "refers_to").join(referred, "refers_to", "left")
+    stated = F.regexp_extract("stated", "^sha1:([0-9a-f]{40})$", 1)
+    pages = true.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"), stated.alias("stated"))
+    responses, revisits = pages.where("record_type = 'response'").drop("stated"), pages.where("record_type = 'revisit'")
+    # A revisit's payload is that of the response with its page id and the digest that it states, as ids may repeat.
+    told = revisits.select(F.col("refers_to").alias("page_id"), F.col("stated").alias("payload_digest")).distinct()
+    referred = responses.join(told, ["page_id", "payload_digest"], "left_semi").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated"), "payload_bytes", "payload_digest").distinct()
+    resolved = revisits.select("page_id", "record_type", "refers_to", "stated").join(referred, ["refers_to", "stated"], "left").drop("stated")
     return responses.unionByName(resolved)
 
 
