@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import scratch_path, shared_dir, table
+from docloom import session
+from docloom.session import shared_dir, table
+
+__all__ = ["broadcast_if_small", "crc32_of_id", "discard", "finished", "parts_for", "scratch_path", "shared_dir", "table", "unlike", "written"]
+
+#: What the calls of ``finished`` that are under way have written.
+_under_way: list[list[str]] = []
+
 
-__all__ = ["broadcast_if_small", "crc32_of_id", "discard", "parts_for", "scratch_path", "shared_dir", "table", "unlike", "written"]
+def scratch_path(spark: SparkSession, label: str) -> str:
+    path = session.scratch_path(spark, label)
+    if _under_way:
+        _under_way[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -19,11 +32,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the table behind a frame that ``written`` returned and nothing reads any more."""
-    jvm, path = df.sparkSession._jvm, df.scratch
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(df.sparkSession, df.scratch)
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that it wrote on its way are deleted."""
+    _under_way.append([])
+    try:
+        out = written(make(), label)
+        _under_way[-1].remove(out.scratch)
+    finally:
+        for path in _under_way.pop():
+            _delete(spark, path)
+    return out
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:

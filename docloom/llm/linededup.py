@@ -13,7 +13,7 @@ them with ``MOST_STARTS`` starts, so that texts stay where they are; beyond that
 
 Defined results: null texts stay null and have no lines; texts under three lines stay; null ids
 come last in the order; rows equal in id and text count as one document and are treated alike;
-an empty table gives no rows; other columns pass through.
+an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import written
+from docloom.llm.common import unlike, written
 
 WIDTH = 3
 MOST_DOCUMENTS, MOST_STARTS = 1_000_000, 4_000_000
@@ -52,22 +52,23 @@ def covered_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and the columns ``lines_total`` and ``lines_removed`` (long)."""
-    found = covered_lines(docs, width).select(F.col("doc_id").alias("covered_id"), F.col("text_hash").alias("covered_hash"), "starts")
+def dedup_lines(docs: DataFrame, width: int = WIDTH, total: str = "lines_total", removed: str = "lines_removed") -> DataFrame:
+    """``docs`` with ``text`` cleaned, and the columns ``total`` and ``removed`` (long), of whatever name is free for them."""
+    covered_id, covered_hash, starts_name = unlike(docs, "covered_id", "covered_hash", "starts")
+    found = covered_lines(docs, width).select(F.col("doc_id").alias(covered_id), F.col("text_hash").alias(covered_hash), F.col("starts").alias(starts_name))
     found = written(found, "covered")
-    documents, starts = found.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
-    if documents <= MOST_DOCUMENTS and starts <= MOST_STARTS:
+    starts = F.col(starts_name)
+    documents, number = found.agg(F.count("*"), F.coalesce(F.sum(F.size(starts)), F.lit(0))).first()
+    if documents <= MOST_DOCUMENTS and number <= MOST_STARTS:
         found = F.broadcast(found)
-    same = F.col("covered_id").eqNullSafe(F.col("doc_id")) & (F.col("covered_hash") == F.xxhash64("text"))
+    same = F.col(covered_id).eqNullSafe(F.col("doc_id")) & (F.col(covered_hash) == F.xxhash64("text"))
     lines = F.split("text", "\n", -1)
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.array(*[s + k for k in range(width)]))))
+    covered = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.array(*[s + k for k in range(width)]))))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
     kept = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
-    columns = [F.when(F.col("starts").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    total = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    removed = F.when(F.col("starts").isNull(), 0).otherwise(F.size(covered)).cast("long")
-    return docs.join(found, same, "left").select(*columns, total.alias("lines_total"), removed.alias("lines_removed"))
+    columns = [F.when(starts.isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), F.when(starts.isNull(), 0).otherwise(F.size(covered))]
+    return docs.join(found, same, "left").select(*columns, *[c.cast("long").alias(name) for c, name in zip(counts, unlike(docs, total, removed), strict=True)])
 
 
 ORACLE_SQL = """
