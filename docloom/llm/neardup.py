@@ -28,10 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import discard, parts_for, written
+from docloom.llm.common import broadcast_if_small, discard, parts_for, unlike, written
 
 BITS = 64
 SHINGLES_AT_ONCE = 1 << 16
+#: Classes of copies that are joined by broadcast at most, and the rows that one of them has at least.
+MOST_FREQUENT, LEAST_FREQUENT = 200_000, 64
+#: Rows that go, as pairs of numbers, that are broadcast at most.
+MOST_GOING = 2_000_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -226,16 +230,36 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
 
+def frequent(classes: DataFrame, most_rows: int = MOST_FREQUENT, least: int = LEAST_FREQUENT) -> int:
+    """A number of rows that at most ``most_rows`` of ``classes`` (n: rows of each) reach, ``least`` or a power of two times that."""
+    sizes = classes.where(F.col("n") >= least).groupBy(F.floor(F.log2(F.col("n") / least)).cast("int").alias("power")).count()
+    counts, power = {r.power: r["count"] for r in sizes.collect()}, 0  # 64 rows at most
+    while sum(c for p, c in counts.items() if p >= power) > most_rows:
+        power += 1
+    return least << power
+
+
+def with_class(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with the written table ``classes`` (``key``, n: its rows, ...), so that no key's rows meet in one task.
+
+    Keys with many rows are few and come by broadcast, at most ``MOST_FREQUENT``; the others are joined by shuffle.
+    """
+    bound = frequent(classes)
+    often, seldom = classes.where(F.col("n") >= bound).drop("n"), classes.where(F.col("n") < bound).drop("n")
+    near = rows.join(F.broadcast(often), key)
+    return near.unionByName(rows.join(F.broadcast(often.select(key)), key, "left_anti").join(seldom, key))
+
+
 def grouped(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, text_hash, component_id) of each row of ``docs``."""
     hashed = written(fingerprints(docs, width), "fingerprints")
-    classes = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     labels = components(links(classes.select("fp"), radius))
     linked = labels.join(classes, labels.node == classes.fp).select("fp", "label", "least")
     least = linked.groupBy("label").agg(F.min("least").alias("reached"))
     reached = linked.join(least, "label").select("fp", "reached")
-    ids = classes.join(reached, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
-    return hashed.join(ids, "fp")
+    ids = classes.join(reached, "fp", "left").select("fp", "n", F.coalesce("reached", "least").alias("component_id"))
+    return with_class(hashed, written(ids, "ids"), "fp").select("doc_id", "fp", "text_hash", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -250,15 +274,22 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 
 def stay(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest id, then text hash, of each ``anchor`` of the written table ``groups`` (doc_id, text_hash, anchor)."""
+    """The rows of ``docs`` with the smallest id, then text hash, of each ``anchor`` of the written table ``groups`` (doc_id, text_hash, anchor).
+
+    Texts are joined with the rows that go, which are broadcast while there are at most ``MOST_GOING``, so that they stay where they are.
+    """
     named = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    kept = groups.groupBy("anchor").agg(F.min(named).alias("n")).select("n.doc_id", "n.text_hash")
-    kept = written(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")), "kept")
-    same = (F.col("kept_id").eqNullSafe(F.col("doc_id"))) & (F.col("kept_hash") == F.xxhash64("text"))
-    found = docs.join(kept, same, "left_semi")
-    repeats = groups.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    first = groups.groupBy("anchor").agg(F.min(named).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(first, "first")
+    going = with_class(groups, first, "anchor").where(named != F.col("first")).select("doc_id", "text_hash").distinct()
+    going_id, going_hash = unlike(docs, "going_id", "going_hash")
+    names = [F.col("doc_id").alias(going_id), F.col("text_hash").alias(going_hash)]
+    going = written(going.select(*names), "going")
+    same = F.col(going_id).eqNullSafe(F.col("doc_id")) & (F.col(going_hash) == F.xxhash64("text"))
+    found = docs.join(broadcast_if_small(going, MOST_GOING), same, "left_anti")
+    repeats = groups.groupBy("doc_id", "text_hash").count().where("count > 1").select(*names)
+    repeats = written(repeats.join(going, [repeats[going_id].eqNullSafe(going[going_id]), repeats[going_hash] == going[going_hash]], "left_anti"), "repeats")
     if not repeats.head(1):
         return found
-    again = repeats.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
-    once = found.join(again, same, "left_anti")
-    return once.unionByName(found.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    again = broadcast_if_small(repeats, MOST_GOING)
+    return found.join(again, same, "left_anti").unionByName(found.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

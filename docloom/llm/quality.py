@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import crc32_of_id, parts_for, written
+from docloom.llm.common import crc32_of_id, parts_for, unlike, written
 
 BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 14, 32, 2, 2
 SHAPES, SHAPE_DIMENSIONS = 1 << 10, 16
@@ -237,29 +237,30 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     return vectors, train(x, sample["y"].to_numpy() > 0.5)
 
 
-def scored(docs: DataFrame, vectors: np.ndarray, network: Network, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs`` and its ``score``."""
+def scored(docs: DataFrame, vectors: np.ndarray, network: Network, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row of ``docs`` and its score in the column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
-    source = docs.select(*keep, F.col("text").alias("scored_text"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]]
+    column, places = docs.columns.index("text"), [docs.columns.index(c) for c in keep]
+    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (vectors, network), shapes = shared.value, shape_vectors()
-        for batch, begin, end, words, sizes in _batches_of_words(batches, len(keep)):
+        for batch, begin, end, words, sizes in _batches_of_words(batches, column):
             p = network.probabilities(pooled(words, sizes, vectors, shapes))
-            yield pa.RecordBatch.from_arrays([batch.column(i)[begin:end] for i in range(len(keep))] + [pa.array(p)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(i)[begin:end] for i in places] + [pa.array(p)], [*keep, name])
 
-    return source.mapInArrow(score, ", ".join([*kept, "score double"]))
+    return docs.mapInArrow(score, ", ".join([*kept, f"`{name}` double"]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
     vectors, network = fit(docs, labels, most_labelled)
-    out = scored(docs, vectors, network)
+    out = scored(docs.select("doc_id", "text"), vectors, network, ["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
     vectors, network = fit(docs, labels)
-    return scored(docs, vectors, network, tuple(docs.columns)).where("score >= 0.5").select(*docs.columns)
+    (name,) = unlike(docs, "score")
+    return scored(docs, vectors, network, docs.columns, name).where(F.col(name) >= 0.5).drop(name)

@@ -179,6 +179,12 @@ def test_line_dedup_agrees_with_plain_rules(spark):
     plain = plain_dedup(texts)
     assert sorted(map(repr, [(r.doc_id, r.text) for r in got])) == sorted(map(repr, [(i, plain[i, t]) for i, t in texts]))
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
+    clash = frame(spark, texts).withColumn("starts", F.lit(1)).withColumn("lines_total", F.lit(2)).withColumn("Covered_Hash", F.lit(3))
+    out = linededup.dedup_lines(clash)
+    assert out.columns == [*clash.columns, "lines_total_", "lines_removed"] and out.count() == len(texts)
+    many = [(1, "\n".join(f"line {i}" for i in range(60_000))), (2, "\n".join(f"line {i}" for i in range(30_000, 90_000)))]
+    counts = {r.doc_id: r.lines_removed for r in linededup.dedup_lines(frame(spark, many)).collect()}
+    assert counts == {1: 0, 2: 30_000}
 
 
 # ---- 4: quality
@@ -302,6 +308,24 @@ def test_round_trip_with_magic_in_payloads(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
+def test_revisits_of_repeated_ids(spark):
+    rows = [(3, "a", "z" * 1500), (7, "b", "z" * 1500), (7, "c", "q" * 10), (7, "d", "y" * 2000), (1, "e", "y" * 2000)]
+    for order in (rows, rows[::-1]):
+        pages = spark.createDataFrame(order, "page_id long, url string, html string").coalesce(1)
+        got = {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+        digest = {n: hashlib.sha1(c.encode() * n).hexdigest() for c, n in (("z", 1500), ("q", 10), ("y", 2000))}
+        responses = {(7, n, digest[n], "response", None) for n in digest}
+        assert got == responses | {(3, 1500, digest[1500], "revisit", 7), (1, 2000, digest[2000], "revisit", 7)}
+
+
+def test_round_trip_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(empty).count() == 0
+    long = "é" * 3_000_000
+    got = [tuple(r) for r in warc.round_trip(spark.createDataFrame([(1, None, long), (2, "x", long)], empty.schema)).select("page_id", "payload_bytes", "record_type").collect()]
+    assert sorted(got) == [(1, 6_000_000, "revisit"), (2, 6_000_000, "response")]
+
+
 # ---- 7: SimHash
 
 
