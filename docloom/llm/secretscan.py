@@ -21,6 +21,7 @@ each for itself; an empty table gives no rows; other columns pass through or are
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -38,6 +39,7 @@ MOST_BROADCAST = 2_000_000
 #: Above so many alternatives a literal run is cut into the trigrams it has so far.
 MOST_STRINGS = 64
 MOST_MEMBERS = 6
+MOST_A_CLAUSE = 3
 
 
 @dataclass(frozen=True)
@@ -147,16 +149,22 @@ def _query(items: list) -> tuple[frozenset[str] | None, Clauses]:
 
 
 def trigram_query(pattern: str) -> Clauses:
-    """Sets of trigrams; every matching text, in lower case, holds all of some set. ``ALWAYS``: none are mandatory."""
+    """Sets of trigrams; every matching text, in lower case, holds all of some set. ``ALWAYS``: none are mandatory.
+
+    Of each set the ``MOST_A_CLAUSE`` trigrams that most sets have are enough; fewer trigrams leave more candidates and lose none.
+    """
     strings, query = _query(list(sre_parse.parse(pattern)))
-    return _trigrams(strings) if strings is not None else query
+    query = _trigrams(strings) if strings is not None else query
+    shared = Counter(t for clause in query for t in clause)
+    thinned = (frozenset(sorted(clause, key=lambda t: (-shared[t], t))[:MOST_A_CLAUSE]) for clause in query)
+    return reduce(_either, (frozenset([clause]) for clause in thinned))
 
 
 def postings(docs: DataFrame, trigrams: list[str], blocks: int) -> DataFrame:
     """(block, trigram, keys): the inverted index of ``docs`` (key, text) over the given trigrams."""
-    lower = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(t)), F.lit(t)) for t in trigrams]))
-    posted = docs.select(F.pmod("key", F.lit(blocks)).alias("block"), "key", F.explode(held).alias("trigram"))
+    lowered = docs.select(F.pmod("key", F.lit(blocks)).alias("block"), "key", F.lower("text").alias("lower"))  # once for all trigrams
+    held = F.array_compact(F.array(*[F.when(F.contains("lower", F.lit(t)), F.lit(t)) for t in trigrams]))
+    posted = lowered.select("block", "key", F.explode(held).alias("trigram"))
     return posted.groupBy("block", "trigram").agg(F.sort_array(F.collect_set("key")).alias("keys"))
 
 
