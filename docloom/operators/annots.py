@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +148,26 @@ def without_popups(annots: DataFrame) -> DataFrame:
     return annots.where(~F.col("type").eqNullSafe(F.lit("Popup")))
 
 
-def joined_flags(*flags: Column) -> Column:
-    """Whether any flag is set; null counts as not set."""
-    return reduce(lambda a, b: a | b, (F.coalesce(f, F.lit(False)) for f in flags))
+def pure_forms(documents: DataFrame) -> DataFrame:
+    """``documents`` (needs_rendering, has_template, fields) with ``pure``: forms that live in their template alone, without fields of the document."""
+    fields = F.coalesce(F.col("fields").rlike(r"\d+\s+0\s+R"), F.lit(False))
+    return documents.withColumn("pure", F.coalesce(F.col("needs_rendering") & F.col("has_template"), F.lit(False)) & ~fields)
+
+
+def one(annots: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The notes ``wanted`` (doc_id, id); one that isn't there is an error."""
+    found = wanted.join(annots.withColumn("_there", F.lit(True)), ["doc_id", "id"], "left")
+    known = F.when(F.col("_there"), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no note "), F.col("id").cast("string"))))
+    return found.withColumn("id", known).drop("_there")
+
+
+def numbered_additions(annots: DataFrame, added: DataFrame) -> DataFrame:
+    """``added`` (doc_id, local_id, reply_to, reply_local, payload) as notes (doc_id, id, reply_to, payload) with ids after those of their document, in the order of ``local_id``.
+
+    A reply to a note that is added too (``reply_local``) refers to its new id.
+    """
+    last = annots.groupBy("doc_id").agg(F.max("id").alias("_last"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("local_id"))
+    rows = added.join(last, "doc_id", "left").withColumn("id", F.coalesce("_last", F.lit(0)) + place)
+    parents = rows.select("doc_id", F.col("local_id").alias("reply_local"), F.col("id").alias("_new"))
+    return rows.join(parents, ["doc_id", "reply_local"], "left").select("doc_id", "id", F.coalesce("_new", "reply_to").alias("reply_to"), "payload")

@@ -94,10 +94,10 @@ def plans(kinds: DataFrame, converters: DataFrame) -> DataFrame:
     return best.join(kinds.select(F.col("kind").alias("src")), "src").select("src", "dst", "p.hops", "p.ready", place.alias("place"))
 
 
-def engine_order(engines: DataFrame) -> DataFrame:
+def engine_order(engines: DataFrame, *ties: str) -> DataFrame:
     """``engines`` (kind, name, healthy, priority) with ``turn``: healthy ones first, then by priority; WPS doesn't read odt."""
     able = engines.where(~((F.col("kind") == "odt") & (F.col("name") == "wps")))
-    return able.withColumn("turn", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("healthy"), "priority", "name")))
+    return able.withColumn("turn", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("healthy"), "priority", *(ties or ("name",)))))
 
 
 def free_names(wanted: DataFrame, taken: DataFrame, first: int = 2, most: int = 10_000) -> DataFrame:

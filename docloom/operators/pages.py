@@ -240,3 +240,79 @@ def estimated_size(pages: DataFrame, sample: int, key: str = "doc_id", size: str
     chosen = counts.select(key, "n", F.explode(text.even_sample(F.col("n"), F.lit(sample))).alias("pos"))
     measured = chosen.join(pages.select(key, "pos", size), [key, "pos"]).groupBy(key, "n").agg(F.count("*").alias("sampled"), F.sum(size).alias("s"))
     return measured.select(key, "n", "sampled", F.bround(F.col("s") * F.col("n") / F.col("sampled")).cast("long").alias("estimate"))
+
+
+def without_pages(recipe: DataFrame, gone: DataFrame, key: str = "recipe_id") -> DataFrame:
+    """``recipe`` (key, pos, ...) without the pages ``gone`` (key, pos), numbered anew; a recipe that would lose all its pages stays as it is."""
+    marked = recipe.join(gone.select(key, "pos", F.lit(1).alias("_gone")).distinct(), [key, "pos"], "left")
+    whole = Window.partitionBy(key)
+    marked = marked.withColumn("_all", F.count("*").over(whole) == F.count("_gone").over(whole))
+    left = marked.where(F.col("_gone").isNull() | F.col("_all")).select(*recipe.columns)
+    return left.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1)
+
+
+def with_pages(recipe: DataFrame, copies: DataFrame, places: DataFrame, key: str = "recipe_id") -> DataFrame:
+    """``recipe`` with the pages ``copies`` (same columns, in the order of their ``pos``) put before the place ``at`` of ``places`` (key, at), kept within the recipe; numbered anew."""
+    sizes = recipe.groupBy(key).agg(F.count("*").alias("_n"))
+    slots = places.join(sizes, key, "left").select(key, F.greatest(F.lit(0), F.least("at", F.coalesce("_n", F.lit(0)))).alias("_slot"))
+    own = recipe.withColumn("_slot", F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).withColumn("_own", F.lit(1))
+    new = copies.select(*recipe.columns).join(slots, key).withColumn("_own", F.lit(0))
+    order = Window.partitionBy(key).orderBy("_slot", "_own", "pos")
+    return own.unionByName(new).withColumn("pos", F.row_number().over(order) - 1).select(*recipe.columns)
+
+
+def duplicated(recipe: DataFrame, chosen: DataFrame, key: str = "recipe_id") -> DataFrame:
+    """``recipe`` with copies of the pages ``chosen`` (key, pos), in their order, behind the last of them."""
+    copies = recipe.join(chosen.select(key, "pos").distinct(), [key, "pos"], "left_semi")
+    return with_pages(recipe, copies, copies.groupBy(key).agg((F.max("pos") + 1).alias("at")), key)
+
+
+# Files over this size or number of pages are estimated from so many pages.
+ESTIMATE_BYTES, ESTIMATE_PAGES, SAMPLE_PAGES = 40 * 1024 * 1024, 250, 20
+
+
+def shrink_estimate(pages: DataFrame, coded: DataFrame) -> DataFrame:
+    """(doc_id, level, bytes, percent, sampled): the size of documents after each level of compression.
+
+    ``pages``: doc_id, page_no, bytes; ``coded``: doc_id, page_no, level, bytes. Large documents are measured on their first pages and scaled.
+    """
+    facts = pages.groupBy("doc_id").agg(F.sum("bytes").alias("total"), F.count("*").alias("n"), F.sum(F.when(F.col("page_no") <= SAMPLE_PAGES, F.col("bytes"))).alias("first"))
+    facts = facts.withColumn("sampled", (F.col("total") > ESTIMATE_BYTES) | (F.col("n") > ESTIMATE_PAGES))
+    rows = coded.join(facts, "doc_id").where(~F.col("sampled") | (F.col("page_no") <= SAMPLE_PAGES))
+    sums = rows.groupBy("doc_id", "level").agg(F.sum("bytes").alias("out"), F.first("total").alias("total"), F.first("first").alias("first"), F.first("sampled").alias("sampled"))
+    size = F.when(F.col("sampled"), F.floor(F.col("total") * F.col("out") / F.greatest("first", F.lit(1)))).otherwise(F.col("out")).cast("long")
+    return sums.select("doc_id", "level", size.alias("bytes"), F.round(100 * size / F.greatest("total", F.lit(1)), 1).alias("percent"), "sampled")
+
+
+def image_page(px_w: Column, px_h: Column, dpi_x: Column, dpi_y: Column) -> Column:
+    """Struct (width, height) in points: the largest page of an image's ratio within an upright or lying A4; unequal resolutions correct the ratio."""
+    uneven = (dpi_x > 0) & (dpi_y > 0) & (dpi_x != dpi_y)
+    w, h = (F.when(uneven, px / dpi).otherwise(px) for px, dpi in ((px_w, dpi_x), (px_h, dpi_y)))
+    short, long = F.lit(BLANK_SIZE[0]), F.lit(BLANK_SIZE[1])
+    box_w, box_h = F.when(w > h, long).otherwise(short), F.when(w > h, short).otherwise(long)
+    by_width = box_w / w <= box_h / h
+    width = F.when(by_width, box_w).otherwise(F.least(box_w, w * box_h / h))
+    height = F.when(by_width, F.least(box_h, h * box_w / w)).otherwise(box_h)
+    known = (px_w > 0) & (px_h > 0)
+    return F.struct(F.when(known, F.greatest(width, F.lit(1.0))).otherwise(short).alias("width"), F.when(known, F.greatest(height, F.lit(1.0))).otherwise(long).alias("height"))
+
+
+def joined_texts(pages: DataFrame) -> DataFrame:
+    """(doc_id, text): the selected texts of pages (doc_id, page_no, text, starts_blank, ends_blank) as one raw text.
+
+    Pages follow after a line end, or after an empty paragraph if the selection ends with one or begins with one on the next page; pages without text don't count.
+    """
+    w = Window.partitionBy("doc_id").orderBy("page_no")
+    rows = pages.where(F.trim(F.regexp_replace("text", r"\s", " ")) != "").withColumn("before", F.lag("ends_blank").over(w)).withColumn("first", F.lag("page_no").over(w).isNull())
+    gap = F.when(F.col("first"), "").when(F.coalesce("before", F.lit(False)) | F.coalesce("starts_blank", F.lit(False)), "\n\n\n").otherwise("\n")
+    parts = F.array_sort(F.collect_list(F.struct("page_no", F.concat(gap, "text").alias("part"))))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p.part), "").alias("text"))
+
+
+def indented_text(lines: DataFrame, inset: float = 8.0) -> DataFrame:
+    """(doc_id, text): lines (doc_id, pos, x0, text; null text: between pages) under each other, those over ``inset`` points in with four blanks."""
+    least = F.min(F.when(F.col("text").isNotNull(), F.col("x0"))).over(Window.partitionBy("doc_id"))
+    rows = lines.withColumn("least", least)
+    part = F.when(F.col("text").isNull(), "").otherwise(F.concat(F.when(F.col("x0") - F.col("least") > inset, "    ").otherwise(""), "text"))
+    parts = F.array_sort(F.collect_list(F.struct("pos", part.alias("part"))))
+    return rows.groupBy("doc_id").agg(F.when(F.max("least").isNull(), "").otherwise(F.array_join(F.transform(parts, lambda p: p.part), "\n")).alias("text"))

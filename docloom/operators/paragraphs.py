@@ -4,50 +4,53 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 
+# Points by which left edges may differ, sizes of type, and shares of the height of a line.
+EDGE, SIZE, FAR, CLOSE, DRIFT = 3, 1, 1.6, 0.5, 0.3
+
+
+def _breaks(lines: DataFrame) -> DataFrame:
+    """``lines`` with what speaks against going on with the line before: ``always``, ``second`` (if that line began its paragraph), ``later`` (if it didn't)."""
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    before = lambda c, n=1: F.lag(c, n).over(w)
+    width = F.greatest(F.col("right") - F.col("left"), F.lit(50.0))
+    full = before("x1") >= F.col("right") - F.greatest(2.5 * F.col("size"), 0.1 * width)
+    other_type = F.abs(before("size") - F.col("size")) > SIZE
+    same_page, step, tall = before("page_no") == F.col("page_no"), F.col("y") - before("y"), F.greatest("box", before("box"))
+    apart = same_page & ((step > FAR * tall) | (step < CLOSE * tall))
+    deeper = (F.col("x0") - F.col("left") > EDGE) & (F.col("x0") - before("x0") > EDGE)
+    off_edge = F.abs(F.col("x0") - F.col("left")) > EDGE
+    uneven = same_page & (before("page_no", 2) == F.col("page_no")) & (F.abs(step - (before("y") - before("y", 2))) > DRIFT * tall)
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return lines.withColumns({"_always": no(~full | other_type | apart), "_second": no(F.when(same_page, deeper).otherwise(off_edge)), "_later": no(uneven)})
+
+
 def built(lines: DataFrame) -> DataFrame:
     """``lines`` with ``para_no``: consecutive lines of one paragraph, which may go on over the end of a page.
 
     ``lines``: doc_id, line_no, page_no, x0, x1, y, size, box (the line's height), left, right (the text area).
-    Whether a line goes on depends on the paragraph so far, so the lines of one document are folded in order.
+    What a line and the ones before it say is a window; the left edge that a paragraph has from its second line
+    on depends on where it began, so that part is a fold over the lines of one document.
     """
-    types = lines.schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in types.fields) + ", para_no int"
+    columns = lines.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema.fields) + ", para_no int"
 
-    def fold(document: pd.DataFrame) -> pd.DataFrame:
+    def numbered(document: pd.DataFrame) -> pd.DataFrame:
         rows = document.sort_values("line_no").reset_index(drop=True)
-        numbers = np.zeros(len(rows), np.int32)
-        begin = 0
-        values = rows[["page_no", "x0", "x1", "y", "size", "box", "left", "right"]].to_numpy(float)
-        for i in range(1, len(rows)):
-            page, x0, _, y, size, box, left, right = values[i]
-            p_page, p_x0, p_x1, p_y, p_size, p_box, _, _ = values[i - 1]
-            full = p_x1 >= right - max(2.5 * size, 0.1 * max(right - left, 50.0))
-            many = i - begin >= 2
-            hanging = values[begin + 1][1] if many else None
-            if page != p_page:
-                new = not (full and abs(x0 - (hanging if many else left)) <= 3 and abs(p_size - size) <= 1)
-            else:
-                gap, tall = y - p_y, max(box, p_box)
-                new = gap > 1.6 * tall or gap < 0.5 * tall or not full or abs(p_size - size) > 1
-                if many:
-                    new = new or abs(x0 - hanging) > 3
-                    same_page = values[i - 2][0] == page
-                    new = new or (same_page and abs(gap - (p_y - values[i - 2][3])) > 0.3 * tall)
-                else:
-                    new = new or (x0 - left > 3 and abs(x0 - p_x0) > 3 and x0 > p_x0)
-            if new:
-                begin = i
-            numbers[i] = numbers[i - 1] + new
-        return rows.assign(para_no=numbers)
-
-    return lines.groupBy("doc_id").applyInPandas(fold, schema)
+        number, length, edge, numbers = -1, 0, 0.0, []
+        for x, always, second, later in rows[["x0", "_always", "_second", "_later"]].itertuples(index=False):
+            on = length > 0 and not always and not (second if length == 1 else later or abs(x - edge) > EDGE)
+            number, length = (number, length + 1) if on else (number + 1, 1)
+            edge = x if length == 2 else edge
+            numbers.append(number)
+        return rows[columns].assign(para_no=pd.Series(numbers, dtype="int32"))
+
+    return _breaks(lines).groupBy("doc_id").applyInPandas(numbered, schema)
 
 
 def attributes(lines: DataFrame) -> DataFrame:

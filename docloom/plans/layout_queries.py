@@ -86,11 +86,11 @@ def dominant_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.dominant_style(parts, ["doc_id"])
 
 
-@query(f"""WITH {_LINES}, o AS (SELECT *, max(y1) OVER (PARTITION BY doc_id, page_no ORDER BY y0, y1, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l WHERE line % 7 = 0),
+@query(f"""WITH {_LINES}, o AS (SELECT *, max(y1) OVER (PARTITION BY doc_id, page_no ORDER BY y0, y1, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l),
 f AS (SELECT *, CAST(sum(CASE WHEN y0 > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY y0, y1, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS row_no FROM o) SELECT doc_id, page_no, block, row_no FROM f""")
 def row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes in rows by overlap of height."""
-    return layout.row_groups(_lines(spark, sf_dir).where("line % 7 = 0")).select("doc_id", "page_no", "block", "row_no")
+    return layout.row_groups(_lines(spark, sf_dir)).select("doc_id", "page_no", "block", "row_no")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, page_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM l GROUP BY doc_id, page_no")
@@ -129,12 +129,12 @@ def cluster_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.clusters(times, ["user_id"], "t", 3600.0).withColumn("centre", F.round("centre", 3))
 
 
-@query(f"""WITH {_LINES}, p AS (SELECT doc_id, page_no, block, y0 + (line % 3) * 0.7 AS y, x0 + block / 1e6 AS x0 FROM l WHERE line % 11 = 0),
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, page_no, block, y0 + (line % 3) * 0.7 AS y, x0 + block / 1e6 AS x0 FROM l),
 s AS (SELECT *, CASE WHEN abs(y - lag(y) OVER w) >= 1.5 THEN 1 ELSE 0 END AS n FROM p WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY round_even(y, 0), x0))
 SELECT doc_id, page_no, block, CAST(sum(n) OVER (PARTITION BY doc_id, page_no ORDER BY round_even(y, 0), x0 ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM s""")
 def baseline_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts on the same baseline."""
-    parts = _lines(spark, sf_dir).where("line % 11 = 0").select("doc_id", "page_no", "block", (F.col("y0") + (F.col("line") % 3) * 0.7).alias("y"), (F.col("x0") + F.col("block") / 1e6).alias("x0"))
+    parts = _lines(spark, sf_dir).select("doc_id", "page_no", "block", (F.col("y0") + (F.col("line") % 3) * 0.7).alias("y"), (F.col("x0") + F.col("block") / 1e6).alias("x0"))
     return layout.baseline_lines(parts).select("doc_id", "page_no", "block", "cluster")
 
 

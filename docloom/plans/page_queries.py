@@ -59,23 +59,27 @@ def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("mode", "expr", "current", "total", _listed("x.pages").alias("pages"))
 
 
-@query("""WITH p AS (SELECT source, CAST(doc_id AS INTEGER) AS d FROM documents WHERE doc_id % 3 <> 0),
+#: Documents as pages; every seventh number is missing.
+_NUMBER = "doc_id + doc_id div 7"
+
+
+@query("""WITH p AS (SELECT source, CAST(doc_id + doc_id // 7 AS INTEGER) AS d FROM documents),
 i AS (SELECT source, d, d - row_number() OVER (PARTITION BY source ORDER BY d) AS g FROM p),
 r AS (SELECT source, min(d) AS a, max(d) AS b FROM i GROUP BY source, g),
 t AS (SELECT source, a, row_number() OVER (PARTITION BY source ORDER BY a) AS k, CASE WHEN a = b THEN a::VARCHAR ELSE a || '–' || b END AS x, sum(b - a + 1) OVER (PARTITION BY source) AS n, count(*) OVER (PARTITION BY source) AS m FROM r)
 SELECT source, 's. ' || CASE WHEN max(m) > 4 THEN string_agg(x, ', ' ORDER BY a) FILTER (k <= 3) || ' … (' || CAST(max(n) AS BIGINT) || ' sayfa)' ELSE string_agg(x, ', ' ORDER BY a) END AS summary FROM t GROUP BY source""")
 def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page numbers in short: runs, and of many runs the first three."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("source", F.col("doc_id").cast("int").alias("d"))
+    docs = table(spark, sf_dir, "documents").select("source", F.expr(_NUMBER).cast("int").alias("d"))
     return pages.summaries(docs, "source", "d")
 
 
-@query("""WITH p AS (SELECT DISTINCT source, doc_id FROM documents WHERE doc_id % 3 <> 0),
+@query("""WITH p AS (SELECT DISTINCT source, doc_id + doc_id // 7 AS doc_id FROM documents),
 i AS (SELECT source, doc_id, doc_id - row_number() OVER (PARTITION BY source ORDER BY doc_id) AS g FROM p)
 SELECT source, min(doc_id) AS first, max(doc_id) AS last FROM i GROUP BY source, g""")
 def page_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page list as runs."""
-    return pages.islands(table(spark, sf_dir, "documents").where("doc_id % 3 <> 0"), "source", "doc_id")
+    return pages.islands(table(spark, sf_dir, "documents").select("source", F.expr(_NUMBER).alias("doc_id")), "source", "doc_id")
 
 
 RECIPE_ROWS = [("a", 0, "x", 1), ("a", 1, "x", 2), ("a", 2, "x", 4), ("a", 3, None, None), ("a", 4, None, None), ("a", 5, "y", 5), ("a", 6, "x", 6), ("a", 7, "x", 7), ("b", 0, "x", 2), ("b", 1, "x", 1)]

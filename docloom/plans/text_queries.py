@@ -132,7 +132,7 @@ def argb_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", colour.alias("colour"), T.rgba(colour).alias("c")).select("doc_id", "colour", "c.*")
 
 
-COLOURS = Relation("c", "raw string, colour string", [("#ABC", "#aabbcc"), (" #a1B2c3 ", "#a1b2c3"), ("rgb(255, 0,16)", "#ff0010"), ("rgb(300,1,2)", "#ff0102"), ("red", None), (None, None)])
+COLOURS = Relation("c", "raw string, colour string", [("#ABC", "#aabbcc"), (" #a1B2c3 ", "#a1b2c3"), ("rgb(255, 0,16)", "#ff0010"), ("rgb(300,1,2)", "#ff0102"), ("red", "#ff0000"), (" Green", "#008000"), ("mauve", None), (None, None)])
 
 
 @query(f"WITH {COLOURS.cte} SELECT raw, colour FROM c")

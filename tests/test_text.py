@@ -104,6 +104,70 @@ def test_tags_go_and_blocks_end_lines(spark):
         ("abc", "123", "xabcy", "11233"),
     ],
 )
-def test_styles_after_an_edit(old, styled, new, expected):
-    got = styles.reconciled_styles(old, list(styled), new)
+def test_styles_after_an_edit(spark, old, styled, new, expected):
+    texts = spark.createDataFrame([("d", old, list(styled), new)], "doc_id string, old string, styles array<string>, new string")
+    got = styles.reconciled(texts).first().styles
     assert "".join(s or "-" for s in got) == expected
+
+
+def test_boxes_merge_to_a_fixed_point():
+    import numpy as np
+
+    from docloom.operators.layout import TOUCH, grown_together
+
+    def plainly(boxes):
+        boxes = [tuple(b) for b in boxes]
+        while True:
+            pair = next(((a, b) for a in boxes for b in boxes if a is not b and a[0] <= b[2] + TOUCH and b[0] <= a[2] + TOUCH and a[1] <= b[3] + TOUCH and b[1] <= a[3] + TOUCH), None)
+            if pair is None:
+                return sorted(boxes)
+            a, b = pair
+            boxes = [x for x in boxes if x is not a and x is not b] + [(min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))]
+
+    rng = np.random.default_rng(5)
+    for n, spread in ((0, 1), (1, 1), (2, 5), (40, 300), (80, 900), (200, 2500)):
+        corner, size = rng.integers(0, spread, (n, 2)), rng.integers(1, 60, (n, 2))
+        boxes = np.hstack([corner, corner + size]).astype(float).reshape(-1, 4)
+        assert sorted(map(tuple, grown_together(boxes))) == plainly(boxes)
+
+
+def test_connected_groups_agree_with_brute_force(spark):
+    import numpy as np
+
+    from docloom.operators.layout import connected_groups
+
+    rng = np.random.default_rng(9)
+    rows, boxes = [], {}
+    for page in range(3):
+        corner = rng.integers(0, 400, (60, 2)).astype(float)
+        boxes[page] = np.hstack([corner, corner + rng.integers(1, 40, (60, 2))])
+        rows += [("d", page, i, *map(float, b)) for i, b in enumerate(boxes[page])]
+    frame = spark.createDataFrame(rows, "doc_id string, page_no int, box_no int, x0 double, y0 double, x1 double, y1 double")
+    got = {}
+    for r in connected_groups(frame, 3.0, 1.0).collect():
+        got.setdefault((r.page_no, r.group_no), set()).add(r.box_no)
+    expected = set()
+    for page, b in boxes.items():
+        label = list(range(len(b)))
+        meets = lambda p, q: p[0] - 3 <= q[2] + 3 and q[0] - 3 <= p[2] + 3 and p[1] - 1 <= q[3] + 1 and q[1] - 1 <= p[3] + 1
+        changed = True
+        while changed:
+            changed = False
+            for i in range(len(b)):
+                for j in range(len(b)):
+                    if meets(b[i], b[j]) and label[j] < label[i]:
+                        label[i], changed = label[j], True
+        for i in range(len(b)):
+            expected.add((page, frozenset(j for j in range(len(b)) if label[j] == label[i])))
+    assert {(page, frozenset(v)) for (page, _), v in got.items()} == expected
+
+
+def test_missing_note_is_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    from docloom.operators import annots
+
+    notes = spark.createDataFrame([("d", 1, "x")], "doc_id string, id int, payload string")
+    assert annots.one(notes, notes.select("doc_id", "id")).first().payload == "x"
+    with pytest.raises(PySparkException):
+        annots.one(notes, spark.createDataFrame([("d", 2)], "doc_id string, id int")).collect()
