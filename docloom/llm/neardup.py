@@ -230,21 +230,22 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
 
-def frequent(classes: DataFrame, most_rows: int = MOST_FREQUENT, least: int = LEAST_FREQUENT) -> int:
-    """A number of rows that at most ``most_rows`` of ``classes`` (n: rows of each) reach, ``least`` or a power of two times that."""
-    sizes = classes.where(F.col("n") >= least).groupBy(F.floor(F.log2(F.col("n") / least)).cast("int").alias("power")).count()
-    counts, power = {r.power: r["count"] for r in sizes.collect()}, 0  # 64 rows at most
-    while sum(c for p, c in counts.items() if p >= power) > most_rows:
+def frequent(classes: DataFrame, most: int = MOST_FREQUENT, weight: Column | None = None, least: int = LEAST_FREQUENT) -> int:
+    """A number of rows such that those of ``classes`` (n: rows of each) that reach it weigh at most ``most`` together; ``least`` or a power of two times that."""
+    weight = F.lit(1) if weight is None else weight
+    sizes = classes.where(F.col("n") >= least).groupBy(F.floor(F.log2(F.col("n") / least)).cast("int").alias("power")).agg(F.sum(weight).alias("weight"))
+    weights, power = {r.power: r.weight for r in sizes.collect()}, 0  # 64 rows at most
+    while sum(w for p, w in weights.items() if p >= power) > most:
         power += 1
     return least << power
 
 
-def with_class(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+def with_class(rows: DataFrame, classes: DataFrame, key: str, most: int = MOST_FREQUENT, weight: Column | None = None) -> DataFrame:
     """``rows`` joined with the written table ``classes`` (``key``, n: its rows, ...), so that no key's rows meet in one task.
 
-    Keys with many rows are few and come by broadcast, at most ``MOST_FREQUENT``; the others are joined by shuffle.
+    Keys with many rows are few and come by broadcast, up to the weight ``most`` together; the others are joined by shuffle.
     """
-    bound = frequent(classes)
+    bound = frequent(classes, most, weight)
     often, seldom = classes.where(F.col("n") >= bound).drop("n"), classes.where(F.col("n") < bound).drop("n")
     near = rows.join(F.broadcast(often), key)
     return near.unionByName(rows.join(F.broadcast(often.select(key)), key, "left_anti").join(seldom, key))
