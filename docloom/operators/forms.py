@@ -39,6 +39,18 @@ def data_paths(nodes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "node_id", F.when(~F.col("barred") & (F.size("parts") > 0), path).alias("path"))
 
 
+def _named_below(plain: DataFrame) -> DataFrame:
+    """(doc_id, holder, node_id, name, hop): the named nodes below each node that only unnamed ones stand between, and how many of those."""
+    return plain.sparkSession.sql(
+        f"""WITH RECURSIVE down AS (
+              SELECT doc_id, parent_id AS holder, node_id, name, 0 AS hop FROM {{nodes}} WHERE parent_id IS NOT NULL
+              UNION ALL
+              SELECT d.doc_id, d.holder, n.node_id, n.name, d.hop + 1 FROM down d JOIN {{nodes}} n ON n.doc_id = d.doc_id AND n.parent_id = d.node_id WHERE d.name IS NULL AND d.hop < {MOST_HOPS})
+            SELECT doc_id, holder, node_id, name, hop FROM down WHERE name IS NOT NULL""",
+        nodes=plain,
+    )
+
+
 def found_in_scope(lookups: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc_id, lookup_id, node_id): the node that a name means from where it is used.
 
@@ -47,14 +59,7 @@ def found_in_scope(lookups: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     spark = nodes.sparkSession
     plain = nodes.select("doc_id", "node_id", "parent_id", "tag", F.nullif("name", F.lit("")).alias("name"))
-    below = spark.sql(
-        f"""WITH RECURSIVE down AS (
-              SELECT doc_id, parent_id AS holder, node_id, name, 0 AS hop FROM {{nodes}} WHERE parent_id IS NOT NULL
-              UNION ALL
-              SELECT d.doc_id, d.holder, n.node_id, n.name, d.hop + 1 FROM down d JOIN {{nodes}} n ON n.doc_id = d.doc_id AND n.parent_id = d.node_id WHERE d.name IS NULL AND d.hop < {MOST_HOPS})
-            SELECT doc_id, holder, node_id, name FROM down WHERE name IS NOT NULL""",
-        nodes=plain,
-    )
+    below = _named_below(plain).drop("hop")
     own = plain.where(F.col("tag").isin(*CONTAINERS) & F.col("name").isNotNull()).select("doc_id", F.col("node_id").alias("holder"), "node_id", "name", F.lit(0).alias("inside"))
     named = own.unionByName(below.withColumn("inside", F.lit(1)))
     outward = spark.sql(
@@ -86,3 +91,43 @@ def edited_instances(groups: Column, least: Column, most: Column, op: Column, in
         .otherwise(result(count - 1, none, F.coalesce(index, F.when(groups >= count, count - 1))))
     )
     return F.when(op == "add", add).otherwise(remove)
+
+
+# Beginnings of paths from the node itself, and from the root of the form.
+FROM_HERE = ("this", "$")
+FROM_ROOT = r"^(?:xfa\.(?:form|template)|\$(?:form|template))\."
+STEP = r"[#$A-Za-z_][\w$#]*(?:\[(?:\d+|\*)\])?"
+
+
+def resolved_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, path_id, node_id, manager): what a path such as ``form1.rows._item`` means from the node ``at``.
+
+    ``paths``: doc_id, path_id, at, path. The first name is looked for in scope, or is the form's root, or ``this``; the
+    others lead to children, ``parent`` to the container above, and ``_name`` or ``instanceManager`` to what manages the
+    instances of a node, where a path ends. Paths that lead nowhere have no row. Each step is one join; there are as many as
+    the longest path has names.
+    """
+    plain = nodes.select("doc_id", "node_id", "parent_id", "tag", F.nullif("name", F.lit("")).alias("name"))
+    bare = F.trim(F.regexp_replace("path", r"\s*\.\s*", "."))
+    right = paths.withColumn("path", bare).where(F.col("path").rlike(rf"^{STEP}(?:\.{STEP})*$"))
+    right = right.withColumn("absolute", F.col("path").rlike(FROM_ROOT))
+    names = F.transform(F.split(F.regexp_replace("path", FROM_ROOT, ""), r"\."), lambda n: F.regexp_replace(n, r"\[.*$", ""))
+    right = right.select("doc_id", "path_id", "at", "absolute", names.alias("names")).withColumn("own", F.col("names")[0].isin(*FROM_HERE) & ~F.col("absolute"))
+    right = right.withColumn("first", F.regexp_replace(F.col("names")[0], "^_", ""))
+    scoped = found_in_scope(right.where("NOT own AND NOT absolute").select("doc_id", F.col("path_id").alias("lookup_id"), "at", F.col("first").alias("name")), nodes)
+    boxes = plain.where(F.col("tag").isin(*CONTAINERS)).select("doc_id", "node_id", "parent_id", "name")
+    held = boxes.join(boxes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("node_id").alias("up")), ["doc_id", "parent_id"], "left")
+    tops = held.where("up IS NULL AND name IS NOT NULL").select("doc_id", F.col("name").alias("first"), F.lit(True).alias("absolute"), F.col("node_id").alias("top"))
+    state = right.join(scoped.select("doc_id", F.col("lookup_id").alias("path_id"), F.col("node_id").alias("found")), ["doc_id", "path_id"], "left").join(tops, ["doc_id", "first", "absolute"], "left")
+    start = F.when(F.col("own"), F.col("at")).when(F.col("absolute"), F.col("top")).otherwise(F.col("found"))
+    state = state.select("doc_id", "path_id", "names", start.alias("node_id"), (~F.col("own") & F.col("names")[0].startswith("_")).alias("manager")).where("node_id IS NOT NULL")
+    below = _named_below(plain).groupBy("doc_id", F.col("holder").alias("node_id"), F.col("name").alias("step")).agg(F.min_by("node_id", F.struct("hop", "node_id")).alias("child"))
+    ups = held.where("up IS NOT NULL").select("doc_id", "node_id", "up")
+    longest = right.agg(F.coalesce(F.max(F.size("names")), F.lit(0))).first()[0]
+    for i in range(1, longest):
+        name = F.get("names", F.lit(i))
+        moved = state.withColumn("step", F.regexp_replace(name, "^_", "")).join(below, ["doc_id", "node_id", "step"], "left").join(ups, ["doc_id", "node_id"], "left")
+        to = F.when(name.isNull(), F.col("node_id")).when(F.col("manager"), None).when(name == "parent", F.col("up")).when(name == "instanceManager", F.col("node_id")).otherwise(F.col("child"))
+        ends = F.coalesce((name == "instanceManager") | name.startswith("_"), F.lit(False))
+        state = moved.select("doc_id", "path_id", "names", to.alias("node_id"), (F.col("manager") | ends).alias("manager")).where("node_id IS NOT NULL")
+    return state.select("doc_id", "path_id", "node_id", "manager")

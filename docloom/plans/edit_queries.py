@@ -179,6 +179,14 @@ def pdf_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.pdf_numbers(flat).alias("flat"), T.pdf_number_lists(nested).alias("nested"))
 
 
+@query("""WITH e AS (SELECT event_id, ts, CAST(user_id % 27 - 13 AS INTEGER) * 30 AS m FROM events)
+SELECT event_id, 'D:' || strftime(ts + to_minutes(m), '%Y%m%d%H%M%S') || CASE WHEN m < 0 THEN '-' ELSE '+' END || lpad(CAST(abs(m) // 60 AS VARCHAR), 2, '0') || chr(39) || lpad(CAST(abs(m) % 60 AS VARCHAR), 2, '0') || chr(39) AS stamp FROM e""")
+def pdf_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as dates of a document, in zones around the world."""
+    minutes = (F.col("user_id") % 27 - 13).cast("int") * 30
+    return table(spark, sf_dir, "events").select("event_id", T.pdf_date(F.col("ts").cast("timestamp"), minutes).alias("stamp"))
+
+
 _WORD_SIGNS = r"""[A-Za-z0-9!"#$%&''()*+,./:;<=>?@\[\\\]^_`{|}~]"""
 
 

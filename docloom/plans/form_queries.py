@@ -39,6 +39,15 @@ def form_scope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.found_in_scope(LOOKUPS.frame(spark), NODES.frame(spark))
 
 
+FORM_PATHS = Relation("p", "doc_id string, path_id int, at int, path string", [("d", 1, 4, "form1.rows.amount"), ("d", 2, 12, "this.parent"), ("d", 3, 12, "xfa.form.form1.free"), ("d", 4, 12, "form1._rows"), ("d", 5, 4, "rows.instanceManager"), ("d", 6, 4, "$template.other"), ("d", 7, 4, "rows.nothing"), ("d", 8, 4, "a b"), ("d", 9, 12, "rows[0].amount[*]"), ("d", 10, 4, "_rows.amount"), ("d", 11, 12, "$")])
+
+
+@query("SELECT 'd' AS doc_id, CAST(i AS INTEGER) AS path_id, CAST(n AS INTEGER) AS node_id, m AS manager FROM (VALUES (1, 4, false), (2, 6, false), (3, 5, false), (4, 3, true), (5, 3, true), (9, 4, false), (11, 12, false)) t(i, n, m)")
+def form_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What paths mean from where they are used."""
+    return forms.resolved_paths(FORM_PATHS.frame(spark), NODES.frame(spark))
+
+
 EDITS = Relation(
     "e",
     "groups int, least int, most int, op string, place int, count int, bound int, removed int",
