@@ -251,3 +251,22 @@ NUMBERED = Relation("n", "doc_id string, page_no int, page_width double, x0 doub
 def page_number_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose repeated line is the number of its page."""
     return layout.page_number_line(NUMBERED.frame(spark))
+
+
+@query(f"""WITH {_LINES}, z AS (SELECT doc_id, page_no, CAST(round_even(y0, 0) AS INTEGER) AS y, regexp_replace(text, '[0-9]+', '#', 'g') AS masked, text, y0 > page_height * 0.84 AS low FROM l WHERE y0 < page_height * 0.16 OR y0 > page_height * 0.84),
+d AS (SELECT doc_id, greatest(2, ceil(count(DISTINCT page_no) * 0.6)) AS need FROM l GROUP BY doc_id HAVING count(DISTINCT page_no) >= 2),
+o AS (SELECT doc_id, page_no, y, masked, min(text) AS text, bool_or(low) AS low FROM z GROUP BY ALL),
+k AS (SELECT doc_id, y, masked, count(*) AS n, bool_or(low) AS low FROM o GROUP BY ALL),
+r AS (SELECT k.doc_id, k.y, k.masked, k.low, sum(b.n) AS around FROM k JOIN k b ON b.doc_id = k.doc_id AND b.masked = k.masked AND b.y BETWEEN k.y - 2 AND k.y + 2 GROUP BY ALL),
+w AS (SELECT doc_id, masked, max(c) AS same, bool_and(regexp_full_match(trim(text), '\\D{{0,24}}?\\d{{1,4}}(\\s*(/|-|of)\\s*\\d{{1,4}})?\\D{{0,16}}')) AS numbers FROM (SELECT doc_id, masked, text, count(*) AS c FROM o GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT r.doc_id, r.y, r.masked FROM r JOIN w USING (doc_id, masked) JOIN d USING (doc_id) WHERE around >= need AND (same >= need OR (low AND numbers))),
+c AS (SELECT l.*, CASE WHEN y0 < page_height / 2 THEN 'header' ELSE 'footer' END AS zone FROM l WHERE EXISTS (SELECT 1 FROM f WHERE f.doc_id = l.doc_id AND f.masked = regexp_replace(l.text, '[0-9]+', '#', 'g') AND abs(f.y - CAST(round_even(l.y0, 0) AS INTEGER)) <= 2)),
+n AS (SELECT doc_id, zone, list_sort(list(n)) AS n FROM (SELECT doc_id, zone, page_no, count(*) AS n FROM c GROUP BY ALL) GROUP BY doc_id, zone),
+e AS (SELECT c.* FROM c JOIN n USING (doc_id, zone) WHERE n.n[len(n.n) // 2 + 1] <= 6),
+g AS (SELECT doc_id, regexp_replace(text, '[0-9]+', '#', 'g') AS wording, min(CAST(page_no AS BIGINT) * 1000000000 + block) AS place FROM e WHERE zone = 'footer' GROUP BY ALL HAVING count(*) >= 2 AND bool_and(CAST(regexp_extract(text, '[0-9]+', 0) AS INTEGER) = page_no)),
+h AS (SELECT doc_id, arg_min(wording, place) AS number FROM g GROUP BY doc_id)
+SELECT doc_id, page_no, block AS line_no, CASE WHEN zone = 'footer' AND regexp_replace(text, '[0-9]+', '#', 'g') = number THEN 'number' ELSE zone END AS kind FROM e LEFT JOIN h USING (doc_id)""")
+def header_footer_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines as headers, footers and page numbers."""
+    lines = _lines(spark, sf_dir).withColumn("y", F.col("y0")).withColumn("line_no", F.col("block"))
+    return layout.header_footer_lines(lines)

@@ -171,3 +171,16 @@ def test_missing_note_is_an_error(spark):
     assert annots.one(notes, notes.select("doc_id", "id")).first().payload == "x"
     with pytest.raises(PySparkException):
         annots.one(notes, spark.createDataFrame([("d", 2)], "doc_id string, id int")).collect()
+
+
+def test_headers_footers_and_numbers(spark):
+    from docloom.operators import layout
+
+    rows = [("d", p, n, 600.0, 800.0, 280.0, 320.0, y, t) for p in range(1, 6) for n, (y, t) in enumerate([(40.0, "A title"), (400.0, f"body {p}"), (760.0, f"- {p} -"), (770.0, "Draft 7")]) if p > 1 or n]
+    rows += [("t", p, n, 600.0, 800.0, 10.0, 90.0, 20.0 + 10 * n, f"row {n}x") for p in range(1, 4) for n in range(9)]
+    lines = spark.createDataFrame(rows, "doc_id string, page_no int, line_no int, page_width double, page_height double, x0 double, x1 double, y double, text string")
+    kinds = layout.header_footer_lines(lines)
+    got = {(r.doc_id, r.page_no, r.line_no): r.kind for r in kinds.collect()}
+    assert got == {("d", p, 0): "header" for p in range(2, 6)} | {("d", p, 2): "number" for p in range(1, 6)} | {("d", p, 3): "footer" for p in range(1, 6)}
+    starts = {(r.kind, r.page_no, r.late) for r in layout.header_starts(kinds, lines.select("doc_id", "page_no").distinct()).collect()}
+    assert starts == {("header", 2, True), ("footer", 1, False)}
