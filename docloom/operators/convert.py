@@ -158,3 +158,26 @@ def digest_state(content: Column, digests: Column) -> Column:
     sized = F.filter(digests, lambda d: name(d).isNotNull())
     state = lambda s, d: F.struct(F.lit(s).alias("state"), d.alias("algorithm"))
     return F.when(F.size(right) > 0, state("consistent", name(F.get(right, F.lit(0))))).when(F.size(sized) > 0, state("inconsistent", name(F.get(sized, F.lit(0))))).otherwise(state("unknown", F.lit(None).cast("string")))
+
+
+def _number(hexed: Column, at: Column, size: int) -> Column:
+    """The unsigned number, lowest byte first, in ``size`` bytes from a place of a content written in hex; null beyond its end."""
+    pairs = [F.substring(hexed, (2 * at + 2 * k + 1).cast("int"), F.lit(2)) for k in reversed(range(size))]
+    return F.when(2 * at + 2 * size <= F.length(hexed), F.conv(F.concat(*pairs), 16, 10).try_cast("decimal(20,0)"))
+
+
+def encrypted_doc(content: Column) -> Column:
+    """Whether an old office file's main stream says that it is encrypted; false where its place can't be read.
+
+    Fixed values: places and sizes of the compound file's fields, the mark and the flag of the stream's beginning.
+    """
+    hexed = F.hex(content)
+    entry = F.instr(hexed, "WordDocument".encode("utf-16-le").hex().upper())
+    at = F.floor((entry - 1) / 2)
+    sector = F.pow(F.lit(2.0), F.least(_number(hexed, F.lit(30), 2), F.lit(16))).cast("long")
+    first, size = _number(hexed, at + 116, 4), _number(hexed, at + 120, 8)
+    fine = (entry > 0) & sector.between(512, 4096) & (size >= 4096) & (first < 0xFFFFFFFA)
+    begin = ((first + 1) * sector).cast("long")
+    marked = _number(hexed, begin, 2) == 0xA5EC
+    flags = _number(hexed, begin + 10, 2).cast("int")
+    return F.coalesce(fine & marked & (flags.bitwiseAND(0x0100) != 0), F.lit(False))

@@ -81,7 +81,7 @@ def run_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styles.collapsed_runs(chars)
 
 
-@query("""SELECT item_id AS doc_id, bool_and(regexp_matches(substring(text, i, 1), '[a-z ]')) FILTER (substring(text, i, 1) <> chr(10)) AS "all" FROM benchmark, range(1, 1000000) t(i) WHERE i > length(text) // 4 AND i <= length(text) - length(text) // 4 GROUP BY item_id""")
+@query("""SELECT item_id AS doc_id, bool_and(regexp_matches(substring(text, i, 1), '[a-z ]')) FILTER (substring(text, i, 1) <> chr(10)) AS "all" FROM (SELECT item_id, text, unnest(range(length(text) // 4 + 1, length(text) - length(text) // 4 + 1)) AS i FROM benchmark) GROUP BY item_id""")
 def run_all_styled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the middle half of each text has one style throughout."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("run_no"), "text", F.lit("x").alias("style"))

@@ -184,3 +184,34 @@ def test_headers_footers_and_numbers(spark):
     assert got == {("d", p, 0): "header" for p in range(2, 6)} | {("d", p, 2): "number" for p in range(1, 6)} | {("d", p, 3): "footer" for p in range(1, 6)}
     starts = {(r.kind, r.page_no, r.late) for r in layout.header_starts(kinds, lines.select("doc_id", "page_no").distinct()).collect()}
     assert starts == {("header", 2, True), ("footer", 1, False)}
+
+
+def test_encrypted_documents(spark):
+    import struct
+
+    from docloom.operators import convert
+
+    def file(flags=0x0100, shift=9, first=3, size=5000, mark=b"\xec\xa5"):
+        content = bytearray(8192)
+        content[0x1E:0x20] = struct.pack("<H", shift)
+        name = "WordDocument".encode("utf-16-le")
+        content[1024 : 1024 + len(name)] = name
+        content[1024 + 116 : 1024 + 128] = struct.pack("<IQ", first, size)
+        at = (first + 1) << shift
+        if at + 12 <= len(content):
+            content[at : at + 12] = mark + bytes(8) + struct.pack("<H", flags)
+        return bytes(content)
+
+    files = [file(), file(flags=0x0200), file(shift=4), file(size=100), file(mark=b"xx"), file(first=100), b"", b"WordDocument", file(first=0xFFFFFFFE), None]
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "i int, content binary")
+    got = dict(rows.select("i", convert.encrypted_doc(F.col("content"))).collect())
+    assert got == {i: i == 0 for i in range(len(files))}
+
+
+def test_boxes_become_strips_as_they_come(spark):
+    from docloom.operators import layout
+
+    rows = [("d", 1, 0, 10.0, 10.0, 50.0, 20.0, 0.0), ("d", 1, 1, 60.0, 11.0, 90.0, 22.0, 1.0), ("d", 1, 2, 10.0, 30.0, 50.0, 40.0, 359.0), ("d", 1, 3, 12.0, 12.0, 16.0, 18.0, 90.0), ("d", 2, 0, 1.0, 1.0, 2.0, 9.0, 90.0), ("d", 2, 1, 0.0, 10.0, 2.5, 30.0, 270.0)]
+    boxes = spark.createDataFrame(rows, "doc_id string, page_no int, pos int, x0 double, y0 double, x1 double, y1 double, angle double")
+    got = {tuple(r) for r in layout.line_strips(boxes).collect()}
+    assert got == {("d", 1, 0, False, 10.0, 10.0, 90.0, 22.0), ("d", 1, 1, False, 10.0, 30.0, 50.0, 40.0), ("d", 1, 2, True, 12.0, 12.0, 16.0, 18.0), ("d", 2, 0, True, 0.0, 1.0, 2.5, 30.0)}
