@@ -5,13 +5,16 @@ differ in at most ``radius`` bits are linked and links make components. Equal fi
 one class from the start, so copies never meet in pairs.
 
 Links are found by BK-trees: each child hangs on the edge numbered by its Hamming distance to
-the parent, and a query of radius r follows only edges within r of its own distance. One tree
-over everything would visit a growing share of itself for each query and could not be broadcast
-within a proven bound, so the trees are sharded: the 64 bits are cut into radius + 1 fields, and
-values within the radius agree on one field at least. Each (field, value) is a shard with its own
-tree, and each fingerprint is looked up where its radius + 1 shards are. A shard over
-``shard_limit`` fingerprints is cut again by the bits that are still free, by the same argument,
-until it is small; so no shard grows with the data and no link is lost.
+the parent, and a query of radius r follows only edges within r of its own distance. A broadcast
+tree would have to pass all fingerprints through the driver, and has no bound, so the trees are
+sharded and stay on the executors: the 64 bits are cut into radius + 1 fields, and values within
+the radius agree on one field at least. Each (field, value) is a shard with its own tree, and each
+fingerprint is sent to its radius + 1 shards and looked up there. A shard over ``shard_limit``
+fingerprints is cut again by the bits that are still free, by the same argument, until it is small;
+so no shard grows with the data and no link is lost.
+
+Components come from alternating stars. Rows are joined with their fingerprint's component by
+broadcast for fingerprints of many rows, which are few, and by shuffle for the others.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; null
 ids take no part in the smallest id of a component (which is null if all its ids are null);
