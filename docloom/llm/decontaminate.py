@@ -55,7 +55,7 @@ MOST_DIFFERENCES = 1 << 16
 #: Parts that the items hit by one document are dealt out to, so that they never are one value.
 ITEM_PARTS = 16
 SHIFTS_AT_ONCE = 1 << 20
-TOKENS_AT_ONCE = 500_000
+TOKENS_AT_ONCE = 128_000
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"place %d" % i) | 1 for i in range(32)], np.uint64)
 _WORD = re.compile(r"\w+")
 
@@ -67,7 +67,7 @@ def tokens_of(text: str | None) -> list[str]:
 class TokenHashes:
     """64-bit hashes of tokens, kept for the tokens seen lately."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         self.known: dict[str, int] = {}
         self.most = most
 

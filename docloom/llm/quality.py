@@ -35,7 +35,7 @@ from docloom.llm.common import crc32_of_id, parts_for, unlike, written
 BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 14, 32, 2, 2
 SHAPES, SHAPE_DIMENSIONS = 1 << 10, 16
 CHUNKS, BRANCHING = 16, 32
-TOKENS_AT_ONCE = 300_000
+TOKENS_AT_ONCE = 64_000
 MOST_LABELLED = 20_000
 FEATURES = 2 * DIMENSIONS + SHAPE_DIMENSIONS + REACH + 1
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -53,7 +53,7 @@ def _shape(token: str) -> str:
 class Words:
     """(bucket, shape) of each word of a text, kept for the words seen lately."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         self.known: dict[str, int] = {}
         self.most = most
 
