@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import annsearch, decontaminate, htmltext, language, linededup, neardup, packing, quality, secretscan, warc
+from docloom.llm import annsearch, decontaminate, exactdedup, htmltext, language, linededup, neardup, packing, quality, secretscan, warc
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,12 @@ ORACLE_SQL["op6_warc_round_trip"] = warc.ORACLE_SQL
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every whole page."""
     return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equal texts that stays."""
+    return exactdedup.digest(exactdedup.deduplicated(spark, f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL["op12_exact_dedup"] = exactdedup.ORACLE_SQL
