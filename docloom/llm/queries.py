@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import annsearch, decontaminate, exactdedup, htmltext, language, linededup, neardup, packing, quality, secretscan, warc
+from docloom.llm import annsearch, decontaminate, exactdedup, htmltext, language, linededup, merkle, neardup, packing, quality, secretscan, warc
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,12 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op12_exact_dedup"] = exactdedup.ORACLE_SQL
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and folded root in the Merkle manifest of the table."""
+    return merkle.digest(merkle.document_manifest(table(spark, sf_dir, "documents")))
+
+
+ORACLE_SQL["op13_merkle_manifest"] = merkle.ORACLE_SQL
