@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import annsearch, decontaminate, exactdedup, htmltext, language, linededup, merkle, neardup, packing, quality, secretscan, warc
+from docloom.llm import annsearch, decontaminate, exactdedup, htmltext, language, linededup, merkle, neardup, packing, prefixtrie, quality, secretscan, warc
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,12 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op13_merkle_manifest"] = merkle.ORACLE_SQL
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations' turns."""
+    return prefixtrie.digest(prefixtrie.nodes(table(spark, sf_dir, "conversations")))
+
+
+ORACLE_SQL["op11_prefix_trie"] = prefixtrie.ORACLE_SQL
