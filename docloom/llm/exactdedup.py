@@ -33,7 +33,9 @@ from docloom.llm.neardup import with_class
 MOST_BROADCAST = 1_000_000
 #: Bytes of new files that one batch of a stream takes at most (one file at least).
 BATCH_BYTES = 1 << 40
+#: Files of a state store aren't allocated in advance, as there are as many stores as shuffle partitions.
 STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "500",
