@@ -77,4 +77,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, which cuts lineage."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` returned and nothing reads any more."""
+    for df in tables:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
