@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.chains import nearest
 from docloom.session import written
 
 MOST_HOPS = 32
@@ -65,20 +66,15 @@ def xref_map(source: DataFrame, copies: DataFrame) -> DataFrame:
     return pairs.where("xref_n = new_xref_n").select("doc_id", "page_no", "xref", "new_xref")
 
 
-def inherited(nodes: DataFrame, attribute: str, hops: int = MOST_HOPS) -> DataFrame:
+def inherited(nodes: DataFrame, attribute: str, hops: int | None = MOST_HOPS) -> DataFrame:
     """(doc_id, id, value): an attribute from the nearest of a field and its ancestors (doc_id, id, parent_id) that has it.
 
-    A chain goes on for ``hops`` steps at most, so cycles end.
+    A value counts up to ``hops`` steps away; with None at any distance. Of rows with the same id the largest value and parent count.
     """
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE up AS (
-              SELECT doc_id, id, id AS at, parent_id, value, 0 AS depth FROM {{nodes}}
-              UNION ALL
-              SELECT u.doc_id, u.id, n.id, n.parent_id, n.value, u.depth + 1 FROM up u JOIN {{nodes}} n ON n.doc_id = u.doc_id AND n.id = u.parent_id
-              WHERE u.value IS NULL AND u.depth < {hops})
-            SELECT doc_id, id, max(value) AS value FROM up GROUP BY doc_id, id""",
-        nodes=nodes.select("doc_id", "id", "parent_id", F.col(attribute).alias("value")),
-    )
+    single = nodes.groupBy("doc_id", "id").agg(F.max("parent_id").alias("parent_id"), F.max(attribute).alias("value"))
+    found = nearest(single, ["doc_id"], "id", "parent_id", "value")
+    near = F.col("value") if hops is None else F.when(F.col("hop") <= hops, F.col("value"))
+    return found.select("doc_id", "id", near.alias("value"))
 
 
 def tab_order(fields: DataFrame) -> DataFrame:

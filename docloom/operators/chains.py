@@ -63,3 +63,70 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
         if not jumped.where("label <> old").head(1):
             discard(both)
             return label
+
+
+def followed(starts: DataFrame, links: DataFrame, keys: list[str], at: str, node: str, after: str) -> DataFrame:
+    """``starts`` (keys, ``at``, ...) with ``hop``: each row for every node that following ``links`` (keys, node, after) from its ``at`` leads to, itself included.
+
+    A node has one link at most. Where links lead round, a node counts once, at its first hop.
+    """
+    own = [F.col(c).alias(f"own_{c}") for c in starts.columns]
+    who = [f"own_{c}" for c in starts.columns]
+    found = written(starts.select(*keys, at, *own, F.lit(0).cast("long").alias("hop")).distinct(), "followed")
+    jump, far = written(links.where(F.col(after).isNotNull()).select(*keys, F.col(node).alias(at), F.col(after).alias("to")), "jumps"), 1
+    while True:
+        step = found.join(jump, [*keys, at]).select(*keys, F.col("to").alias(at), *who, (F.col("hop") + far).alias("hop"))
+        fresh = step.groupBy(*keys, at, *who).agg(F.min("hop").alias("hop"))
+        more = written(fresh.join(found.select(*keys, at, *who).distinct(), [*keys, at, *who], "left_anti"), "followed")
+        if not more.head(1):
+            discard(more, jump)
+            return found.select(*[F.col(f"own_{c}").alias(c) for c in starts.columns if c != at], at, "hop")
+        both = written(found.unionByName(more), "followed")
+        next_jump = jump.select(*keys, F.col(at).alias("to"), F.col("to").alias("further"))
+        longer = written(jump.join(next_jump, [*keys, "to"]).select(*keys, at, F.col("further").alias("to")), "jumps")
+        discard(found, more, jump)
+        found, jump, far = both, longer, far * 2
+
+
+def nearest(nodes: DataFrame, keys: list[str], node: str, parent: str, value: str) -> DataFrame:
+    """(keys, node, value, hop): the value of the nearest of a node and its ancestors that has one, and how far up that is.
+
+    Each node looks at twice as many ancestors in each round and keeps one pointer, so neither depth nor the number of nodes has a
+    bound, and no node is paired with all of its ancestors. Nodes in a cycle without a value stay without. Ids must be unique.
+    """
+    rows = nodes.select(*keys, node, F.col(value).alias("value"), F.when(F.col(value).isNull(), F.col(parent)).alias("up"), F.lit(0).cast("long").alias("hop"))
+    rows = written(rows.withColumn("step", F.lit(1).cast("long")), "nearest")
+    rounds = max(1, rows.count().bit_length())
+    for _ in range(rounds):
+        if not rows.where("up IS NOT NULL").head(1):
+            break
+        there = rows.select(*keys, F.col(node).alias("up"), F.col("value").alias("v"), F.col("up").alias("u"), F.col("hop").alias("h"), F.col("step").alias("s"))
+        seen = rows.where("up IS NOT NULL").join(there, [*keys, "up"], "left")
+        moved = seen.select(*keys, node, F.col("v").alias("value"), F.when(F.col("v").isNull(), F.col("u")).alias("up"), F.when(F.col("v").isNull(), F.lit(0)).otherwise(F.col("step") + F.col("h")).cast("long").alias("hop"), (F.col("step") + F.coalesce("s", F.lit(0))).alias("step"))
+        new = written(rows.where("up IS NULL").unionByName(moved), "nearest")
+        discard(rows)
+        rows = new
+    return rows.select(*keys, node, "value", "hop")
+
+
+def gathered(nodes: DataFrame, keys: list[str], node: str, parent: str, parts: str) -> DataFrame:
+    """(keys, node, parts): the lists of a node's ancestors, from the outermost, and its own, as one list; by pointers that double.
+
+    A list grows with the depth of its node and nothing else does. A node whose ancestors lead round has an empty list.
+    """
+    known = nodes.select(*keys, F.col(node).alias(parent), F.lit(True).alias("known"))
+    roots = nodes.join(known, [*keys, parent], "left").select(*keys, node, parent, F.when(F.col("known").isNull(), F.lit(True)).alias("root"))
+    rooted = nearest(roots, keys, node, parent, "root").where("value").select(*keys, node, F.lit(True).alias("rooted"))
+    own = nodes.select(*keys, node, F.col(parts).alias("parts"), F.col(parent).alias("up")).join(rooted, [*keys, node], "left")
+    own = own.select(*keys, node, F.when(F.col("rooted"), F.col("parts")).otherwise(F.slice("parts", 1, 0)).alias("parts"), F.when(F.col("rooted"), F.col("up")).alias("up"))
+    rows = written(own, "gathered")
+    for _ in range(max(1, rows.count().bit_length())):
+        if not rows.where("up IS NOT NULL").head(1):
+            break
+        there = rows.select(*keys, F.col(node).alias("up"), F.col("parts").alias("p"), F.col("up").alias("u"))
+        joined = rows.where("up IS NOT NULL").join(there, [*keys, "up"], "left")
+        moved = joined.select(*keys, node, F.concat(F.coalesce("p", F.slice("parts", 1, 0)), "parts").alias("parts"), F.col("u").alias("up"))
+        new = written(rows.where("up IS NULL").unionByName(moved), "gathered")
+        discard(rows)
+        rows = new
+    return rows.select(*keys, node, "parts")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.chains import followed, gathered
+from docloom.session import written
+
 MOST_INSTANCES = 1000
-MOST_HOPS = 64
 # Elements that hold others.
 CONTAINERS = ("subform", "field", "exclGroup", "draw", "area", "subformSet", "pageArea", "pageSet")
 
@@ -23,32 +25,23 @@ def data_paths(nodes: DataFrame) -> DataFrame:
     ``nodes``: doc_id, node_id, parent_id, tag, name, match. Unnamed subforms and those bound to nothing are
     passed through; those in page areas or bound in other ways have no path.
     """
-    up = nodes.sparkSession.sql(
-        f"""WITH RECURSIVE up AS (
-              SELECT doc_id, node_id, parent_id, tag, name, match, 0 AS depth FROM {{nodes}} WHERE tag = 'subform'
-              UNION ALL
-              SELECT u.doc_id, u.node_id, n.parent_id, n.tag, n.name, n.match, u.depth + 1 FROM up u JOIN {{nodes}} n ON n.doc_id = u.doc_id AND n.node_id = u.parent_id WHERE u.depth < {MOST_HOPS})
-            SELECT * FROM up""",
-        nodes=nodes.select("doc_id", "node_id", "parent_id", "tag", "name", F.coalesce("match", F.lit("once")).alias("match")),
-    )
+    match = F.coalesce("match", F.lit("once"))
     named = (F.col("tag") == "subform") & (F.coalesce("name", F.lit("")) != "")
-    barred = F.col("tag").isin("pageArea", "pageSet") | (named & F.col("match").isin("dataRef", "global"))
-    part = F.when(named & (F.col("match") == "once"), F.struct((-F.col("depth")).alias("order"), "name"))
-    rows = up.groupBy("doc_id", "node_id").agg(F.bool_or(barred).alias("barred"), F.array_sort(F.collect_list(part)).alias("parts"))
+    barred = F.col("tag").isin("pageArea", "pageSet") | (named & match.isin("dataRef", "global"))
+    # A part without a name stands for a node that bars the path.
+    part = F.when(barred, F.array(F.struct(F.lit(None).cast("string").alias("name")))).when(named & (match == "once"), F.array(F.struct("name"))).otherwise(F.array().cast("array<struct<name:string>>"))
+    rows = gathered(nodes.select("doc_id", "node_id", "parent_id", part.alias("part")), ["doc_id"], "node_id", "parent_id", "part")
+    rows = rows.join(nodes.where("tag = 'subform'").select("doc_id", "node_id"), ["doc_id", "node_id"])
     path = F.array_join(F.transform("parts", lambda p: p["name"]), ".")
-    return rows.select("doc_id", "node_id", F.when(~F.col("barred") & (F.size("parts") > 0), path).alias("path"))
+    free = (F.size("parts") > 0) & ~F.exists("parts", lambda p: p["name"].isNull())
+    return rows.select("doc_id", "node_id", F.when(free, path).alias("path"))
 
 
 def _named_below(plain: DataFrame) -> DataFrame:
     """(doc_id, holder, node_id, name, hop): the named nodes below each node that only unnamed ones stand between, and how many of those."""
-    return plain.sparkSession.sql(
-        f"""WITH RECURSIVE down AS (
-              SELECT doc_id, parent_id AS holder, node_id, name, 0 AS hop FROM {{nodes}} WHERE parent_id IS NOT NULL
-              UNION ALL
-              SELECT d.doc_id, d.holder, n.node_id, n.name, d.hop + 1 FROM down d JOIN {{nodes}} n ON n.doc_id = d.doc_id AND n.parent_id = d.node_id WHERE d.name IS NULL AND d.hop < {MOST_HOPS})
-            SELECT doc_id, holder, node_id, name, hop FROM down WHERE name IS NOT NULL""",
-        nodes=plain,
-    )
+    starts = plain.where("name IS NOT NULL AND parent_id IS NOT NULL").select("doc_id", "node_id", "name", F.col("parent_id").alias("holder"))
+    past = plain.where("name IS NULL").select("doc_id", "node_id", "parent_id")
+    return followed(starts, past, ["doc_id"], "holder", "node_id", "parent_id").select("doc_id", "holder", "node_id", "name", "hop")
 
 
 def found_in_scope(lookups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -57,22 +50,14 @@ def found_in_scope(lookups: DataFrame, nodes: DataFrame) -> DataFrame:
     ``lookups``: doc_id, lookup_id, at (a node), name. Each container from there outwards is asked for itself and
     for the nodes below it that only unnamed ones stand between; the nearest container, then the first node, wins.
     """
-    spark = nodes.sparkSession
-    plain = nodes.select("doc_id", "node_id", "parent_id", "tag", F.nullif("name", F.lit("")).alias("name"))
+    plain = written(nodes.select("doc_id", "node_id", "parent_id", "tag", F.nullif("name", F.lit("")).alias("name")), "nodes")
     below = _named_below(plain).drop("hop")
-    own = plain.where(F.col("tag").isin(*CONTAINERS) & F.col("name").isNotNull()).select("doc_id", F.col("node_id").alias("holder"), "node_id", "name", F.lit(0).alias("inside"))
-    named = own.unionByName(below.withColumn("inside", F.lit(1)))
-    outward = spark.sql(
-        f"""WITH RECURSIVE out AS (
-              SELECT l.doc_id, l.lookup_id, l.name, n.node_id AS holder, n.parent_id, n.tag, 0 AS depth FROM {{lookups}} l JOIN {{nodes}} n ON n.doc_id = l.doc_id AND n.node_id = l.at
-              UNION ALL
-              SELECT o.doc_id, o.lookup_id, o.name, n.node_id, n.parent_id, n.tag, o.depth + 1 FROM out o JOIN {{nodes}} n ON n.doc_id = o.doc_id AND n.node_id = o.parent_id WHERE o.depth < {MOST_HOPS})
-            SELECT doc_id, lookup_id, name, holder, tag, depth FROM out""",
-        lookups=lookups.select("doc_id", "lookup_id", "at", "name"),
-        nodes=plain,
-    )
-    hits = outward.where(F.col("tag").isin(*CONTAINERS)).join(named, ["doc_id", "holder", "name"])
-    return hits.groupBy("doc_id", "lookup_id").agg(F.min_by("node_id", F.struct("depth", "inside", "node_id")).alias("node_id"))
+    boxes = plain.where(F.col("tag").isin(*CONTAINERS))
+    own = boxes.where("name IS NOT NULL").select("doc_id", F.col("node_id").alias("holder"), "node_id", "name", F.lit(0).alias("inside"))
+    named = own.unionByName(below.withColumn("inside", F.lit(1))).join(boxes.select("doc_id", F.col("node_id").alias("holder")), ["doc_id", "holder"], "left_semi")
+    outward = followed(lookups.select("doc_id", "lookup_id", "name", F.col("at").alias("holder")), plain, ["doc_id"], "holder", "node_id", "parent_id")
+    hits = outward.join(named, ["doc_id", "holder", "name"])
+    return hits.groupBy("doc_id", "lookup_id").agg(F.min_by("node_id", F.struct(F.col("hop").alias("depth"), "inside", "node_id")).alias("node_id"))
 
 
 def edited_instances(groups: Column, least: Column, most: Column, op: Column, index: Column) -> Column:

@@ -135,37 +135,33 @@ def merged_size(items: DataFrame, key: str = "merge_id") -> DataFrame:
 def remapped_outline(outline: DataFrame, mapping: DataFrame, base: Column | None = None) -> DataFrame:
     """(doc_id, pos, level, title, page_no): entries whose page is kept, on its first new place.
 
-    A level may be one deeper than the entry before at most. Each level depends on the level given
-    before, so the entries of a document are folded in order.
+    A level may be one deeper than the entry before at most, so the i-th is i more than the least of level less place so far.
     """
     places = mapping.groupBy("doc_id", F.col("old_page").alias("page_no")).agg(F.min("new_page").alias("new_page"))
     kept = outline.join(places, ["doc_id", "page_no"]).select("doc_id", "pos", "level", F.coalesce("title", F.lit("")).alias("title"), (F.col("new_page") + (base if base is not None else F.lit(0))).alias("page_no"))
-    entries = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title", "page_no"))).alias("entries"))
-    start = F.struct(F.lit(0).alias("before"), F.slice("entries", 1, 0).alias("out"))
+    document = Window.partitionBy("doc_id").orderBy("pos")
+    kept = kept.withColumn("place", F.row_number().over(document))
+    room = F.min(F.when(F.col("level").isNotNull(), F.greatest(F.col("level"), F.lit(1)) - F.col("place"))).over(document.rowsBetween(Window.unboundedPreceding, 0))
+    return kept.select("doc_id", "pos", (F.col("place") + F.least(F.lit(0), room)).cast("int").alias("level"), "title", "page_no")
 
-    def clamp(done: Column, e: Column) -> Column:
-        level = F.greatest(F.lit(1), F.least(e.level, done.before + 1))
-        return F.struct(level.alias("before"), F.concat(done.out, F.array(F.struct(e.pos.alias("pos"), level.alias("level"), e.title.alias("title"), e.page_no.alias("page_no")))).alias("out"))
 
-    return entries.select("doc_id", F.inline(F.aggregate("entries", start, clamp, lambda d: d.out)))
+#: Levels that one pass over the entries looks at.
+LEVELS_AT_ONCE = 64
 
 
 def outline_parents(outline: DataFrame) -> DataFrame:
     """(doc_id, pos, level, title, parent): the position of the last entry before with a smaller level, or null.
 
-    A document's entries are folded in order over the chain of entries that are still open.
+    For each level there is, its last entry before; of those of smaller levels the latest. Null levels have no parent and are none.
     """
-    entries = outline.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title"))).alias("entries"))
-    rows = F.transform("entries", lambda e: F.struct(e.pos.alias("pos"), e.level.alias("level"), e.title.alias("title"), e.pos.alias("parent")))
-    start = F.struct(F.slice("entries", 1, 0).alias("open"), F.slice(rows, 1, 0).alias("out"))
-
-    def step(done: Column, e: Column) -> Column:
-        above = F.filter(done.open, lambda o: o.level < e.level)
-        parent = F.get(F.transform(above, lambda o: o.pos), F.size(above) - 1)
-        row = F.struct(e.pos.alias("pos"), e.level.alias("level"), e.title.alias("title"), parent.alias("parent"))
-        return F.struct(F.concat(above, F.array(e)).alias("open"), F.concat(done.out, F.array(row)).alias("out"))
-
-    return entries.select("doc_id", F.inline(F.aggregate("entries", start, step, lambda d: d.out)))
+    rows = outline.select("doc_id", "pos", "level", "title").withColumn("parent", F.lit(None).cast(outline.schema["pos"].dataType))
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    # As many as a document's outline is deep, not as its entries.
+    levels = sorted(r.level for r in outline.where("level IS NOT NULL").select("level").distinct().collect())
+    for at in range(0, len(levels), LEVELS_AT_ONCE):
+        last = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("pos"))).over(before)) for k in levels[at : at + LEVELS_AT_ONCE]]
+        rows = rows.withColumn("parent", F.greatest("parent", *last))
+    return rows
 
 
 def page_list_diff(old: DataFrame, new: DataFrame, key: str = "list_id") -> DataFrame:
