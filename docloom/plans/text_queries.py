@@ -1,13 +1,14 @@
-"""Text functions over the driver's tables and literal rows."""
+"""Text functions over the driver's tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import paragraphs
 from docloom.functions import text as T
-from docloom.plans.registry import Relation, query
+from docloom.plans.derived import Patterns
+from docloom.plans.registry import query
 from docloom.session import table
 
 
@@ -62,21 +63,45 @@ def entity_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.decode_entities(T.escape_html(F.col("html"))).alias("decoded"))
 
 
-ENTITIES = Relation("e", "raw string, decoded string", [("a &lt;b&gt; &#65;&#x42;&amp;lt;", "a <b> AB&lt;"), ("&#128512;&quot;&apos;", "😀\"'"), ("&nbsp;&#0;&#1114112;x", "&nbsp;x"), ("&AMP; plain", "& plain"), ("", "")])
+def _texts(spark: SparkSession, sf_dir: str, texts: Patterns, **places: Column) -> DataFrame:
+    """(id, raw): a text for each part, filled with its numbers."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), texts.column(F.col("p_partkey"), **places).alias("raw"))
 
 
-@query(f"WITH {ENTITIES.cte} SELECT raw, decoded FROM e")
+def _texts_sql(texts: Patterns, **places: str) -> str:
+    return f"r AS (SELECT p_partkey AS id, {texts.sql('p_partkey', **places)} AS raw FROM part)"
+
+
+_ENTITY_TEXTS = Patterns("a &lt;b&gt; &#{a};&#x4{b};&amp;lt;", "&#1285{a};&quot;&apos;&#{a};", "&nbsp;&#0;&#1114112;x{a}&gt", "&AMP; plain {b}", "", "&#x1F6{b}0;&amp;amp;#{a};")
+
+
+@query(rf"""WITH {_texts_sql(_ENTITY_TEXTS, a="p_size + 40", b="p_size % 10")}, f AS (SELECT id, string_split_regex(raw, '{T.ENTITY}') AS gaps, regexp_extract_all(raw, '{T.ENTITY}', 1) AS refs FROM r),
+c AS (SELECT id, gaps, [{{'n': lower(x), 'code': CASE WHEN lower(x[1:2]) = '#x' THEN TRY_CAST('0x' || x[3:] AS BIGINT) WHEN x[1] = '#' THEN TRY_CAST(x[2:] AS BIGINT) END}} for x in refs] AS refs FROM f)
+SELECT id, gaps[1] || array_to_string([CASE refs[i].n WHEN 'amp' THEN '&' WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN '"' WHEN 'apos' THEN chr(39) ELSE CASE WHEN refs[i].code BETWEEN 1 AND 1114111 THEN chr(CAST(refs[i].code AS INTEGER)) ELSE '' END END || gaps[i + 1] for i in range(1, len(refs) + 1)], '') AS decoded FROM c""")
 def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ENTITIES.frame(spark).select("raw", T.decode_entities(F.col("raw")).alias("decoded"))
+    """References to characters, decoded once."""
+    rows = _texts(spark, sf_dir, _ENTITY_TEXTS, a=F.col("p_size") + 40, b=F.col("p_size") % 10)
+    return rows.select("id", T.decode_entities(F.col("raw")).alias("decoded"))
 
 
 _TR = "abcçdefgğhıijklmnoöprsştuüvyz"
 
 
-@query(f"""SELECT CAST(n AS INTEGER) AS n, repeat(substring('{_TR}', (n - 1) % 29 + 1, 1), least(10, (n - 1) // 29 + 1)::INTEGER) AS letters FROM range(1, 1001) t(n)""")
+_COUNTED = "SELECT o_orderkey AS id, CAST(1 + o_orderkey % 3999 AS INTEGER) AS n FROM orders"
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (1 + F.col("o_orderkey") % 3999).cast("int").alias("n"))
+
+
+def _letters_sql(n: str, alphabet: str) -> str:
+    return f"repeat(substring('{alphabet}', ({n} - 1) % 29 + 1, 1), least(10, ({n} - 1) // 29 + 1)::INTEGER)"
+
+
+@query(f"WITH c AS ({_COUNTED}) SELECT id, n, {_letters_sql('n', _TR)} AS letters FROM c")
 def letter_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(1, 1001).select(F.col("id").cast("int").alias("n"))
-    return n.select("n", T.letter_number(F.col("n")).alias("letters"))
+    """Numbers as letters."""
+    return _counted(spark, sf_dir).select("id", "n", T.letter_number(F.col("n")).alias("letters"))
 
 
 _DIGITS = [("m", "", ""), ("c", "d", "m"), ("x", "l", "c"), ("i", "v", "x")]
@@ -87,31 +112,36 @@ def _roman_digit(digit: str, one: str, five: str, ten: str) -> str:
     return f"CASE {digit} " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(forms)) + " END"
 
 
-@query("SELECT CAST(n AS INTEGER) AS n, " + " || ".join(_roman_digit(f"(n // {10 ** (3 - i)}) % 10", *d) for i, d in enumerate(_DIGITS)) + " AS roman FROM range(1, 4000) t(n)")
+_ROMAN_SQL = " || ".join(_roman_digit(f"(n // {10 ** (3 - i)}) % 10", *d) for i, d in enumerate(_DIGITS))
+
+
+@query(f"WITH c AS ({_COUNTED}) SELECT id, n, {_ROMAN_SQL} AS roman FROM c")
 def roman_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(1, 4000).select(F.col("id").cast("int").alias("n"))
-    return n.select("n", T.roman_number(F.col("n")).alias("roman"))
+    """Numbers as Roman numerals."""
+    return _counted(spark, sf_dir).select("id", "n", T.roman_number(F.col("n")).alias("roman"))
 
 
-LABELS = Relation(
-    "l",
-    "n int, kind string, label string",
-    [(3, "NUMBER_TYPE_NUMBER_DOT", "3."), (4, "NUMBER_TYPE_CHAR_SMALL_PARANTHESE", "ç)"), (9, "NUMBER_TYPE_CHAR_BIG_D_PARENTHESIS", "(Ğ)"), (4, "NUMBER_TYPE_ROMAN_SMALL_TRE", "iv-"), (1999, "NUMBER_TYPE_ROMAN_BIG_DOT", "MCMXCIX."), (12, "CHAR_BIG_DOT", "İ."), (30, "CHAR_SMALL_DOT", "aa."), (7, None, "7."), (8, "ODD", "8.")],
-)
+_KINDS = Patterns("NUMBER_TYPE_NUMBER_DOT", "NUMBER_TYPE_CHAR_SMALL_PARANTHESE", "NUMBER_TYPE_CHAR_BIG_D_PARENTHESIS", "number_type_roman_small_tre", "NUMBER_TYPE_ROMAN_BIG_DOT", "CHAR_BIG_DOT", "CHAR_SMALL_TRE", "", "ODD")
+_KIND = "(NUMBER|CHAR_SMALL|CHAR_BIG|ROMAN_SMALL|ROMAN_BIG)_(D_PARANTHESE|PARANTHESE|DOT|TRE)$"
 
 
-@query(f"WITH {LABELS.cte} SELECT n, kind, label FROM l")
+@query(f"""WITH c AS ({_COUNTED}), k AS (SELECT *, replace(upper({_KINDS.sql('id // 2')}), 'PARENTHESIS', 'PARANTHESE') AS kind FROM c),
+b AS (SELECT id, n, regexp_extract(kind, '{_KIND}', 2) AS ending, CASE regexp_extract(kind, '{_KIND}', 1) WHEN 'CHAR_SMALL' THEN {_letters_sql('n', T.ALPHABET)} WHEN 'CHAR_BIG' THEN {_letters_sql('n', T.ALPHABET_UPPER)}
+  WHEN 'ROMAN_SMALL' THEN {_ROMAN_SQL} WHEN 'ROMAN_BIG' THEN upper({_ROMAN_SQL}) ELSE CAST(n AS VARCHAR) END AS body FROM k)
+SELECT id, n, CASE ending {" ".join(f"WHEN '{e}' THEN '{x}' || body || '{y}'" for e, (x, y) in T.NUMBER_ENDS.items())} ELSE body || '.' END AS label FROM b""")
 def list_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers in the styles of lists."""
-    return LABELS.frame(spark).select("n", "kind", T.list_number(F.col("n"), F.col("kind")).alias("label"))
+    kind = F.nullif(_KINDS.column(F.floor(F.col("id") / 2)), F.lit(""))
+    return _counted(spark, sf_dir).select("id", "n", T.list_number(F.col("n"), kind).alias("label"))
 
 
-BULLET_KINDS = Relation("b", "kind string, sign string", [("BULLET_TYPE_ARROW", "➢"), ("bullet_type_diamond_2", "◊"), ("BULLET_TYPE_RECTANGLE_D", "▫"), ("other", "•"), (None, "•")])
+_BULLET_NAMES = Patterns(*[f"BULLET_TYPE_{name}" for name in T.BULLETS], "other {a}", "bullet_type_arrow")
 
 
-@query(f"WITH {BULLET_KINDS.cte} SELECT kind, sign FROM b")
+@query(f"""WITH {_texts_sql(_BULLET_NAMES, a="p_size")} SELECT id, CASE regexp_extract(upper(raw), 'BULLET_TYPE_([A-Z_0-9]+)$', 1) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.BULLETS.items())} ELSE '•' END AS sign FROM r""")
 def bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BULLET_KINDS.frame(spark).select("kind", T.bullet(F.col("kind")).alias("sign"))
+    """The signs of bullets."""
+    return _texts(spark, sf_dir, _BULLET_NAMES, a=F.col("p_size")).select("id", T.bullet(F.col("raw")).alias("sign"))
 
 
 @query("""WITH s AS (SELECT doc_id, n_chars * n_chars AS bytes FROM documents)
@@ -132,20 +162,29 @@ def argb_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", colour.alias("colour"), T.rgba(colour).alias("c")).select("doc_id", "colour", "c.*")
 
 
-COLOURS = Relation("c", "raw string, colour string", [("#ABC", "#aabbcc"), (" #a1B2c3 ", "#a1b2c3"), ("rgb(255, 0,16)", "#ff0010"), ("rgb(300,1,2)", "#ff0102"), ("red", "#ff0000"), (" Green", "#008000"), ("mauve", None), (None, None)])
+_COLOUR_TEXTS = Patterns("#{a}", " #{b} ", "rgb({c}, {d},16)", "rgb(300,{c},2)", "red", " Green", "mauve{a}", "#12{a}", "rgb({c},1)")
+_RGB = r"^rgb\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*\)$"
 
 
-@query(f"WITH {COLOURS.cte} SELECT raw, colour FROM c")
+@query(rf"""WITH {_texts_sql(_COLOUR_TEXTS, a="printf('%03X', p_partkey * 7 % 4096)", b="printf('%06x', p_partkey * 7919 % 16777216)", c="p_size * 6", d="p_partkey % 256")}, v AS (SELECT id, lower(trim(raw)) AS v FROM r)
+SELECT id, CASE v {" ".join(f"WHEN '{k}' THEN '{c}'" for k, c in T.COLOUR_NAMES.items())} ELSE CASE WHEN regexp_full_match(v, '#[0-9a-f]{{6}}') THEN v WHEN regexp_full_match(v, '#[0-9a-f]{{3}}') THEN '#' || repeat(v[2], 2) || repeat(v[3], 2) || repeat(v[4], 2)
+  WHEN regexp_matches(v, '{_RGB}') THEN '#' || {" || ".join(f"printf('%02x', least(255, CAST(regexp_extract(v, '{_RGB}', {i}) AS INTEGER)))" for i in (1, 2, 3))} END END AS colour FROM v""")
 def css_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return COLOURS.frame(spark).select("raw", T.css_colour(F.col("raw")).alias("colour"))
+    """Colours as they are written in styles."""
+    key = F.col("p_partkey")
+    rows = _texts(spark, sf_dir, _COLOUR_TEXTS, a=F.lpad(F.hex(key * 7 % 4096), 3, "0"), b=F.lower(F.lpad(F.hex(key * 7919 % 16777216), 6, "0")), c=F.col("p_size") * 6, d=key % 256)
+    return rows.select("id", T.css_colour(F.col("raw")).alias("colour"))
 
 
-MEASURES = Relation("m", "raw string, pt double", [("10mm", 28.346), ("2.5cm", 70.866), ("1in", 72.0), ("96px", 72.0), ("12pt", 12.0), ("7", 7.0), ("x", None), ("-1in", -72.0)])
+_MEASURE_TEXTS = Patterns("{a}mm", "{a}.5cm", "-{a}in", "{a}px", " {a} PT ", "{a}", "x{a}", "{a}.25", "{a}em")
+_MEASURE = r"(?i)^\s*(-?\d+(?:\.\d+)?)\s*(mm|cm|in|px|pt)?\s*$"
 
 
-@query(f"WITH {MEASURES.cte} SELECT raw, pt FROM m")
+@query(rf"""WITH {_texts_sql(_MEASURE_TEXTS, a="p_size")}
+SELECT id, round(TRY_CAST(regexp_extract(raw, '{_MEASURE}', 1) AS DOUBLE) * CASE lower(regexp_extract(raw, '{_MEASURE}', 2)) {" ".join(f"WHEN '{u}' THEN {f!r}::DOUBLE" for u, f in T.UNITS.items())} ELSE 1 END, 3) AS pt FROM r""")
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MEASURES.frame(spark).select("raw", T.points(F.col("raw")).alias("pt"))
+    """Lengths in points."""
+    return _texts(spark, sf_dir, _MEASURE_TEXTS, a=F.col("p_size")).select("id", T.points(F.col("raw")).alias("pt"))
 
 
 @query("""SELECT page_id, CASE WHEN length(e) > 0 THEN e END AS extension, coalesce(lower(regexp_extract(url, '^\\s*([A-Za-z][A-Za-z0-9+.-]*):', 1)) IN ('http', 'https', 'mailto'), false) AS allowed
@@ -171,12 +210,17 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.safe_name(raw).alias("name"))
 
 
-TOKENS = Relation("t", "raw string, fixed string", [("01.ıo.2026", "01.10.2026"), ("l990'lı", "1990'lı"), ("2o99/l23", "2099/123"), ("80li", "80li"), ("Oolong", "Oolong"), ("1|-2", "11-2"), ("", "")])
+_TOKEN_TEXTS = Patterns("0{a}.ıo.2o{b}", "l99{a}'lı", "2o9{b}/l23", "{a}li", "Oolong {a}", "{a}|-2", "", "o{a}-IIo", "il|/{b}.l", "O/O-{a}")
 
 
-@query(f"WITH {TOKENS.cte} SELECT raw, fixed FROM t")
+@query(rf"""WITH {_texts_sql(_TOKEN_TEXTS, a="p_size % 10", b="p_size")}, u AS (SELECT id, raw, generate_subscripts(string_split(raw, ''), 1) AS i, unnest(string_split(raw, '')) AS ch FROM r WHERE raw <> ''),
+f AS (SELECT *, contains('oOılIi|', ch) AS odd FROM u), g AS (SELECT *, i - row_number() OVER (PARTITION BY id, odd ORDER BY i) AS run FROM f),
+w AS (SELECT *, min(i) OVER (PARTITION BY id, odd, run) AS a, max(i) OVER (PARTITION BY id, odd, run) AS z FROM g),
+x AS (SELECT id, raw, string_agg(CASE WHEN odd AND (a = 1 OR regexp_matches(raw[a - 1], '[0-9./-]')) AND regexp_matches(raw[z + 1], '[0-9./-]') THEN translate(ch, 'oOılIi|', '0011111') ELSE ch END, '' ORDER BY i) AS fixed FROM w GROUP BY id, raw)
+SELECT r.id, CASE WHEN length(regexp_replace(r.raw, '[^0-9]', '', 'g')) >= 2 THEN fixed ELSE r.raw END AS fixed FROM r LEFT JOIN x USING (id)""")
 def ocr_digit_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TOKENS.frame(spark).select("raw", T.fix_digits(F.col("raw")).alias("fixed"))
+    """Letters read for digits."""
+    return _texts(spark, sf_dir, _TOKEN_TEXTS, a=F.col("p_size") % 10, b=F.col("p_size")).select("id", T.fix_digits(F.col("raw")).alias("fixed"))
 
 
 _PLAUSIBLE = T.PLAUSIBLE.replace("'", "''")
@@ -200,69 +244,92 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.words(F.col("text"))).alias("words"))
 
 
-STRINGS = Relation("s", "raw string, pdf string", [("Not (1)", r"(Not \(1\))"), ("back\\slash", r"(back\\slash)"), ("Çağ", "<FEFF00C70061011F>"), ("", "()")])
+_PDF_TEXTS = Patterns("Not ({a})", "back\\slash {a}", "Çağ {a} ş", "", "{a}")
 
 
-@query(f"WITH {STRINGS.cte} SELECT raw, pdf FROM s")
+@query(rf"""WITH {_texts_sql(_PDF_TEXTS, a="p_size")}
+SELECT id, CASE WHEN regexp_full_match(raw, '[ -~]*') THEN '(' || replace(replace(replace(raw, '\', '\\'), '(', '\('), ')', '\)') || ')' ELSE '<FEFF' || array_to_string([printf('%04X', unicode(x)) for x in string_split(raw, '')], '') || '>' END AS pdf FROM r""")
 def pdf_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return STRINGS.frame(spark).select("raw", T.pdf_string(F.col("raw")).alias("pdf"))
+    """Texts as strings of a document."""
+    return _texts(spark, sf_dir, _PDF_TEXTS, a=F.col("p_size")).select("id", T.pdf_string(F.col("raw")).alias("pdf"))
+
+
+_APPEARANCES = Patterns("/Helv {a} Tf 0 g", "1 0 0.{b} rg /F1 {a}.5 Tf", "0.{b} g /Cour 0 Tf", "q {a}", "/Ti 8 Tf .{b} 2 -1 rg", "/X Tf {a} g")
+_NUMBER = r"(-?\d*\.?\d+)"
+_RG = rf"{_NUMBER}\s+{_NUMBER}\s+{_NUMBER}\s+rg"
+_GRAY = rf"(?:^|\s){_NUMBER}\s+g(?:\s|$)"
 
 
-APPEARANCES = Relation("a", "raw string, font string, size double, colour string", [("/Helv 12 Tf 0 g", "Helv", 12.0, "#000000"), ("1 0 0 rg /F1 9.5 Tf", "F1", 9.5, "#ff0000"), ("0.5 g /Cour 0 Tf", "Cour", 0.0, "#808080"), ("q", None, None, None)])
+def _two_sql(value: str) -> str:
+    return f"printf('%02x', CAST(round_even(least(1.0, greatest(0.0, TRY_CAST({value} AS DOUBLE))) * 255, 0) AS INTEGER))"
 
 
-@query(f"WITH {APPEARANCES.cte} SELECT raw, font, size, colour FROM a")
+@query(rf"""WITH {_texts_sql(_APPEARANCES, a="p_size", b="p_partkey % 100")}
+SELECT id, nullif(regexp_extract(raw, '/([^\s/]+)\s+{_NUMBER}\s+Tf', 1), '') AS font, TRY_CAST(regexp_extract(raw, '/[^\s/]+\s+{_NUMBER}\s+Tf', 1) AS DOUBLE) AS size,
+  CASE WHEN regexp_matches(raw, '{_RG}') THEN '#' || {" || ".join(_two_sql(f"regexp_extract(raw, '{_RG}', {i})") for i in (1, 2, 3))} WHEN regexp_matches(raw, '{_GRAY}') THEN '#' || repeat({_two_sql(f"regexp_extract(raw, '{_GRAY}', 1)")}, 3) END AS colour FROM r""")
 def appearance_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return APPEARANCES.frame(spark).select("raw", T.appearance(F.col("raw")).alias("a")).select("raw", "a.*")
+    """Font, size and colour of fields."""
+    rows = _texts(spark, sf_dir, _APPEARANCES, a=F.col("p_size"), b=F.col("p_partkey") % 100)
+    return rows.select("id", T.appearance(F.col("raw")).alias("a")).select("id", "a.*")
 
 
-STYLES = Relation("s", "raw string, name string, value string", [("color: red; font: a:b", "color", "red"), ("color: red; font: a:b", "font", "a:b"), ("A:1;a:2", "a", "2")])
+_STYLE_TEXTS = Patterns("color: red; font: a:{a}", "A:{a};a:{b}", "x{a}", "margin : {a}pt ;; b", "b:1; B : {b};c:{a}")
 
 
-@query(f"WITH {STYLES.cte} SELECT raw, name, value FROM s")
+@query(rf"""WITH {_texts_sql(_STYLE_TEXTS, a="p_size", b="p_partkey % 9")}, d AS (SELECT id, unnest(string_split(raw, ';')) AS d, generate_subscripts(string_split(raw, ';'), 1) AS i FROM r),
+p AS (SELECT id, i, lower(trim(split_part(d, ':', 1))) AS name, trim(substr(d, instr(d, ':') + 1)) AS value FROM d WHERE contains(d, ':'))
+SELECT id, name, arg_max(value, i) AS value FROM p GROUP BY id, name""")
 def css_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Style attributes as name and value."""
-    raw = STYLES.frame(spark).select("raw").distinct()
-    return raw.select("raw", F.explode(T.css_style(F.col("raw"))).alias("name", "value"))
+    rows = _texts(spark, sf_dir, _STYLE_TEXTS, a=F.col("p_size"), b=F.col("p_partkey") % 9)
+    return rows.select("id", F.explode(T.css_style(F.col("raw"))).alias("name", "value"))
 
 
-DESTINATIONS = Relation("d", "raw string, ref int, kind string, params string", [("[12 0 R /XYZ 72 700.5 0]", 12, "XYZ", "72.0,700.5,0.0"), ("[3 0 R/FitH 800]", 3, "FitH", "800.0"), ("[3 0 R /Fit]", 3, "Fit", ""), ("name", None, None, None)])
+_DESTINATIONS = Patterns("[{a} 0 R /XYZ {b} {b}.5 0]", "[{a} 0 R/FitH {b}]", " [{a} 0 R /Fit]", "name{a}", "[{a} 1 R /XYZ null -{b} .{b}]")
+_TARGET = r"^\s*\[\s*(\d+)\s+\d+\s+R\s*/(\w+)\s*([^\]]*)\]"
 
 
-@query(f"WITH {DESTINATIONS.cte} SELECT raw, ref, kind, params FROM d")
+@query(rf"""WITH {_texts_sql(_DESTINATIONS, a="p_size", b="p_partkey % 90 + 10")}, m AS (SELECT *, regexp_matches(raw, '{_TARGET}') AS m FROM r)
+SELECT id, CASE WHEN m THEN CAST(regexp_extract(raw, '{_TARGET}', 1) AS INTEGER) END AS ref, CASE WHEN m THEN regexp_extract(raw, '{_TARGET}', 2) END AS kind,
+  CASE WHEN m THEN array_to_string([CAST(TRY_CAST(x AS DOUBLE) AS VARCHAR) for x in regexp_extract_all(regexp_extract(raw, '{_TARGET}', 3), '(-?\d*\.?\d+|null)', 1) if x <> 'null'], ',') END AS params FROM m""")
 def destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explicit destinations of links."""
-    d = DESTINATIONS.frame(spark).select("raw", T.destination(F.col("raw")).alias("d"))
-    return d.select("raw", "d.ref", "d.kind", F.array_join(F.transform("d.params", lambda x: x.cast("string")), ",").alias("params"))
+    d = _texts(spark, sf_dir, _DESTINATIONS, a=F.col("p_size"), b=F.col("p_partkey") % 90 + 10).select("id", T.destination(F.col("raw")).alias("d"))
+    return d.select("id", "d.ref", "d.kind", F.array_join(F.transform("d.params", lambda x: x.cast("string")), ",").alias("params"))
 
 
-STOPS = Relation("t", "raw string, position double, alignment int, leader int", [("200:1:2,50.5:9,abc:1:1,0:1:1", 50.5, 0, 0), ("200:1:2,50.5:9,abc:1:1,0:1:1", 200.0, 1, 2)])
+_STOPS = Patterns("{a}:1:2,{b}.5:9,abc:1:1,0:1:1", "{a}", ",,{b}:4:5,5000:1:1,{a}:5:x", "", "-{a}:1,{b}:2:6,{b}:3:3")
 
 
-@query(f"WITH {STOPS.cte} SELECT raw, position, alignment, leader FROM t")
+@query(rf"""WITH {_texts_sql(_STOPS, a="p_size * 4", b="p_partkey % 300")}, x AS (SELECT id, unnest(string_split(raw, ',')) AS x FROM r), f AS (SELECT id, string_split(x, ':') AS f FROM x),
+p AS (SELECT id, TRY_CAST(f[1] AS DOUBLE) AS position, TRY_CAST(f[2] AS INTEGER) AS a, TRY_CAST(f[3] AS INTEGER) AS l FROM f)
+SELECT id, position, CASE WHEN a IN (0, 1, 2, 4, 5) THEN a ELSE 0 END AS alignment, CASE WHEN l BETWEEN 0 AND 5 THEN l ELSE 0 END AS leader FROM p WHERE position > 0 AND position <= 4000""")
 def tab_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return STOPS.frame(spark).select("raw").distinct().select("raw", F.inline(T.tab_stops(F.col("raw"))))
+    """Tab stops of paragraphs."""
+    return _texts(spark, sf_dir, _STOPS, a=F.col("p_size") * 4, b=F.col("p_partkey") % 300).select("id", F.inline(T.tab_stops(F.col("raw"))))
 
 
-SCRIPTS = Relation("s", "raw string, line string", [("a(); // x\n/* y; */ b();c()", "a()"), ("a(); // x\n/* y; */ b();c()", "b()"), ("a(); // x\n/* y; */ b();c()", "c()")])
+_SCRIPTS = Patterns("a({a}); // x\n/* y; */ b();c({b})", "if (xfa.host.version >= {a}) d();\n e({b}) ;", "", "/* {a}\n; */f()//g;\nh = {b}")
 
 
-@query(f"WITH {SCRIPTS.cte} SELECT raw, line FROM s")
+@query(rf"""WITH {_texts_sql(_SCRIPTS, a="p_size", b="p_partkey % 7")},
+b AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(raw, '(?s)/\*.*?\*/', '', 'g'), '//[^\n]*', '', 'g'), '(?i)if\s*\(\s*xfa\.host\.version[^)]*\)', '', 'g') AS t FROM r),
+l AS (SELECT id, trim(unnest(string_split_regex(t, '[;\n]'))) AS line FROM b) SELECT id, line FROM l WHERE line <> ''""")
 def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SCRIPTS.frame(spark).select("raw").distinct().select("raw", F.explode(T.script_lines(F.col("raw"))).alias("line"))
+    """The statements of scripts."""
+    return _texts(spark, sf_dir, _SCRIPTS, a=F.col("p_size"), b=F.col("p_partkey") % 7).select("id", F.explode(T.script_lines(F.col("raw"))).alias("line"))
 
 
-PAGE_NUMBERS = Relation(
-    "p",
-    "raw string, before string, number int, separator string, total int, after string",
-    [("Sayfa 3 / 12", "Sayfa ", 3, "/", 12, ""), ("- 7 -", "- ", 7, None, None, " -"), ("12", "", 12, None, None, ""), ("3 of 9", "", 3, "of", 9, ""), ("no number", None, None, None, None, None), ("12345", None, None, None, None, None)],
-)
+_NUMBER_LINES = Patterns("Sayfa {a} / {b}", "- {a} -", " {a}", "{a} of {b}", "no number", "12345{a}", "p.{a}", "{a}/{b} Rapor")
 
 
-@query(f"WITH {PAGE_NUMBERS.cte} SELECT * FROM p")
+@query(rf"""WITH {_texts_sql(_NUMBER_LINES, a="p_size", b="p_size + p_partkey % 9")}, t AS (SELECT id, trim(raw) AS t FROM r), m AS (SELECT *, regexp_matches(t, '{T.PAGE_NUMBER}') AS m FROM t)
+SELECT id, CASE WHEN m THEN regexp_extract(t, '{T.PAGE_NUMBER}', 1) END AS before, CASE WHEN m THEN CAST(regexp_extract(t, '{T.PAGE_NUMBER}', 2) AS INTEGER) END AS number, CASE WHEN m THEN nullif(trim(regexp_extract(t, '{T.PAGE_NUMBER}', 3)), '') END AS separator,
+  CASE WHEN m THEN TRY_CAST(regexp_extract(t, '{T.PAGE_NUMBER}', 4) AS INTEGER) END AS total, CASE WHEN m THEN regexp_extract(t, '{T.PAGE_NUMBER}', 5) END AS after FROM m""")
 def page_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are page numbers, taken apart."""
-    return PAGE_NUMBERS.frame(spark).select("raw", T.page_number_parts(F.col("raw")).alias("p")).select("raw", "p.*")
+    rows = _texts(spark, sf_dir, _NUMBER_LINES, a=F.col("p_size"), b=F.col("p_size") + F.col("p_partkey") % 9)
+    return rows.select("id", T.page_number_parts(F.col("raw")).alias("p")).select("id", "p.*")
 
 
 @query()
