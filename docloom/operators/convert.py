@@ -100,16 +100,20 @@ def engine_order(engines: DataFrame, *ties: str) -> DataFrame:
     return able.withColumn("turn", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("healthy"), "priority", *(ties or ("name",)))))
 
 
-def free_names(wanted: DataFrame, taken: DataFrame, first: int = 2, most: int = 10_000) -> DataFrame:
-    """(folder, name, free): the name, or the name with the smallest free number from ``first``; one lookup among the folder's names."""
-    numbered = taken.select("folder", F.regexp_extract("name", r"^(.*?)(?: \((\d+)\))?$", 1).alias("base"), "name")
-    families = numbered.groupBy("folder", "base").agg(F.collect_set("name").alias("names"))
-    rows = wanted.join(families.withColumnRenamed("base", "name"), ["folder", "name"], "left")
-    there = lambda n: F.array_contains("names", n)
-    # Of as many numbers as the family has names, and one more, some is free.
-    tries = F.transform(F.sequence(F.lit(first), F.lit(first) + F.least(F.size("names"), F.lit(most))), lambda i: F.concat(F.col("name"), F.lit(" ("), i.cast("string"), F.lit(")")))
-    free = F.when(F.col("names").isNull() | ~there(F.col("name")), F.col("name")).otherwise(F.get(F.filter(tries, lambda t: ~there(t)), F.lit(0)))
-    return rows.select("folder", "name", free.alias("free"))
+def free_names(wanted: DataFrame, taken: DataFrame, first: int = 2) -> DataFrame:
+    """(folder, name, free): the name, or the name with the smallest free number from ``first``.
+
+    The numbers that a name has, in order, count on from ``first`` without a gap as far as number less rank stays the same, so
+    as many as do are taken, however many there are.
+    """
+    pattern = r"^(.*) \((0|[1-9]\d{0,17})\)$"
+    numbered = taken.select("folder", F.regexp_extract("name", pattern, 1).alias("name"), F.regexp_extract("name", pattern, 2).try_cast("long").alias("k")).where(F.col("k") >= first).distinct()
+    rank = F.row_number().over(Window.partitionBy("folder", "name").orderBy("k"))
+    used = numbered.where(F.col("k") >= first).withColumn("gapless", F.col("k") - rank == first - 1).where("gapless").groupBy("folder", "name").agg(F.count("*").alias("used"))
+    names = wanted.select("folder", "name").distinct()
+    rows = names.join(taken.select("folder", "name").distinct().withColumn("there", F.lit(True)), ["folder", "name"], "left").join(used, ["folder", "name"], "left")
+    number = (F.coalesce("used", F.lit(0)) + first).cast("string")
+    return rows.select("folder", "name", F.when(F.col("there"), F.concat("name", F.lit(" ("), number, F.lit(")"))).otherwise(F.col("name")).alias("free"))
 
 
 def next_names(base: Column, n: int) -> Column:

@@ -1,59 +1,82 @@
-"""Styles, data binding, lists, runs, conversion and files over literal rows and the driver's tables."""
+"""Styles, data binding, lists, runs, conversion and files over the driver's tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import convert, styles
-from docloom.plans.registry import Relation, query
+from docloom.plans.derived import ITEM_ORDER, TREE, Patterns, tree
+from docloom.plans.registry import query
+from docloom.plans.text_queries import label_sql
 from docloom.session import scratch_path, table
 from docloom.sources import sinks, udf_file
 from docloom.streaming import hits
 
-STYLES = [("d", "Base", None, {"size": "12", "bold": "false"}), ("d", "Head", "BASE", {"bold": "true"}), ("d", "Sub", "head", {"size": "10"}), ("d", "default", "base", {"size": "99"}), ("d", "Odd", "default", {"x": "1"}), ("d", "A", "b", {"a": "1"}), ("d", "B", "a", {"b": "2"}), ("d", "Lost", "nowhere", {"c": "3"})]
-CHAINS = Relation("s", "name string, key string, value string", [("base", "size", "12"), ("base", "bold", "false"), ("head", "size", "12"), ("head", "bold", "true"), ("sub", "size", "10"), ("sub", "bold", "true"), ("default", "size", "12"), ("default", "bold", "false"), ("odd", "x", "1"), ("odd", "size", "12"), ("odd", "bold", "false"), ("a", "a", "1"), ("a", "b", "2"), ("b", "a", "1"), ("b", "b", "2"), ("lost", "c", "3")])
+_ORDER = ", ".join(ITEM_ORDER)
 
+#: Nodes of trees as styles that name the node above as their parent.
+_STYLES = f"""{TREE}, s AS (SELECT doc_id, CASE WHEN node_id = 3 THEN 'default' ELSE 's' || node_id END AS name, CASE WHEN parent_id = 3 THEN 'default' ELSE 's' || parent_id END AS parent, p, o FROM t),
+d AS (SELECT doc_id, name, 'k' || p % 6 AS key, 'v' || o % 50 AS value FROM s WHERE name <> 'default' UNION ALL SELECT doc_id, name, 'z' || o % 3, 'w' || p % 9 FROM s WHERE p % 2 = 0 AND name <> 'default')"""
 
-@query(f"WITH {CHAINS.cte} SELECT * FROM s")
+
+@query(f"""WITH RECURSIVE {_STYLES}, c AS (SELECT doc_id, name, name AS at, parent, 0 AS depth FROM s UNION ALL SELECT c.doc_id, c.name, s.name, s.parent, depth + 1 FROM c JOIN s ON s.doc_id = c.doc_id AND s.name = c.parent WHERE depth < {styles.STYLE_HOPS - 1})
+SELECT c.doc_id, c.name, d.key, arg_min(d.value, c.depth) AS value FROM c JOIN d ON d.doc_id = c.doc_id AND d.name = c.at GROUP BY ALL""")
 def style_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Styles with what they inherit."""
-    frame = spark.createDataFrame(STYLES, "doc_id string, name string, parent string, attrs map<string,string>")
-    return styles.style_chains(frame).select("name", F.explode("attrs").alias("key", "value"))
+    named = lambda c: F.when(F.col(c) == 3, "DEFAULT").otherwise(F.concat(F.lit("S"), F.col(c).cast("string")))
+    text = lambda letter, number: F.concat(F.lit(letter), number.cast("string"))
+    own, more = F.create_map(text("k", F.col("p") % 6), text("v", F.col("o") % 50)), F.create_map(text("z", F.col("o") % 3), text("w", F.col("p") % 9))
+    attrs = F.when(F.col("p") % 2 == 0, F.map_concat(own, more)).otherwise(own)
+    rows = tree(spark, sf_dir).select("doc_id", named("node_id").alias("name"), named("parent_id").alias("parent"), attrs.alias("attrs"))
+    return styles.style_chains(rows).select("doc_id", "name", F.explode("attrs").alias("key", "value"))
+
 
+#: Nodes of trees as data: leaves with values, rows that repeat; and every tenth as a field that asks for a name.
+_DATA = f"""{TREE}, d AS (SELECT doc_id, node_id, parent_id, node_id AS pos, 'n' || p % 7 AS name, ['party', 'PARTY', 'cost'][CAST(o % 3 AS INTEGER) + 1] AS row_name, p % 4 = 0 AS is_row, CASE o % 3 WHEN 0 THEN 'v' || o % 40 WHEN 1 THEN ' ' END AS value, o, p FROM t)"""
 
-DATA = Relation(
-    "d",
-    "doc_id string, node_id int, parent_id int, pos int, name string, row_name string, is_row boolean, value string",
-    [("d", 0, None, 0, "data", None, False, None), ("d", 1, 0, 1, "name", None, False, "Ayşe"), ("d", 2, 0, 2, "case", None, False, None), ("d", 3, 2, 3, "no", None, False, "17"), ("d", 4, 2, 4, "no", None, False, "18"), ("d", 5, 2, 5, "no", None, False, "17"), ("d", 6, 0, 6, "rows", "party", True, None), ("d", 7, 6, 7, "name", None, False, "Ali"), ("d", 8, 0, 8, "rows", "PARTY", True, None), ("d", 9, 8, 9, "name", None, False, "Can"), ("d", 10, 8, 10, "no", None, False, " ")],
-)
-BOUND = Relation("f", "doc_id string, field_id int, name string, scope int", [("d", 1, "name", 0), ("d", 2, "no", 0), ("d", 3, "name", 6), ("d", 4, "no", 8), ("d", 5, "none", 0)])
 
+def _data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("o") % 3 == 0, F.concat(F.lit("v"), (F.col("o") % 40).cast("string"))).when(F.col("o") % 3 == 1, " ")
+    return tree(spark, sf_dir).select("*", F.col("node_id").alias("pos"), F.concat(F.lit("n"), (F.col("p") % 7).cast("string")).alias("name"), Patterns("party", "PARTY", "cost").column(F.col("o")).alias("row_name"), (F.col("p") % 4 == 0).alias("is_row"), value.alias("value"))
 
-@query("SELECT * FROM (VALUES ('d', 1, 'Ayşe'), ('d', 2, '17' || chr(10) || '18'), ('d', 3, 'Ali'), ('d', 4, '17' || chr(10) || '18')) t(doc_id, field_id, value)")
+
+@query(f"""WITH RECURSIVE {_DATA}, u AS (SELECT doc_id, node_id, node_id AS scope, parent_id, is_row FROM d WHERE trim(value) <> '' UNION ALL SELECT u.doc_id, u.node_id, d.node_id, d.parent_id, d.is_row FROM u JOIN d ON d.doc_id = u.doc_id AND d.node_id = u.parent_id WHERE NOT u.is_row),
+f AS (SELECT doc_id, node_id AS field_id, 'n' || o % 9 AS name, node_id AS scope, 0 AS depth FROM d WHERE o % 10 = 0 UNION ALL SELECT f.doc_id, f.field_id, f.name, d.parent_id, depth + 1 FROM f JOIN d ON d.doc_id = f.doc_id AND d.node_id = f.scope WHERE d.parent_id IS NOT NULL),
+j AS (SELECT f.doc_id, field_id, depth, value, min(pos) AS pos FROM f JOIN u ON u.doc_id = f.doc_id AND u.scope = f.scope JOIN d ON d.doc_id = u.doc_id AND d.node_id = u.node_id AND d.name = f.name GROUP BY ALL),
+g AS (SELECT doc_id, field_id, depth, string_agg(value, chr(10) ORDER BY pos) AS value FROM j GROUP BY ALL) SELECT doc_id, field_id, arg_min(value, depth) AS value FROM g GROUP BY ALL""")
 def data_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field values from the nearest scope that has them."""
-    return styles.bound_values(BOUND.frame(spark), DATA.frame(spark))
+    data = _data(spark, sf_dir)
+    fields = data.where("o % 10 = 0").select("doc_id", F.col("node_id").alias("field_id"), F.concat(F.lit("n"), (F.col("o") % 9).cast("string")).alias("name"), F.col("node_id").alias("scope"))
+    return styles.bound_values(fields, data)
 
 
-@query("SELECT * FROM (VALUES ('d', 1, 6, 1), ('d', 1, 8, 2)) t(doc_id, row_id, node_id, instance)")
+@query(f"""WITH {_DATA} SELECT w.doc_id, w.row_id, d.node_id, CAST(row_number() OVER (PARTITION BY w.doc_id, w.row_id ORDER BY d.pos) AS INTEGER) AS instance
+FROM (SELECT DISTINCT doc_id, o % 3 AS row_id, lower(row_name) AS row_name FROM d WHERE NOT is_row) w JOIN d ON d.doc_id = w.doc_id AND lower(d.row_name) = w.row_name AND d.is_row""")
 def row_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The data rows that repeat a table row."""
-    rows = spark.createDataFrame([("d", 1, "Party"), ("d", 2, "none")], "doc_id string, row_id int, row_name string")
-    return styles.row_instances(rows, DATA.frame(spark))
+    data = _data(spark, sf_dir)
+    rows = data.where("NOT is_row").select("doc_id", (F.col("o") % 3).alias("row_id"), "row_name").distinct()
+    return styles.row_instances(rows, data)
 
 
-ITEMS = Relation(
-    "i",
-    "doc_id string, pos int, list_id string, level int, start int, kind string, mark string",
-    [("d", 1, "a", 1, None, None, "1."), ("d", 2, "a", 2, None, "CHAR_SMALL_PARANTHESE", "a)"), ("d", 3, "a", 2, None, "CHAR_SMALL_PARANTHESE", "b)"), ("d", 4, "a", 1, None, None, "2."), ("d", 5, "a", 2, None, "CHAR_SMALL_PARANTHESE", "a)"), ("d", 6, "a", 1, 9, None, "10."), ("d", 7, "b", 1, None, "ROMAN_BIG_DOT", "I."), ("d", 8, "a", 1, None, None, "11."), ("d", 9, "a", 3, 4, None, "5."), ("d", 10, "a", 3, None, None, "6."), ("d", 11, "a", 2, None, None, "1."), ("d", 12, "a", 3, None, None, "1.")],
-)
+_LIST_KINDS = Patterns("NUMBER_TYPE_NUMBER_DOT", "CHAR_SMALL_PARANTHESE", "ROMAN_BIG_DOT", "")
 
 
-@query(f"WITH {ITEMS.cte} SELECT doc_id, pos, mark FROM i")
+@query(f"""WITH RECURSIVE i AS (SELECT l_suppkey AS doc_id, l_returnflag AS list_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY {_ORDER}) AS pos, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY {_ORDER}) AS i,
+  CAST(least(greatest(coalesce(CASE WHEN l_orderkey % 9 > 0 THEN l_linenumber - 1 END, 1), 1), 9) AS INTEGER) AS level, CASE WHEN l_partkey % 11 = 0 THEN l_partkey % 9 END AS start, {_LIST_KINDS.sql('l_partkey')} AS kind FROM lineitem),
+c AS (SELECT doc_id, list_id, i, [CASE WHEN k = level THEN coalesce(start, 0) + 1 ELSE 0 END for k in range(1, 10)] AS n FROM i WHERE i = 1
+  UNION ALL SELECT i.doc_id, i.list_id, i.i, [CASE WHEN k = i.level THEN coalesce(i.start, c.n[k]) + 1 WHEN k < i.level THEN c.n[k] ELSE 0 END for k in range(1, 10)] FROM c JOIN i ON i.doc_id = c.doc_id AND i.list_id = c.list_id AND i.i = c.i + 1),
+m AS (SELECT i.doc_id, i.pos, i.kind, CAST(c.n[i.level] AS INTEGER) AS n FROM c JOIN i USING (doc_id, list_id, i)) SELECT doc_id, pos, n, {label_sql('n', 'kind')} AS mark FROM m""")
 def list_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of list items, by level and start."""
-    return styles.list_marks(ITEMS.frame(spark).drop("mark")).select("doc_id", "pos", "mark")
+    pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*ITEM_ORDER)).cast("long")
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("doc_id"), pos.alias("pos"), F.col("l_returnflag").alias("list_id"), F.when(F.col("l_orderkey") % 9 > 0, F.col("l_linenumber") - 1).cast("int").alias("level"),
+        F.when(F.col("l_partkey") % 11 == 0, F.col("l_partkey") % 9).cast("int").alias("start"), F.nullif(_LIST_KINDS.column(F.col("l_partkey")), F.lit("")).alias("kind"),
+    )
+    return styles.list_marks(items).select("doc_id", "pos", "n", "mark")
 
 
 @query("""WITH r AS (SELECT doc_id, 0 AS run_no, 0 AS "start", CAST(n_chars AS INTEGER) AS "end" FROM documents WHERE n_chars > 0),
@@ -105,12 +128,15 @@ def block_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styles.sections(blocks)
 
 
-SPECS = Relation("p", "spec string, alignment string, total boolean", [("BSP32_40", "center", False), ("BSP32_2120", "right", True), ("BSP32_8", "left", False), ("BSP32_32", None, None), ("x", None, None)])
+_SPECS = Patterns("BSP32_{a}", " bsp_{a} ", "BSP32_x{a}", "{a}")
 
 
-@query(f"WITH {SPECS.cte} SELECT * FROM p")
+@query(f"""WITH r AS (SELECT p_partkey, {_SPECS.sql('p_size', a='p_partkey * 8')} AS spec FROM part), b AS (SELECT p_partkey, TRY_CAST(regexp_extract(trim(spec), '(?i)^BSP[0-9]*_([0-9]{{1,9}})$', 1) AS INTEGER) AS b FROM r)
+SELECT p_partkey, CASE WHEN b & 8 <> 0 THEN CASE WHEN b & 32 <> 0 THEN 'center' WHEN b & 64 <> 0 THEN 'right' ELSE 'left' END END AS alignment, CASE WHEN b & 8 <> 0 THEN b & 2048 <> 0 END AS total FROM b""")
 def page_number_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SPECS.frame(spark).select("spec", styles.page_number_spec(F.col("spec")).alias("p")).select("spec", "p.*")
+    """Where page numbers stand, by the bits of their form."""
+    spec = _SPECS.column(F.col("p_size"), a=F.col("p_partkey") * 8)
+    return table(spark, sf_dir, "part").select("p_partkey", styles.page_number_spec(spec).alias("p")).select("p_partkey", "p.*")
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size::DOUBLE END AS w, CASE WHEN p_size % 2 = 0 THEN p_size * 2::DOUBLE END AS h, p_size * 40 AS pw, p_size * 30 AS ph FROM part),
@@ -124,31 +150,47 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.select("p_partkey", F.round("s.width", 6).alias("width"), F.round("s.height", 6).alias("height"))
 
 
-CONVERTERS = Relation("c", "src string, dst string, ready boolean", [("pdf", "word", True), ("pdf", "tiff", True), ("pdf", "udf", True), ("pdf", "gorsel", True), ("udf", "pdf", False), ("word", "pdf", True), ("tiff", "pdf", True), ("gorsel", "pdf", True)])
+_KINDS_OF_FILES = Patterns(*convert.TARGETS)
 
 
-@query(f"""WITH {CONVERTERS.cte}, t AS (SELECT src, dst, 1 AS hops, ready FROM c UNION ALL SELECT a.src, b.dst, 2, a.ready AND b.ready FROM c a JOIN c b ON a.dst = 'pdf' AND b.src = 'pdf' WHERE a.src <> 'pdf' AND a.src <> b.dst)
-SELECT src, dst, CAST(hops AS INTEGER) AS hops, ready, CAST(list_position(['pdf', 'udf', 'word', 'tiff', 'gorsel'], dst) AS INTEGER) AS place FROM t""")
+@query(f"""WITH x AS (SELECT {_KINDS_OF_FILES.sql('l_partkey')} AS src, {_KINDS_OF_FILES.sql('l_orderkey')} AS dst, l_quantity AS q FROM lineitem WHERE (l_partkey + l_orderkey) % 3 > 0),
+c AS (SELECT src, dst, bool_or(q > 25) AS ready FROM x WHERE src <> dst AND (src = 'pdf' OR dst = 'pdf') GROUP BY src, dst),
+t AS (SELECT src, dst, 1 AS hops, ready FROM c UNION ALL SELECT a.src, b.dst, 2, a.ready AND b.ready FROM c a JOIN c b ON a.dst = 'pdf' AND b.src = 'pdf' WHERE a.src <> 'pdf' AND a.src <> b.dst),
+m AS (SELECT src, dst, min({{'hops': hops, 'ready': ready}}) AS m FROM t GROUP BY ALL)
+SELECT src, dst, CAST(m.hops AS INTEGER) AS hops, m.ready AS ready, CAST(list_position([{", ".join(f"'{t}'" for t in convert.TARGETS)}], dst) AS INTEGER) AS place FROM m""")
 def convert_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each kind of file reaches each other."""
-    kinds = spark.createDataFrame([(k,) for k in convert.TARGETS], "kind string")
-    return convert.plans(kinds, CONVERTERS.frame(spark))
+    rows = table(spark, sf_dir, "lineitem").where("(l_partkey + l_orderkey) % 3 > 0")
+    rows = rows.select(_KINDS_OF_FILES.column(F.col("l_partkey")).alias("src"), _KINDS_OF_FILES.column(F.col("l_orderkey")).alias("dst"), "l_quantity")
+    converters = rows.where("src <> dst AND (src = 'pdf' OR dst = 'pdf')").groupBy("src", "dst").agg(F.bool_or(F.col("l_quantity") > 25).alias("ready"))
+    return convert.plans(rows.select(F.col("src").alias("kind")).distinct(), converters)
 
 
-TAKEN = Relation("t", "folder string, name string", [("f", "Rapor"), ("f", "Rapor (2)"), ("f", "Rapor (4)"), ("f", "x"), ("g", "Rapor (2)")])
+_TAKEN_NAMES = Patterns("R{a}", "R{a} ({b})", "R{a} ({b})", "R{a} (0{b})", "x ({b}) ({a})")
+_TAKEN = f"t AS (SELECT DISTINCT l_suppkey AS folder, {_TAKEN_NAMES.sql('l_partkey', a='l_linenumber', b='1 + l_orderkey % 20')} AS name FROM lineitem)"
 
 
-@query("SELECT * FROM (VALUES ('f', 'Rapor', 'Rapor (3)'), ('f', 'x', 'x (2)'), ('f', 'y', 'y'), ('g', 'Rapor', 'Rapor')) v(folder, name, free)")
+@query(f"""WITH {_TAKEN}, w AS (SELECT DISTINCT l_suppkey AS folder, 'R' || l_linenumber % 9 AS name FROM lineitem UNION SELECT folder, name FROM t WHERE name LIKE 'x%'),
+k AS (SELECT w.*, unnest(range(2, (SELECT count(*) FROM t WHERE t.folder = w.folder) + 3)) AS k FROM w), f AS (SELECT folder, name, min(k) AS k FROM k WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.folder = k.folder AND t.name = k.name || ' (' || k.k || ')') GROUP BY ALL)
+SELECT w.folder, w.name, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.folder = w.folder AND t.name = w.name) THEN w.name || ' (' || f.k || ')' ELSE w.name END AS free FROM w LEFT JOIN f USING (folder, name)""")
 def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest free number of each wanted name."""
-    wanted = spark.createDataFrame([("f", "Rapor"), ("f", "x"), ("f", "y"), ("g", "Rapor")], "folder string, name string")
-    return convert.free_names(wanted, TAKEN.frame(spark))
+    items = table(spark, sf_dir, "lineitem")
+    taken = items.select(F.col("l_suppkey").alias("folder"), _TAKEN_NAMES.column(F.col("l_partkey"), a=F.col("l_linenumber"), b=1 + F.col("l_orderkey") % 20).alias("name")).distinct()
+    wanted = items.select(F.col("l_suppkey").alias("folder"), F.concat(F.lit("R"), (F.col("l_linenumber") % 9).cast("string")).alias("name")).unionByName(taken.where("name LIKE 'x%'")).distinct()
+    return convert.free_names(wanted, taken)
+
 
+_BASE_NAMES = Patterns("Rapor {a}", "Rapor ({b})", "Rapor (20{b})", "Rapor ({a}23)x", "x({b})")
 
-@query("SELECT * FROM (VALUES ('Rapor', 'Rapor (1)', 'Rapor (2)'), ('Rapor (2)', 'Rapor (3)', 'Rapor (4)'), ('Rapor (2023)', 'Rapor (2023) (1)', 'Rapor (2023) (2)')) v(name, first, second)")
+
+@query(f"""WITH r AS (SELECT p_partkey, {_BASE_NAMES.sql('p_partkey', a='p_size', b='10 + p_partkey % 90')} AS name FROM part), n AS (SELECT *, TRY_CAST(regexp_extract(name, ' \\(([0-9]{{1,3}})\\)$', 1) AS INTEGER) AS n FROM r),
+b AS (SELECT *, CASE WHEN n IS NULL THEN name ELSE regexp_replace(name, ' \\([0-9]{{1,3}}\\)$', '') END AS base FROM n) SELECT p_partkey, base || ' (' || coalesce(n, 0) + 1 || ')' AS first, base || ' (' || coalesce(n, 0) + 2 || ')' AS second FROM b""")
 def next_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("Rapor",), ("Rapor (2)",), ("Rapor (2023)",)], "name string").withColumn("n", convert.next_names(F.col("name"), 2))
-    return names.select("name", F.col("n")[0].alias("first"), F.col("n")[1].alias("second"))
+    """The names that are tried after a name."""
+    name = _BASE_NAMES.column(F.col("p_partkey"), a=F.col("p_size"), b=10 + F.col("p_partkey") % 90)
+    names = table(spark, sf_dir, "part").select("p_partkey", convert.next_names(name, 2).alias("n"))
+    return names.select("p_partkey", F.col("n")[0].alias("first"), F.col("n")[1].alias("second"))
 
 
 @query("""WITH f AS (SELECT source AS base, doc_id // 20 AS k FROM documents WHERE doc_id // 20 NOT IN (12, 30)), w AS (SELECT source AS base, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS n FROM documents GROUP BY source),
@@ -172,16 +214,19 @@ def sniff_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", convert.file_kind(F.concat(magic, html)).alias("k")).select("page_id", "k.*")
 
 
-SIGNATURES = Relation(
-    "s",
-    "raw string, kind string",
-    [("FFD8FFE0", "jpeg"), ("474946383961", "gif"), ("424D" + "00" * 12 + "28000000", "bmp"), ("424D" + "00" * 12 + "29000000", None), ("524946460000000057454250", "webp"), ("000000186674797068656963000000006D696631", "heif"), ("0000001866747970617669660000000061766973", "avif"), ("00", None)],
-)
+_HEADS = Patterns("FFD8FF{a}", "474946383961{a}", "474946383861{a}", "424D000000000000000000000000{a}000000", "5249464600000000574542{a}", "0000001466747970686569{b}000000006D696631", "00000018667479706176{b}00000000{a}", "89504E470D0A1A0A{a}", "{a}")
 
 
-@query(f"WITH {SIGNATURES.cte} SELECT * FROM s")
+@query(f"""WITH r AS (SELECT p_partkey, {_HEADS.sql('p_partkey', a="printf('%02X', 32 + p_size)", b="['6966', '6373', '6963', '6D66'][CAST(p_size % 4 AS INTEGER) + 1]")} AS raw FROM part), x AS (SELECT *, length(raw) // 2 AS n FROM r),
+b AS (SELECT *, CASE WHEN raw[9:16] = '66747970' AND n >= 16 THEN list_prepend(raw[17:24], [raw[2 * i + 1:2 * i + 8] for i in range(16, 1 + CAST(least(greatest(16, least(TRY_CAST('0x' || raw[1:8] AS BIGINT), n)) - 4, 8188) AS BIGINT), 4)]) END AS brands FROM x)
+SELECT p_partkey, CASE WHEN raw[1:6] = 'FFD8FF' THEN 'jpeg' WHEN raw[1:16] = '89504E470D0A1A0A' THEN 'png' WHEN raw[1:12] IN ('474946383761', '474946383961') THEN 'gif'
+  WHEN raw[1:4] = '424D' AND n >= 18 AND TRY_CAST('0x' || raw[35:36] || raw[33:34] || raw[31:32] || raw[29:30] AS BIGINT) IN ({", ".join(map(str, convert.BMP_HEADERS))}) THEN 'bmp' WHEN raw[1:8] = '52494646' AND raw[17:24] = '57454250' THEN 'webp'
+  WHEN list_has_any(brands, [{", ".join(f"'{x.encode().hex().upper()}'" for x in convert.AVIF_BRANDS)}]) THEN 'avif' WHEN list_has_any(brands, [{", ".join(f"'{x.encode().hex().upper()}'" for x in convert.HEIF_BRANDS)}]) THEN 'heif' END AS kind FROM b""")
 def image_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SIGNATURES.frame(spark).select("raw", convert.image_kind(F.unhex("raw")).alias("kind"))
+    """Kinds of pictures by their first bytes."""
+    brand = Patterns("6966", "6373", "6963", "6D66").column(F.col("p_size"))
+    raw = _HEADS.column(F.col("p_partkey"), a=F.lpad(F.hex(32 + F.col("p_size")), 2, "0"), b=brand)
+    return table(spark, sf_dir, "part").select("p_partkey", convert.image_kind(F.unhex(raw)).alias("kind"))
 
 
 @query("""WITH e AS (SELECT l_orderkey % 500 AS path, CAST(l_extendedprice * 40 AS BIGINT) AS size, CAST(l_quantity AS BIGINT) * 900 AS compressed FROM lineitem),
@@ -213,18 +258,26 @@ def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.delivered(hits.hits(stream, "the of")).select("doc_id", "start")
 
 
-SETUPS = Relation(
-    "p",
-    'paper string, orientation string, l string, r string, t string, b string, width double, height double, "left" double, "right" double, top double, bottom double'.replace('"', ""),
-    [("A4", "1", "50", "900", None, "-1", 595.28, 841.89, 50.0, 238.112, 42.52, 14.17), ("2", "0", "10", "20", "30", "40", 595.28, 419.53, 40.0, 30.0, 10.0, 20.0), ("letter", "2", "10", "20", "30", "40", 792.0, 612.0, 30.0, 40.0, 20.0, 10.0), ("odd", None, None, None, None, None, 595.28, 841.89, 42.52, 28.35, 42.52, 14.17)],
-)
+_PAPERS, _LYING, _MARGINS = Patterns(*styles.PAPERS, "odd {a}", " a4 "), Patterns("1", "0", "2", "landscape", " 0 ", ""), Patterns("{a}", "-{a}", "", "{a}00", "x")
+_SIDE_PICKS = {"left": "p_partkey", "right": "p_partkey + p_size", "top": "p_size", "bottom": "p_partkey // 7"}
+
+
+def _margin_sql(side: str, seen: str) -> str:
+    most = "width" if seen in ("left", "right") else "height"
+    return f"""CASE WHEN TRY_CAST(m_{side} AS DOUBLE) >= 0 THEN least(TRY_CAST(m_{side} AS DOUBLE), {most} * 0.4) ELSE {styles.USUAL_MARGINS[side]}::DOUBLE END"""
 
 
-@query(f'WITH {SETUPS.cte} SELECT paper, orientation, width, height, "left", "right", top, bottom FROM p')
+@query(f"""WITH r AS (SELECT p_partkey, upper(trim({_PAPERS.sql('p_partkey', a='p_size')})) AS paper, nullif({_LYING.sql('p_size')}, '') AS orientation, {", ".join(f"nullif({_MARGINS.sql(pick, a='p_size')}, '') AS m_{side}" for side, pick in _SIDE_PICKS.items())} FROM part),
+s AS (SELECT *, CASE paper {" ".join(f"WHEN '{k}' THEN {w}" for k, (w, h) in styles.PAPERS.items())} ELSE {styles.PAPERS["1"][0]} END::DOUBLE AS w, CASE paper {" ".join(f"WHEN '{k}' THEN {h}" for k, (w, h) in styles.PAPERS.items())} ELSE {styles.PAPERS["1"][1]} END::DOUBLE AS h,
+  CASE WHEN lower(trim(coalesce(orientation, '1'))) = '2' THEN 'reverse' WHEN lower(trim(coalesce(orientation, '1'))) IN ('0', 'landscape') THEN 'landscape' ELSE 'upright' END AS turn FROM r),
+z AS (SELECT *, CASE WHEN turn = 'upright' THEN w ELSE h END AS width, CASE WHEN turn = 'upright' THEN h ELSE w END AS height FROM s)
+SELECT p_partkey, width, height, {", ".join("CASE turn " + " ".join(f"WHEN '{t}' THEN {_margin_sql(sides[seen], seen)}" for t, sides in styles.SIDES.items()) + f' END AS "{seen}"' for seen in styles.USUAL_MARGINS)} FROM z""")
 def page_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as they are seen, with their margins."""
-    setup = styles.page_setup(F.col("paper"), F.col("orientation"), {"left": F.col("l"), "right": F.col("r"), "top": F.col("t"), "bottom": F.col("b")})
-    return SETUPS.frame(spark).select("paper", "orientation", setup.alias("s")).select("paper", "orientation", "s.*")
+    size = F.col("p_size")
+    margins = {side: F.nullif(_MARGINS.column(F.expr(pick.replace("//", "div")), a=size), F.lit("")) for side, pick in _SIDE_PICKS.items()}
+    setup = styles.page_setup(_PAPERS.column(F.col("p_partkey"), a=size), F.nullif(_LYING.column(size), F.lit("")), margins)
+    return table(spark, sf_dir, "part").select("p_partkey", setup.alias("s")).select("p_partkey", "s.*")
 
 
 @query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'consistent' WHEN 1 THEN 'inconsistent' ELSE 'unknown' END AS state, CASE doc_id % 3 WHEN 0 THEN 'SHA-256' WHEN 1 THEN 'SHA-1' END AS algorithm FROM documents""")

@@ -125,10 +125,16 @@ _KINDS = Patterns("NUMBER_TYPE_NUMBER_DOT", "NUMBER_TYPE_CHAR_SMALL_PARANTHESE",
 _KIND = "(NUMBER|CHAR_SMALL|CHAR_BIG|ROMAN_SMALL|ROMAN_BIG)_(D_PARANTHESE|PARANTHESE|DOT|TRE)$"
 
 
-@query(f"""WITH c AS ({_COUNTED}), k AS (SELECT *, replace(upper({_KINDS.sql('id // 2')}), 'PARENTHESIS', 'PARANTHESE') AS kind FROM c),
-b AS (SELECT id, n, regexp_extract(kind, '{_KIND}', 2) AS ending, CASE regexp_extract(kind, '{_KIND}', 1) WHEN 'CHAR_SMALL' THEN {_letters_sql('n', T.ALPHABET)} WHEN 'CHAR_BIG' THEN {_letters_sql('n', T.ALPHABET_UPPER)}
-  WHEN 'ROMAN_SMALL' THEN {_ROMAN_SQL} WHEN 'ROMAN_BIG' THEN upper({_ROMAN_SQL}) ELSE CAST(n AS VARCHAR) END AS body FROM k)
-SELECT id, n, CASE ending {" ".join(f"WHEN '{e}' THEN '{x}' || body || '{y}'" for e, (x, y) in T.NUMBER_ENDS.items())} ELSE body || '.' END AS label FROM b""")
+def label_sql(n: str, kind: str) -> str:
+    """A number in the style of a list; the column of numbers is named ``n``."""
+    name = f"replace(upper({kind}), 'PARENTHESIS', 'PARANTHESE')"
+    body = f"""CASE regexp_extract({name}, '{_KIND}', 1) WHEN 'CHAR_SMALL' THEN {_letters_sql(n, T.ALPHABET)} WHEN 'CHAR_BIG' THEN {_letters_sql(n, T.ALPHABET_UPPER)}
+  WHEN 'ROMAN_SMALL' THEN {_ROMAN_SQL} WHEN 'ROMAN_BIG' THEN upper({_ROMAN_SQL}) ELSE CAST({n} AS VARCHAR) END"""
+    ends = " ".join(f"WHEN '{e}' THEN '{x}' || {body} || '{y}'" for e, (x, y) in T.NUMBER_ENDS.items())
+    return f"CASE regexp_extract({name}, '{_KIND}', 2) {ends} ELSE {body} || '.' END"
+
+
+@query(f"WITH c AS ({_COUNTED}), k AS (SELECT *, {_KINDS.sql('id // 2')} AS kind FROM c) SELECT id, n, {label_sql('n', 'kind')} AS label FROM k")
 def list_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers in the styles of lists."""
     kind = F.nullif(_KINDS.column(F.floor(F.col("id") / 2)), F.lit(""))
