@@ -1,4 +1,4 @@
-"""Annotations, fields and links over conversations as threads and literal rows."""
+"""Annotations, fields and links over conversations as threads and other tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import annots
-from docloom.plans.registry import Relation, query
+from docloom.plans.derived import TREE, Patterns, tree
+from docloom.plans.registry import query
 from docloom.session import table
 
 #: A conversation is a document, a turn a note that replies to the turn before.
@@ -69,14 +70,13 @@ def xref_zip_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annots.xref_map(source, copies)
 
 
-FIELDS = Relation("f", "doc_id string, id int, parent_id int, value string", [("d", 1, None, "root"), ("d", 2, 1, None), ("d", 3, 2, "own"), ("d", 4, 2, None), ("e", 1, 2, None), ("e", 2, 1, None), ("e", 3, 99, None)])
-INHERITED = Relation("i", "doc_id string, id int, value string", [("d", 1, "root"), ("d", 2, "root"), ("d", 3, "own"), ("d", 4, "root"), ("e", 1, None), ("e", 2, None), ("e", 3, None)])
-
-
-@query(f"WITH {INHERITED.cte} SELECT * FROM i")
+@query(f"""WITH RECURSIVE {TREE}, f AS (SELECT doc_id, node_id AS id, parent_id, CASE WHEN p % 6 = 0 THEN 'v' || o % 90 END AS value FROM t),
+u AS (SELECT doc_id, id, parent_id, value, 0 AS hop FROM f UNION ALL SELECT u.doc_id, u.id, f.parent_id, f.value, hop + 1 FROM u JOIN f ON f.doc_id = u.doc_id AND f.id = u.parent_id WHERE u.value IS NULL AND hop < {annots.MOST_HOPS})
+SELECT doc_id, id, max(value) AS value FROM u GROUP BY ALL""")
 def field_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A field's attribute from the nearest ancestor that has it; cycles end."""
-    return annots.inherited(FIELDS.frame(spark), "value")
+    """A field's attribute from the nearest ancestor that has it."""
+    value = F.when(F.col("p") % 6 == 0, F.concat(F.lit("v"), (F.col("o") % 90).cast("string")))
+    return annots.inherited(tree(spark, sf_dir).select("doc_id", F.col("node_id").alias("id"), "parent_id", value.alias("value")), "value")
 
 
 @query("""WITH f AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, CASE l_suppkey % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'C' ELSE 'S' END AS tabs, l_orderkey AS pos, l_quantity AS x0, l_discount * 100 AS y0 FROM lineitem)
@@ -96,25 +96,37 @@ def form_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annots.filled(fields, values).select("xref", "field_xref", "value")
 
 
-LINKS = Relation("l", "doc_id string, page_no int, link_no int, n_pages int, name string, action string, target_page int", [("d", 1, 1, 3, None, None, 3), ("d", 1, 2, 3, "intro", None, None), ("d", 3, 1, 3, None, "NextPage", None), ("d", 2, 1, 3, None, "PrevPage", None), ("d", 2, 2, 3, None, "LastPage", None), ("d", 2, 3, 3, "none", None, None)])
-NAMES = Relation("n", "doc_id string, name string, page_no int", [("d", "intro", 2)])
+_ACTIONS = Patterns("NextPage", "PrevPage", "FirstPage", "LastPage", "GoBack")
 
 
-@query("""SELECT 'd' AS doc_id, CAST(p AS INTEGER) AS page_no, CAST(l AS INTEGER) AS link_no, CAST(t AS INTEGER) AS page FROM (VALUES (1, 1, 3), (1, 2, 2), (3, 1, NULL), (2, 1, 1), (2, 2, 3), (2, 3, NULL)) v(p, l, t)""")
+@query(f"""WITH l AS (SELECT l_suppkey AS doc_id, l_orderkey AS link_no, CAST(l_linenumber AS INTEGER) AS page_no, CASE WHEN l_partkey % 5 = 0 THEN 'name' || l_partkey % 30 END AS name, CASE WHEN l_partkey % 5 > 1 THEN {_ACTIONS.sql('l_partkey')} END AS action, CAST(CASE WHEN l_partkey % 5 = 1 THEN l_partkey % 7 + 1 END AS INTEGER) AS target FROM lineitem),
+n AS (SELECT DISTINCT l_suppkey AS doc_id, 'name' || l_partkey % 30 AS name, CAST(l_partkey % 30 + 1 AS INTEGER) AS at FROM lineitem WHERE l_orderkey % 4 = 0),
+a AS (SELECT *, CASE action WHEN 'NextPage' THEN page_no + 1 WHEN 'PrevPage' THEN page_no - 1 WHEN 'FirstPage' THEN 1 WHEN 'LastPage' THEN 7 END AS moved FROM l)
+SELECT a.doc_id, page_no, link_no, coalesce(target, n.at, CASE WHEN moved BETWEEN 1 AND 7 THEN moved END) AS page FROM a LEFT JOIN n ON n.doc_id = a.doc_id AND n.name = a.name""")
 def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page that each link leads to."""
-    return annots.resolved_links(LINKS.frame(spark), NAMES.frame(spark)).select("doc_id", "page_no", "link_no", "page")
+    items, part = table(spark, sf_dir, "lineitem"), F.col("l_partkey")
+    name = F.concat(F.lit("name"), (part % 30).cast("string"))
+    links = items.select(
+        F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("link_no"), F.col("l_linenumber").cast("int").alias("page_no"), F.lit(7).alias("n_pages"), F.when(part % 5 == 0, name).alias("name"),
+        F.when(part % 5 > 1, _ACTIONS.column(part)).alias("action"), F.when(part % 5 == 1, part % 7 + 1).cast("int").alias("target_page"),
+    )
+    names = items.where("l_orderkey % 4 = 0").select(F.col("l_suppkey").alias("doc_id"), name.alias("name"), (part % 30 + 1).cast("int").alias("page_no")).distinct()
+    return annots.resolved_links(links, names).select("doc_id", "page_no", "link_no", "page")
 
 
-POINTS = Relation("p", "kind string, raw string, x double, y double", [("XYZ", "72,700,0", 72.0, 700.0), ("XYZ", "null,700,0", 5.0, 700.0), ("XYZ", "null,null,0", None, None), ("FitH", "640", 5.0, 640.0), ("FitV", "30", 30.0, 800.0), ("FitR", "10,20,5,90", 5.0, 90.0), ("FitR", "10,20", None, None), ("Fit", "", None, None)])
+_FITS, _PARAMS = Patterns("XYZ", "FitH", "FitV", "FitR", "Fit", "FitBH"), Patterns("{a},{b},0", "null,{b},0", "null,null,0", "{b},{a},{a},90", "{a}", "")
 
 
-@query(f"WITH {POINTS.cte} SELECT * FROM p")
+@query(f"""WITH r AS (SELECT p_partkey, {_FITS.sql('p_partkey')} AS kind, [TRY_CAST(x AS DOUBLE) for x in string_split({_PARAMS.sql('p_size', a='p_size', b='p_partkey % 900')}, ',')] AS p FROM part),
+x AS (SELECT *, CASE kind WHEN 'XYZ' THEN p[1] IS NOT NULL OR p[2] IS NOT NULL WHEN 'FitR' THEN p[1] IS NOT NULL AND p[2] IS NOT NULL AND p[3] IS NOT NULL AND p[4] IS NOT NULL WHEN 'Fit' THEN false ELSE p[1] IS NOT NULL END AS there FROM r)
+SELECT p_partkey, CASE WHEN there THEN CASE kind WHEN 'XYZ' THEN coalesce(p[1], 5) WHEN 'FitV' THEN p[1] WHEN 'FitR' THEN least(p[1], p[3]) ELSE 5.0 END END::DOUBLE AS x, CASE WHEN there THEN CASE kind WHEN 'XYZ' THEN coalesce(p[2], 800) WHEN 'FitV' THEN 800.0 WHEN 'FitR' THEN greatest(p[2], p[4]) ELSE p[1] END END::DOUBLE AS y FROM x""")
 def target_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corner that a destination asks for."""
-    params = F.transform(F.split("raw", ","), lambda v: v.try_cast("double"))
+    raw = _PARAMS.column(F.col("p_size"), a=F.col("p_size"), b=F.col("p_partkey") % 900)
     box = F.struct(F.lit(5.0).alias("x0"), F.lit(800.0).alias("y1"))
-    return POINTS.frame(spark).select("kind", "raw", annots.target_point(F.col("kind"), params, box).alias("p")).select("kind", "raw", "p.x", "p.y")
+    point = annots.target_point(_FITS.column(F.col("p_partkey")), F.transform(F.split(raw, ","), lambda v: v.try_cast("double")), box)
+    return table(spark, sf_dir, "part").select("p_partkey", point.alias("p")).select("p_partkey", "p.x", "p.y")
 
 
 @query("SELECT conv_id AS doc_id, turn AS id FROM conversations WHERE role <> 'system'")
