@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
+from docloom.operators import flow
+from docloom.session import written
 
 # Points by which left edges may differ, sizes of type, and shares of the height of a line.
 EDGE, SIZE, FAR, CLOSE, DRIFT = 3, 1, 1.6, 0.5, 0.3
@@ -87,38 +86,41 @@ def attributes(lines: DataFrame) -> DataFrame:
     return facts.select("doc_id", "para_no", "align", F.when(placed, F.col("rest")).otherwise(0.0).alias("left_indent"), F.when(placed & (F.abs(more) >= 1), more).otherwise(0.0).alias("first_indent"), "step")
 
 
-def wrap(text: str, width: float, size: float, advance: dict[str, float], usual: float = 0.5) -> list[str]:
-    """The lines of a text that fit a width: words as they fit, words that are too long by characters; blanks stay at the end of a line."""
-    out: list[str] = []
-    measure = lambda part: sum(advance.get(c, usual) for c in part)
-    for paragraph in text.split("\n"):
-        line, used = "", 0.0
-        for part in re.findall(r"\S+|\s+", paragraph):
-            if part.isspace():
-                if line:
-                    line, used = line + part, used + measure(part)
-                continue
-            if (used + measure(part)) * size <= width:
-                line, used = line + part, used + measure(part)
-                continue
-            if line:
-                out.append(line)
-            line, used = "", 0.0
-            for c in part:
-                step = advance.get(c, usual)
-                if line and (used + step) * size > width:
-                    out.append(line)
-                    line, used = "", 0.0
-                line, used = line + c, used + step
-        out.append(line)
-    return out
-
-
-def wrapped(text: Column, width: float, size: float, advance: dict[str, float] | None = None) -> Column:
-    """An array of lines of each text; one text at a time, since each line depends on where the one before ended."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def lines(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: wrap(t, width, size, advance or {}), na_action="ignore")
-
-    return lines(text)
+def _written_units(characters: DataFrame, width: float) -> DataFrame:
+    """``characters`` with ``para``, ``blank`` and ``piece``: the place where what can't be parted begins, a word with the blanks behind it.
+
+    A word that is wider than a line is cut in its characters, and ``forced`` marks the first of them. Blanks before the first word
+    of a paragraph belong to nothing.
+    """
+    text = Window.partitionBy("doc_id").orderBy("pos")
+    rows = characters.withColumn("para", F.sum(F.when(F.col("char") == "\n", 1).otherwise(0)).over(text)).where(F.col("char") != "\n").withColumn("blank", F.col("char").rlike(r"(?U)\s"))
+    para = Window.partitionBy("doc_id", "para").orderBy("pos")
+    begins = ~F.col("blank") & F.coalesce(F.lag("blank").over(para), F.lit(True))
+    rows = rows.withColumn("unit", F.sum(F.when(begins, 1).otherwise(0)).over(para.rowsBetween(Window.unboundedPreceding, 0))).where("unit > 0")
+    unit = Window.partitionBy("doc_id", "para", "unit")
+    wide = F.sum(F.when(~F.col("blank"), F.col("advance"))).over(unit) > width
+    first, last = F.min("pos").over(unit), F.max(F.when(~F.col("blank"), F.col("pos"))).over(unit)
+    piece = F.when(~F.col("wide"), F.col("first")).when(F.col("blank"), F.col("last")).otherwise(F.col("pos"))
+    rows = rows.withColumns({"wide": wide, "first": first, "last": last})
+    return rows.withColumns({"piece": piece, "forced": F.col("wide") & (F.col("pos") == F.col("first"))})
+
+
+def wrapped(characters: DataFrame, width: float) -> DataFrame:
+    """(doc_id, line_no, line): texts in lines of a width, from 0.
+
+    ``characters``: doc_id, pos, char, advance (its own width in its own style). Words go to the next line where they would reach
+    beyond the width; the blanks behind a word stay on its line and take no room at its end; line ends are kept. Words are blocks of a
+    flow whose pages are the lines, so a line begins where jumps from the first word lead, and no text is gone through in order.
+    """
+    rows = written(_written_units(characters, width), "wrapped")
+    pieces = rows.groupBy("doc_id", "para", "piece").agg(F.sum(F.when(~F.col("blank"), F.col("advance"))).alias("height"), F.coalesce(F.sum(F.when(F.col("blank"), F.col("advance"))), F.lit(0.0)).alias("behind"), F.bool_or("forced").alias("new_page"))
+    gap = F.coalesce(F.lag("behind").over(Window.partitionBy("doc_id", "para").orderBy("piece")), F.lit(0.0))
+    blocks = pieces.select(F.struct("doc_id", "para").alias("doc_id"), F.col("piece").alias("pos"), "height", gap.alias("gap"), "new_page", F.lit(float(width)).alias("page_height"))
+    pages = flow.paginated(blocks).select("doc_id.doc_id", "doc_id.para", F.col("pos").alias("piece"), "page_no")
+    lines = rows.join(pages, ["doc_id", "para", "piece"]).groupBy("doc_id", "para", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "char"))), lambda c: c.char), "").alias("line"))
+    # Paragraphs without a word are an empty line.
+    ends = characters.groupBy("doc_id").agg(F.sum(F.when(F.col("char") == "\n", 1).otherwise(0)).alias("ends"))
+    paras = ends.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), "ends")).alias("para"))
+    every = paras.join(lines, ["doc_id", "para"], "left").select("doc_id", "para", F.coalesce("page_no", F.lit(1)).alias("page_no"), F.coalesce("line", F.lit("")).alias("line"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("para", "page_no")) - 1
+    return every.select("doc_id", number.alias("line_no"), "line")

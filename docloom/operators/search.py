@@ -7,6 +7,7 @@ Texts are compared in a form that keeps their length, so positions are those of
 from __future__ import annotations
 
 import unicodedata
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from docloom.functions.arrays import bind, spans
 from docloom.functions.text import GLYPHS_SAME_LENGTH, search_form
 
+#: Signs that mean something else in an expression.
+SIGNS = frozenset(r".*+?^${}()|[]\/")
 HIT = "array<struct<start:int,end:int>>"
 #: Order of the kinds of hits within a document.
 KINDS = {"text": 0, "outline": 1, "comment": 2}
@@ -28,25 +31,22 @@ def normal_query(query: str, case_sensitive: bool = False) -> str:
     return "".join(low if len(low) == len(c) else c for c, low in lowered)
 
 
-def _is_word(c: str) -> bool:
-    return unicodedata.category(c)[0] in "LN"
+def _kind(place: tuple[int, str]) -> tuple[str, int]:
+    """Letters and digits are of one kind, each sign of its own."""
+    return ("word", 0) if unicodedata.category(place[1])[0] in "LN" else ("sign", place[0])
 
 
 def search_pattern(query: str) -> str:
-    """The regular expression of a normalised query; empty for a blank one. Valid for Java and Python with Unicode on."""
-    out: list[str] = []
-    before = ""
-    for c in query.strip():
-        if c.isspace():
-            if before != " ":
-                out.append(r"\s+")
-            before = " "
-            continue
-        if before not in ("", " ") and not (_is_word(before) and _is_word(c)):
-            out.append(r"\s*")
-        out.append(c if _is_word(c) or c not in r".*+?^${}()|[]\/" else "\\" + c)
-        before = c
-    return "".join(out)
+    """The regular expression of a normalised query; empty for a blank one. Valid for Java and Python with Unicode on.
+
+    Each part between blanks is cut in words and signs, which blanks may part.
+    """
+
+    def tokens(part: str) -> list[str]:
+        found = ["".join(c for _, c in run) for _, run in groupby(enumerate(part), key=_kind)]
+        return ["\\" + token if token in SIGNS else token for token in found]
+
+    return r"\s+".join(r"\s*".join(tokens(part)) for part in query.split())
 
 
 def hit_count(text: Column, query: str, case_sensitive: bool = False) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import desk, forms, paragraphs
 from docloom.plans.derived import ITEM_ORDER, TREE, Patterns, tree
-from docloom.plans.registry import Relation, query
+from docloom.plans.registry import query
 from docloom.session import table
 
 _ORDER = ", ".join(ITEM_ORDER)
@@ -191,11 +191,20 @@ def paragraph_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.attributes(_placed(spark, sf_dir).withColumn("para_no", F.floor(F.col("line_no") / 4)))
 
 
-WRAPPED = Relation("w", "raw string, pos int, line string", [("aaa bb cccccc", 0, "aaa "), ("aaa bb cccccc", 1, "bb "), ("aaa bb cccccc", 2, "ccccc"), ("aaa bb cccccc", 3, "c"), ("x\n\ny", 0, "x"), ("x\n\ny", 1, ""), ("x\n\ny", 2, "y")])
+_WRAPPED = r"""t AS (SELECT item_id AS doc_id, generate_subscripts(string_split(text, ''), 1) AS pos, unnest(string_split(text, '')) AS ch FROM (SELECT item_id, replace(text, 'the ', 'The' || chr(10)) || ' ' || repeat('Wide', CAST(item_id % 20 AS INTEGER)) AS text FROM benchmark)),
+c AS (SELECT *, sum(CASE WHEN ch = chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS para, CASE WHEN regexp_matches(ch, '[A-Z]') THEN 0.75 ELSE 0.5 END::DOUBLE AS adv, regexp_matches(ch, '\s') AS sp FROM t),
+u AS (SELECT *, CASE WHEN NOT sp AND coalesce(lag(sp) OVER w, true) THEN 1 ELSE 0 END AS b FROM c WHERE ch <> chr(10) WINDOW w AS (PARTITION BY doc_id, para ORDER BY pos)), v AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, para ORDER BY pos) AS unit FROM u),
+x AS (SELECT *, sum(adv) FILTER (NOT sp) OVER n > 20 AS wide, min(pos) OVER n AS f, max(pos) FILTER (NOT sp) OVER n AS l FROM v WHERE unit > 0 WINDOW n AS (PARTITION BY doc_id, para, unit)), y AS (SELECT *, CASE WHEN NOT wide THEN f WHEN sp THEN l ELSE pos END AS piece FROM x),
+p AS (SELECT doc_id, para, piece, sum(adv) FILTER (NOT sp) AS h, coalesce(sum(adv) FILTER (sp), 0) AS s, bool_or(wide AND pos = f) AS forced FROM y GROUP BY ALL), q AS (SELECT *, sum(h + g) OVER (PARTITION BY doc_id, para ORDER BY piece) AS r FROM (SELECT *, coalesce(lag(s) OVER (PARTITION BY doc_id, para ORDER BY piece), 0) AS g FROM p)),
+n AS (SELECT a.doc_id, a.para, a.piece, min(z.piece) AS nxt FROM q a LEFT JOIN q z ON z.doc_id = a.doc_id AND z.para = a.para AND z.piece > a.piece AND (z.forced OR z.r - a.r + a.h > 20) GROUP BY ALL),
+k AS (SELECT doc_id, para, min(piece) AS piece FROM n GROUP BY ALL UNION ALL SELECT n.doc_id, n.para, n.nxt FROM k JOIN n USING (doc_id, para, piece) WHERE n.nxt IS NOT NULL),
+m AS (SELECT n.doc_id, n.para, n.piece, count(k.piece) OVER (PARTITION BY n.doc_id, n.para ORDER BY n.piece) AS line FROM n LEFT JOIN k USING (doc_id, para, piece)),
+o AS (SELECT doc_id, para, m.line, string_agg(ch, '' ORDER BY pos) AS text FROM y JOIN m USING (doc_id, para, piece) GROUP BY ALL), e AS (SELECT DISTINCT doc_id, para FROM c)"""
 
 
-@query(f"WITH {WRAPPED.cte} SELECT * FROM w")
+@query(f"WITH RECURSIVE {_WRAPPED} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para, o.line) - 1 AS INTEGER) AS line_no, coalesce(text, '') AS line FROM e LEFT JOIN o USING (doc_id, para)")
 def line_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts wrapped to five characters."""
-    raw = WRAPPED.frame(spark).select("raw").distinct()
-    return raw.select("raw", F.posexplode(paragraphs.wrapped(F.col("raw"), 25.0, 10.0)).alias("pos", "line"))
+    """Texts of two styles wrapped to twenty ems; capitals are wider."""
+    text = F.concat(F.replace("text", F.lit("the "), F.lit("The\n")), F.lit(" "), F.repeat(F.lit("Wide"), (F.col("item_id") % 20).cast("int")))
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.posexplode(F.filter(F.split(text, ""), lambda c: c != "")).alias("pos", "char"))
+    return paragraphs.wrapped(rows.withColumn("advance", F.when(F.col("char").rlike("[A-Z]"), 0.75).otherwise(0.5)), 20.0)

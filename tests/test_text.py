@@ -12,6 +12,10 @@ from docloom.functions import text as T
 from docloom.operators import search, styles
 
 
+def cleaned(spark, raw, **settings):
+    return spark.createDataFrame([(raw,)], "t string").select(paragraphs.clean_paragraphs(F.col("t"), **settings)).first()[0]
+
+
 @pytest.mark.parametrize(
     ("raw", "clean"),
     [
@@ -26,13 +30,13 @@ from docloom.operators import search, styles
         ("", ""),
     ],
 )
-def test_clean_paragraphs(raw, clean):
-    assert paragraphs.fold(raw) == clean
+def test_clean_paragraphs(spark, raw, clean):
+    assert cleaned(spark, raw) == clean
 
 
-def test_first_line_that_is_full_is_not_short():
+def test_first_line_that_is_full_is_not_short(spark):
     raw = "kurulur.\nBu satır ise çok daha uzun bir satırdır"
-    assert paragraphs.fold(raw, first_is_full=True) == raw.replace("\n", " ")
+    assert cleaned(spark, raw, first_is_full=True) == raw.replace("\n", " ")
 
 
 def test_preparation_joins_soft_hyphens_and_repairs(spark):
@@ -208,10 +212,10 @@ def test_encrypted_documents(spark):
     assert got == {i: i == 0 for i in range(len(files))}
 
 
-def test_boxes_become_strips_as_they_come(spark):
+def test_boxes_become_strips(spark):
     from docloom.operators import layout
 
-    rows = [("d", 1, 0, 10.0, 10.0, 50.0, 20.0, 0.0), ("d", 1, 1, 60.0, 11.0, 90.0, 22.0, 1.0), ("d", 1, 2, 10.0, 30.0, 50.0, 40.0, 359.0), ("d", 1, 3, 12.0, 12.0, 16.0, 18.0, 90.0), ("d", 2, 0, 1.0, 1.0, 2.0, 9.0, 90.0), ("d", 2, 1, 0.0, 10.0, 2.5, 30.0, 270.0)]
+    rows = [("d", 1, 0, 10.0, 10.0, 50.0, 20.0, 0.0), ("d", 1, 1, 60.0, 11.0, 90.0, 22.0, 1.0), ("d", 1, 2, 10.0, 30.0, 50.0, 40.0, 359.0), ("d", 1, 3, 12.0, 12.0, 16.0, 18.0, 90.0), ("d", 2, 0, 1.0, 1.0, 2.0, 9.0, 90.0), ("d", 2, 1, 0.0, 10.0, 1.8, 30.0, 270.0), ("d", 2, 2, None, 1.0, 2.0, 3.0, 0.0)]
     boxes = spark.createDataFrame(rows, "doc_id string, page_no int, pos int, x0 double, y0 double, x1 double, y1 double, angle double")
     got = {tuple(r) for r in layout.line_strips(boxes).collect()}
-    assert got == {("d", 1, 0, False, 10.0, 10.0, 90.0, 22.0), ("d", 1, 1, False, 10.0, 30.0, 50.0, 40.0), ("d", 1, 2, True, 12.0, 12.0, 16.0, 18.0), ("d", 2, 0, True, 0.0, 1.0, 2.5, 30.0)}
+    assert got == {("d", 1, 0, False, 10.0, 10.0, 90.0, 22.0), ("d", 1, 1, False, 10.0, 30.0, 50.0, 40.0), ("d", 1, 2, True, 12.0, 12.0, 16.0, 18.0), ("d", 2, 0, True, 0.0, 1.0, 2.0, 30.0)}
