@@ -1,12 +1,13 @@
-"""Layout operators over boxes derived from the driver's rows, and over literal pages."""
+"""Layout operators over boxes derived from the driver's rows, and pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import layout
-from docloom.plans.registry import Relation, query
+from docloom.plans.derived import Patterns
+from docloom.plans.registry import query
 from docloom.session import table
 
 #: Line items as lines on pages: a supplier is a document, a line number a page.
@@ -138,119 +139,160 @@ def baseline_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.baseline_lines(parts).select("doc_id", "page_no", "block", "cluster")
 
 
-WORDS = Relation("w", "doc_id string, page_no int, block int, line int, word_no int, x0 double, y0 double, x1 double, y1 double, text string", [("a", 1, 0, 0, 1, 50.0, 10.0, 90.0, 20.0, "dünya"), ("a", 1, 0, 0, 0, 10.0, 10.0, 45.0, 21.0, "Merhaba"), ("a", 1, 0, 1, 0, 10.0, 30.0, 60.0, 40.0, "ikinci"), ("a", 2, 1, 0, 0, 5.0, 5.0, 9.0, 9.0, "son")])
+#: Line items as words: six blocks on a page, thirty lines.
+_WORDS = """w AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, l_orderkey % 6 AS block, l_orderkey % 30 AS line, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_quantity, l_extendedprice) AS word_no,
+  l_quantity * 8 AS x0, (l_orderkey % 30) * 12.0::DOUBLE AS y0, l_quantity * 8 + 20 AS x1, (l_orderkey % 30) * 12.0::DOUBLE + 9 + l_partkey % 3 AS y1, l_returnflag || l_partkey % 100 AS text FROM lineitem)"""
 
 
-@query(f"""WITH {WORDS.cte} SELECT doc_id, page_no, block, line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, ' ' ORDER BY x0, word_no) AS text, count(*) AS n,
-  count(*) OVER (PARTITION BY doc_id, page_no, block) AS block_lines, min(min(x0)) OVER (PARTITION BY doc_id, page_no, block) AS block_left FROM w GROUP BY doc_id, page_no, block, line""")
-def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.block_facts(layout.lines_of_words(WORDS.frame(spark)))
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.row_number().over(Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"))
+    top = (F.col("l_orderkey") % 30) * 12.0
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), (F.col("l_orderkey") % 6).alias("block"), (F.col("l_orderkey") % 30).alias("line"), number.alias("word_no"), (F.col("l_quantity") * 8).alias("x0"),
+        top.alias("y0"), (F.col("l_quantity") * 8 + 20).alias("x1"), (top + 9 + F.col("l_partkey") % 3).alias("y1"), F.concat("l_returnflag", (F.col("l_partkey") % 100).cast("string")).alias("text"),
+    )
 
 
-PLAIN = Relation("t", "doc_id string, page_no int, text string", [("a", 1, "Merhaba dünya\nikinci"), ("a", 2, "son")])
+@query(f"""WITH {_WORDS} SELECT doc_id, page_no, block, line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, ' ' ORDER BY x0, word_no) AS text, count(*) AS n,
+  count(*) OVER (PARTITION BY doc_id, page_no, block) AS block_lines, min(min(x0)) OVER (PARTITION BY doc_id, page_no, block) AS block_left FROM w GROUP BY doc_id, page_no, block, line""")
+def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as lines, with facts of their blocks."""
+    return layout.block_facts(layout.lines_of_words(_words(spark, sf_dir)))
 
 
-@query(f"WITH {PLAIN.cte} SELECT * FROM t")
+@query(f"""WITH {_WORDS}, l AS (SELECT doc_id, page_no, block, line, min(x0) AS x0, min(y0) AS y0, string_agg(text, ' ' ORDER BY x0, word_no) AS text FROM w GROUP BY ALL)
+SELECT doc_id, page_no, string_agg(text, chr(10) ORDER BY y0, x0, block, line, text) AS text FROM l GROUP BY ALL""")
 def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.page_texts(WORDS.frame(spark))
+    """The text of each page in reading order."""
+    return layout.page_texts(_words(spark, sf_dir))
 
 
-BOXES = Relation("b", "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double", [("a", 1, 0.0, 0.0, 100.0, 20.0), ("a", 1, 0.0, 21.0, 100.0, 40.0), ("a", 1, 300.0, 300.0, 400.0, 400.0), ("a", 1, 401.0, 350.0, 450.0, 500.0), ("a", 2, 0.0, 0.0, 5.0, 5.0)])
-MERGED = Relation("m", "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double", [("a", 1, 0.0, 0.0, 100.0, 40.0), ("a", 1, 300.0, 300.0, 450.0, 500.0), ("a", 2, 0.0, 0.0, 5.0, 5.0)])
+def _spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as small pictures that stand about on pages."""
+    x, y = (F.col("l_orderkey") * 37 % 600).cast("double"), (F.col("l_partkey") * 53 % 790).cast("double")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), x.alias("x0"), y.alias("y0"), (x + 4 + F.col("l_quantity") % 30).alias("x1"), (y + 5 + F.col("l_linenumber") * 3).alias("y1"))
 
 
-@query(f"WITH {MERGED.cte} SELECT * FROM m")
+@query()
 def connected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Touching boxes as one."""
-    return layout.merged_boxes(BOXES.frame(spark))
-
+    """Touching boxes as one; boxes that grow, so tests hold it against a plain loop."""
+    return layout.merged_boxes(_spots(spark, sf_dir))
 
-PAGES = Relation("p", "doc_id string, page_no int, width double, height double, rotation int", [("a", 1, 600.0, 800.0, 0), ("a", 2, 600.0, 800.0, 90), ("b", 1, 100.0, 100.0, 0)])
-IMAGES = Relation("i", "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double, px_w int, px_h int", [("a", 1, 0.0, 0.0, 100.0, 20.0, 100, 20), ("a", 1, 0.0, 21.0, 100.0, 40.0, 100, 20), ("a", 1, 300.0, 300.0, 400.0, 400.0, 50, 50), ("b", 1, 0.0, 0.0, 100.0, 100.0, 1000, 1000)])
-READ = Relation("w", "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double, text string", [("a", 1, 310.0, 310.0, 390.0, 350.0, "read"), ("b", 1, 1.0, 1.0, 5.0, 5.0, "x")])
-REGIONS = Relation("r", "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double", [("a", 1, 0.0, 0.0, 100.0, 40.0), ("b", 1, 0.0, 0.0, 100.0, 100.0)])
 
-
-@query(f"WITH {REGIONS.cte} SELECT * FROM r")
+@query()
 def ocr_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of pages that may hold unread text."""
-    return layout.regions_to_read(PAGES.frame(spark), IMAGES.frame(spark), READ.frame(spark))
+    """Parts of pages that may hold unread text; tests hold it against a plain loop."""
+    spots = _spots(spark, sf_dir)
+    pages = spots.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    return layout.regions_to_read(pages, spots.where("x0 < 300"), _words(spark, sf_dir), 50, 20)
 
 
-FACTS = Relation("f", "doc_id string, page_no int, kind string, scanned boolean, dpi double", [("a", 1, "png", False, None), ("a", 2, "png", False, None), ("b", 1, "jpeg", True, None)])
+#: Pages, their pictures and words, a supplier being a document.
+_FACTS = """g AS (SELECT DISTINCT l_suppkey AS doc_id, l_linenumber AS page_no, 600.0::DOUBLE AS width, 800.0::DOUBLE AS height FROM lineitem),
+i AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, l_quantity AS x0, l_quantity AS y0, l_quantity + l_partkey % 400 AS x1, l_quantity + l_orderkey % 300 AS y1, l_partkey % 400 AS px_w, l_orderkey % 300 AS px_h FROM lineitem WHERE (l_orderkey + l_suppkey) % 9 = 0),
+w AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, CASE WHEN l_suppkey % 3 = 0 THEN ' ' ELSE l_returnflag END AS text FROM lineitem)"""
 
 
-@query(f"WITH {FACTS.cte} SELECT doc_id, page_no, kind, scanned FROM f")
+@query(f"""WITH {_FACTS}, s AS (SELECT doc_id, page_no, sum(px_w * px_h) AS px, sum(greatest(0, x1 - x0) * greatest(0, y1 - y0)) AS cover FROM i GROUP BY ALL), c AS (SELECT doc_id, page_no, sum(length(trim(text))) AS chars FROM w GROUP BY ALL)
+SELECT g.doc_id, g.page_no, CASE WHEN px >= 500000 AND cover >= 0.25 * 480000 THEN 'jpeg' ELSE 'png' END AS kind, coalesce(coalesce(chars, 0) < 3 AND cover >= 240000, false) AS scanned FROM g LEFT JOIN s USING (doc_id, page_no) LEFT JOIN c USING (doc_id, page_no)""")
 def page_image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of each page's thumbnail, and whether it is a scan."""
-    pages, images, words = PAGES.frame(spark), IMAGES.frame(spark), READ.frame(spark)
+    items, wide, high = table(spark, sf_dir, "lineitem"), F.col("l_partkey") % 400, F.col("l_orderkey") % 300
+    place = [F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no")]
+    pages = items.select(*place).distinct().select("doc_id", "page_no", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    images = items.where("(l_orderkey + l_suppkey) % 9 = 0").select(*place, F.col("l_quantity").alias("x0"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") + wide).alias("x1"), (F.col("l_quantity") + high).alias("y1"), wide.alias("px_w"), high.alias("px_h"))
+    words = items.select(*place, F.when(F.col("l_suppkey") % 3 == 0, " ").otherwise(F.col("l_returnflag")).alias("text"))
     scans = layout.scanned_pages(pages, words, images).withColumn("found", F.lit(True))
     kinds = layout.thumbnail_kinds(pages, images).join(scans, ["doc_id", "page_no"], "left")
     return kinds.select("doc_id", "page_no", "kind", F.coalesce("found", F.lit(False)).alias("scanned"))
 
 
-SCAN = Relation("s", "doc_id string, page_no int, dpi double", [("b", 1, 300.0)])
-SCAN_IMAGES = Relation("i", "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double, px_w int, px_h int", [("b", 1, 0.0, 0.0, 96.0, 100.0, 400, 417), ("a", 1, 0.0, 0.0, 600.0, 800.0, 600, 900)])
-
-
-@query("SELECT 'b' AS doc_id, CAST(1 AS INTEGER) AS page_no, CAST((400 * 72 / 96.0::DOUBLE + 417 * 72 / 100.0::DOUBLE) / 2 AS DOUBLE) AS dpi")
+@query("""WITH i AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, 600 - l_partkey % 20 AS w, 800 - l_orderkey % 20 AS h, (600 - l_partkey % 20) * 4 AS pw, (800 - l_orderkey % 20) * 4 + l_suppkey % 60 AS ph FROM lineitem WHERE l_quantity > 20),
+k AS (SELECT doc_id, page_no, arg_max({'w': w, 'h': h, 'pw': pw, 'ph': ph}, {'a': w * h, 'pw': pw, 'ph': ph, 'w': w, 'h': h}) AS i FROM i GROUP BY ALL), x AS (SELECT doc_id, page_no, i.w * i.h AS a, i.pw * 72 / i.w::DOUBLE AS x, i.ph * 72 / i.h::DOUBLE AS y FROM k)
+SELECT doc_id, page_no, (x + y) / 2 AS dpi FROM x WHERE a >= 0.95 * 480000 AND abs(x - y) <= 0.01 * greatest(x, y) AND (x + y) / 2 BETWEEN 50 AND 600""")
 def scan_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.scan_resolution(PAGES.frame(spark), SCAN_IMAGES.frame(spark))
+    """The resolution of scanned pages."""
+    wide, high = (600 - F.col("l_partkey") % 20).cast("double"), (800 - F.col("l_orderkey") % 20).cast("double")
+    items = table(spark, sf_dir, "lineitem").where("l_quantity > 20").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), wide.alias("x1"), high.alias("y1"), (wide * 4).cast("long").alias("px_w"), (high * 4 + F.col("l_suppkey") % 60).cast("long").alias("px_h"))
+    pages = items.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    return layout.scan_resolution(pages, items)
 
 
-RULES = Relation("u", "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double, stroked boolean", [("a", 1, 0.0, 0.0, 100.0, 50.0, True), ("a", 1, 0.0, 60.0, 100.0, 61.0, False), ("a", 1, 0.0, 0.0, 1.0, 80.0, False), ("a", 2, 0.0, 0.0, 100.0, 50.0, True)])
-
-
-@query("SELECT 'a' AS doc_id, CAST(1 AS INTEGER) AS page_no")
+@query("""WITH u AS (SELECT l_orderkey AS doc_id, l_suppkey % 2 AS page_no, CASE l_partkey % 5 WHEN 0 THEN 20 WHEN 1 THEN 1 ELSE 16 + l_quantity END AS w, CASE l_partkey % 5 WHEN 0 THEN 1 ELSE 10 END AS h, l_partkey % 3 > 0 AS s FROM lineitem),
+k AS (SELECT *, h < 1.6 AND w > 15 AS f, w < 1.6 AND h > 6 AS v FROM u), c AS (SELECT *, s AND w > 15 AND h > 6 AND NOT f AND NOT v AS b FROM k)
+SELECT doc_id, page_no FROM c GROUP BY ALL HAVING sum(CASE WHEN f THEN 1 WHEN b THEN 2 ELSE 0 END) >= 3 AND sum(CASE WHEN v THEN 1 WHEN b THEN 2 ELSE 0 END) >= 3""")
 def ruled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.ruled_pages(RULES.frame(spark))
-
+    """Pages with rules enough for tables."""
+    kind = F.col("l_partkey") % 5
+    wide, high = F.when(kind == 0, 20.0).when(kind == 1, 1.0).otherwise(16 + F.col("l_quantity")), F.when(kind == 0, 1.0).otherwise(10.0)
+    rules = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 2).alias("page_no"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), wide.alias("x1"), high.alias("y1"), (F.col("l_partkey") % 3 > 0).alias("stroked"))
+    return layout.ruled_pages(rules)
 
-SPANS = Relation("s", "doc_id string, page_no int, span_no int, x0 double, x1 double, y double, underline boolean", [("a", 1, 1, 10.0, 60.0, 100.0, True), ("a", 1, 2, 70.0, 90.0, 100.0, False), ("a", 1, 3, 10.0, 60.0, 200.0, False)])
-UNDER = Relation("u", "doc_id string, page_no int, x0 double, x1 double, y double", [("a", 1, 9.0, 61.0, 102.0), ("a", 1, 75.0, 90.0, 101.0), ("a", 1, 0.0, 99.0, 204.0)])
 
-
-@query(f"WITH {SPANS.cte} SELECT * FROM s")
+@query("""WITH a AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_quantity, l_extendedprice) AS span_no, l_partkey, l_quantity * 8 AS x, (l_orderkey % 40) * 12 AS y FROM lineitem),
+s AS (SELECT doc_id, page_no, span_no, x AS x0, x + 12 AS x1, y FROM a WHERE l_partkey % 2 = 0), r AS (SELECT doc_id, page_no, x - l_partkey % 9 AS x0, x + l_partkey % 90 AS x1, y + l_partkey % 7 - 1 AS y FROM a WHERE l_partkey % 2 = 1)
+SELECT doc_id, page_no, span_no, x0, x1, y::DOUBLE AS y, EXISTS (SELECT 1 FROM r WHERE r.doc_id = s.doc_id AND r.page_no = s.page_no AND r.x0 <= s.x0 + 2 AND r.x1 >= s.x1 - 2 AND r.y - s.y BETWEEN -0.5 AND 3.5) AS underline FROM s""")
 def underlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.underlined(SPANS.frame(spark).drop("underline"), UNDER.frame(spark))
-
-
-CELLS = Relation("c", "doc_id string, page_no int, table_no int, row_no int, col_start int, x0 double, y0 double, x1 double, y1 double", [("a", 1, 1, 0, 0, 0.0, 0.0, 50.0, 20.0), ("a", 1, 1, 0, 1, 50.0, 0.0, 100.0, 20.0), ("a", 1, 1, 1, 0, 0.0, 20.0, 100.0, 40.0)])
-PARTS = Relation("p", "doc_id string, page_no int, part_no int, x0 double, y0 double, x1 double, y1 double", [("a", 1, 1, 5.0, 5.0, 20.0, 15.0), ("a", 1, 2, 45.0, 5.0, 55.0, 15.0), ("a", 1, 3, 60.0, 30.0, 80.0, 36.0), ("a", 1, 4, 200.0, 1.0, 210.0, 9.0)])
-
-
-@query(f"""WITH {CELLS.cte}, {PARTS.cte}, j AS (SELECT p.doc_id, p.page_no, part_no, table_no, row_no, col_start, row_number() OVER (PARTITION BY part_no ORDER BY table_no, row_no, col_start) AS k FROM p JOIN c ON p.doc_id = c.doc_id AND p.page_no = c.page_no
-  AND (p.x0 + p.x1) / 2 BETWEEN c.x0 - 0.5 AND c.x1 + 0.5 AND (p.y0 + p.y1) / 2 BETWEEN c.y0 - 0.5 AND c.y1 + 0.5) SELECT * EXCLUDE (k) FROM j WHERE k = 1""")
+    """Spans that rules underline."""
+    x, y, part = F.col("l_quantity") * 8, ((F.col("l_orderkey") % 40) * 12).cast("double"), F.col("l_partkey")
+    number = F.row_number().over(Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"))
+    items = table(spark, sf_dir, "lineitem").withColumn("span_no", number.cast("long"))
+    place = [F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no")]
+    spans = items.where("l_partkey % 2 = 0").select(*place, "span_no", x.alias("x0"), (x + 12).alias("x1"), y.alias("y"))
+    rules = items.where("l_partkey % 2 = 1").select(*place, (x - part % 9).alias("x0"), (x + part % 90).alias("x1"), (y + part % 7 - 1).alias("y"))
+    return layout.underlined(spans, rules)
+
+
+@query("""WITH a AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, l_orderkey, l_partkey, l_quantity * 10 AS x, (l_orderkey % 50) * 10 AS y FROM lineitem),
+c AS (SELECT doc_id, page_no, l_partkey % 3 AS table_no, l_orderkey % 50 AS row_no, l_partkey % 8 AS col_start, x AS x0, y AS y0, x + 90 AS x1, y + 60 AS y1 FROM a WHERE l_partkey % 6 = 0), p AS (SELECT doc_id, page_no, l_orderkey AS part_no, x + 7 AS px, y + 6 AS py FROM a WHERE l_partkey % 6 > 0),
+j AS (SELECT p.doc_id, p.page_no, part_no, min({'t': table_no, 'r': row_no, 'c': col_start}) AS cell FROM p JOIN c ON p.doc_id = c.doc_id AND p.page_no = c.page_no AND px BETWEEN c.x0 - 0.5 AND c.x1 + 0.5 AND py BETWEEN c.y0 - 0.5 AND c.y1 + 0.5 GROUP BY ALL)
+SELECT doc_id, page_no, part_no, cell.t AS table_no, cell.r AS row_no, cell.c AS col_start FROM j""")
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cell of each part."""
-    return layout.in_cells(PARTS.frame(spark), CELLS.frame(spark))
-
-
-SCORES = Relation("s", "doc_id string, page_no int, angle int, good int, total int", [("a", 1, 0, 20, 24), ("a", 1, 180, 30, 30), ("a", 2, 0, 4, 30), ("a", 2, 90, 25, 30), ("a", 2, 270, 25, 30), ("a", 3, 0, 2, 5), ("a", 3, 180, 2, 3)])
-
-
-@query("SELECT 'a' AS doc_id, CAST(n AS INTEGER) AS page_no, CAST(x AS INTEGER) AS angle FROM (VALUES (1, 0), (2, 90), (3, 0)) t(n, x)")
+    x, y, part = F.col("l_quantity") * 10, ((F.col("l_orderkey") % 50) * 10).cast("double"), F.col("l_partkey")
+    items = table(spark, sf_dir, "lineitem")
+    place = [F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no")]
+    cells = items.where("l_partkey % 6 = 0").select(*place, (part % 3).alias("table_no"), (F.col("l_orderkey") % 50).alias("row_no"), (part % 8).alias("col_start"), x.alias("x0"), y.alias("y0"), (x + 90).alias("x1"), (y + 60).alias("y1"))
+    parts = items.where("l_partkey % 6 > 0").select(*place, F.col("l_orderkey").alias("part_no"), x.alias("x0"), y.alias("y0"), (x + 14).alias("x1"), (y + 12).alias("y1"))
+    return layout.in_cells(parts, cells)
+
+
+@query("""WITH s AS (SELECT l_suppkey AS doc_id, l_linenumber AS page_no, [0, 90, 180, 270][CAST((l_partkey + l_suppkey) % 4 AS INTEGER) + 1] AS angle, count(*) FILTER (l_quantity > 5 + 40 * (l_partkey % 4 % 2)) AS good, count(*) AS total FROM lineitem GROUP BY ALL),
+u AS (SELECT doc_id, page_no, max(good) FILTER (angle = 0) AS g, max(total) FILTER (angle = 0) AS t FROM s GROUP BY ALL),
+k AS (SELECT s.doc_id, s.page_no, angle, 2 * good - total AS net, list_position([90, 270, 180], angle) AS tried, coalesce(g >= 8 AND g >= 0.7 * t, false) AS fine, angle <> 0 AND good >= 3 AND 2 * good - total >= coalesce(2 * g - t, 0) + 3 AS able FROM s JOIN u USING (doc_id, page_no))
+SELECT doc_id, page_no, coalesce(arg_max(angle, {'n': net, 't': -tried}) FILTER (NOT fine AND able), 0) AS angle FROM k GROUP BY ALL""")
 def ocr_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turn in which a page was read."""
-    return layout.best_reading(SCORES.frame(spark))
-
-
-DIRECTIONS = Relation("d", "doc_id string, page_no int, rotation int, dx double, dy double", [("a", 1, 90, 1.0, 0.0), ("a", 1, 90, 1.0, 0.0), ("a", 1, 90, 0.0, -1.0), ("a", 2, 90, 0.0, -1.0), ("a", 3, 0, -1.0, 0.0)])
+    angle = F.element_at(F.array(*[F.lit(a) for a in (0, 90, 180, 270)]), ((F.col("l_partkey") + F.col("l_suppkey")) % 4).cast("int") + 1)
+    good = F.col("l_quantity") > 5 + 40 * (F.col("l_partkey") % 4 % 2)
+    scores = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), angle.alias("angle")).agg(F.count_if(good).alias("good"), F.count("*").alias("total"))
+    return layout.best_reading(scores)
 
 
-@query("SELECT 'a' AS doc_id, CAST(n AS INTEGER) AS page_no, CAST(x AS INTEGER) AS angle FROM (VALUES (1, 0), (2, 90), (3, 180)) t(n, x)")
+@query("""WITH d AS (SELECT l_orderkey AS doc_id, l_orderkey % 3 AS page_no, CAST(90 * (l_orderkey % 4) AS INTEGER) AS rotation, [1.0, 0.0, -1.0, 0.0, 0.5][CAST(l_partkey % 5 AS INTEGER) + 1]::DOUBLE AS dx, [0.0, -1.0, 0.0, 1.0, 0.5][CAST(l_partkey % 5 AS INTEGER) + 1]::DOUBLE AS dy FROM lineitem),
+t AS (SELECT *, unnest([rotation, 0, 90, 180, 270]) AS angle, generate_subscripts([rotation, 0, 90, 180, 270], 1) AS rank FROM d),
+v AS (SELECT doc_id, page_no, angle, rank, count(*) FILTER (CASE angle WHEN 0 THEN dx WHEN 90 THEN -dy WHEN 180 THEN -dx ELSE dy END > 0.9) AS votes FROM t GROUP BY ALL) SELECT doc_id, page_no, arg_max(angle, {'v': votes, 'r': -rank}) AS angle FROM v GROUP BY ALL""")
 def text_plane_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plane in which most lines read from left to right."""
-    return layout.text_planes(DIRECTIONS.frame(spark))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("l_partkey") % 5).cast("int") + 1)
+    order = F.col("l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").select(order.alias("doc_id"), (order % 3).alias("page_no"), (90 * (order % 4)).cast("int").alias("rotation"), pick((1.0, 0.0, -1.0, 0.0, 0.5)).alias("dx"), pick((0.0, -1.0, 0.0, 1.0, 0.5)).alias("dy"))
+    return layout.text_planes(rows)
 
 
-NUMBERED = Relation("n", "doc_id string, page_no int, page_width double, x0 double, x1 double, text string", [("a", 1, 600.0, 290.0, 310.0, "- 1 -"), ("a", 2, 600.0, 290.0, 310.0, "- 2 -"), ("b", 1, 600.0, 500.0, 560.0, "1/9"), ("b", 2, 600.0, 500.0, 560.0, "2/9"), ("c", 1, 600.0, 0.0, 9.0, "4"), ("c", 2, 600.0, 0.0, 9.0, "5")])
+_FOOTERS = Patterns("- {a} -", "{a}/9", "{a}", "Sayfa {a} of 12", "{b}")
+_PAGE_OF = r"^(\D{0,24}?)(\d{1,4})(?:(\s*(?:/|-|of)\s*)(\d{1,4}))?(\D{0,16})$"
 
 
-@query("SELECT * FROM (VALUES ('a', 'centre', '- ', '/', ' -', false), ('b', 'right', '', '/', '', true)) t(doc_id, alignment, before, separator, after, has_total)")
+@query(rf"""WITH n AS (SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS page_no, (o_custkey % 3) * 250 AS x0 FROM orders), r AS (SELECT *, {_FOOTERS.sql('doc_id', a='page_no', b='page_no + 1')} AS text FROM n),
+f AS (SELECT *, TRY_CAST(regexp_extract(text, '{_PAGE_OF}', 2) AS INTEGER) = page_no AS fits FROM r), d AS (SELECT doc_id, arg_min(text, page_no) AS text, min(x0) + 20 - 300 AS off FROM f GROUP BY doc_id HAVING count(*) >= 2 AND bool_and(coalesce(fits, false)))
+SELECT doc_id, CASE WHEN abs(off) < 48 THEN 'centre' WHEN off > 0 THEN 'right' ELSE 'left' END AS alignment, regexp_extract(text, '{_PAGE_OF}', 1) AS before, coalesce(nullif(trim(regexp_extract(text, '{_PAGE_OF}', 3)), ''), '/') AS separator,
+  regexp_extract(text, '{_PAGE_OF}', 5) AS after, regexp_extract(text, '{_PAGE_OF}', 4) <> '' AS has_total FROM d""")
 def page_number_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose repeated line is the number of its page."""
-    return layout.page_number_line(NUMBERED.frame(spark))
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), number.alias("page_no"), F.lit(600.0).alias("page_width"), ((F.col("o_custkey") % 3) * 250.0).alias("x0"))
+    return layout.page_number_line(rows.withColumns({"x1": F.col("x0") + 40, "text": _FOOTERS.column(F.col("doc_id"), a=F.col("page_no"), b=F.col("page_no") + 1)}))
 
 
 @query(f"""WITH {_LINES}, z AS (SELECT doc_id, page_no, CAST(round_even(y0, 0) AS INTEGER) AS y, regexp_replace(text, '[0-9]+', '#', 'g') AS masked, text, y0 > page_height * 0.84 AS low FROM l WHERE y0 < page_height * 0.16 OR y0 > page_height * 0.84),

@@ -1,8 +1,8 @@
-"""Registered queries, the SQL that checks them, and small literal relations."""
+"""Registered queries and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,28 +21,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return function
 
     return add
-
-
-class Relation:
-    """A literal relation, for Spark as a frame and for SQL as a common table expression."""
-
-    def __init__(self, name: str, schema: str, rows: Sequence[tuple]) -> None:
-        self.name, self.schema, self.rows = name, schema, list(rows)
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
-
-    @property
-    def cte(self) -> str:
-        """``name(columns) AS (VALUES ...)`` with typed values."""
-        fields = [f.strip().split(" ", 1) for f in self.schema.split(",")]
-        types = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
-
-        def written(value: object, kind: str) -> str:
-            if value is None:
-                return f"CAST(NULL AS {types[kind]})"
-            text = "'" + str(value).replace("'", "''") + "'"
-            return f"CAST({text} AS {types[kind]})"
-
-        rows = ", ".join("(" + ", ".join(written(v, k) for v, (_, k) in zip(r, fields, strict=True)) + ")" for r in self.rows)
-        return f"{self.name}({', '.join(f'"{n}"' for n, _ in fields)}) AS (VALUES {rows})"
