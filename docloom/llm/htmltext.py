@@ -3,8 +3,9 @@
 A page is cut into blocks at block-level tags. Each block has its number of words and its link
 density (the share of words inside links), the same of the blocks before and after it, whether it
 is a heading, whether it stands inside an article element (or outside one on a page that has one),
-inside an element for menus, forms and the like, and how far class names speak of such. A decision
-tree, grown here by Gini impurity from ``LABELLED``, decides which blocks are main text.
+inside an element for menus, forms and the like, how far class names speak of such, and whether it follows a heading
+of readers' comments or speaks of rights. A decision tree, grown here by Gini impurity from ``LABELLED``, decides which
+blocks are main text. Class names alone never leave a page without text.
 
 Counts of open elements are kept while a page is read, so a page takes time in proportion to its
 length, however deep its elements lie. An element that is never closed says nothing about the
@@ -26,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FEATURES = ("around", "article", "heading", "named", "words", "links", "words_before", "links_before", "words_after", "links_after")
+#: ``noted`` is 1 from a heading of readers' comments on, as far as the element goes, and for a last line about rights.
+FEATURES = ("around", "article", "heading", "named", "noted", "words", "links", "words_before", "links_before", "words_after", "links_after")
 
 #: Labelled blocks: the features above, then 1 for main text. Fixed values, made for this purpose.
 #: ``article`` is 1 inside an article, -1 outside it on a page that has one, 0 on a page without.
-LABELLED = np.array(
+_WITHOUT_NOTES = np.array(
     [
         # inside an article: paragraphs, short lines, headings, lists of references
         (0, 1, 0, 0.0, 85, 0.00, 40, 0.00, 60, 0.00, 1),
@@ -139,12 +141,36 @@ LABELLED = np.array(
     ]
 )
 
+#: The same blocks, none of them noted, and blocks of comments and last lines, which are.
+LABELLED = np.vstack(
+    [
+        np.insert(_WITHOUT_NOTES, FEATURES.index("noted"), 0, axis=1),
+        [
+            (0, 1, 1, 0.0, 1, 2, 0.00, 60, 0.00, 9, 0.00, 0),
+            (0, 1, 0, 0.0, 1, 30, 0.00, 2, 0.00, 25, 0.00, 0),
+            (0, 1, 0, 0.0, 1, 4, 0.10, 30, 0.00, 0, 0.00, 0),
+            (0, -1, 1, 0.0, 1, 2, 0.00, 60, 0.00, 14, 0.00, 0),
+            (0, -1, 0, 0.5, 1, 80, 0.00, 12, 0.00, 6, 0.50, 0),
+            (0, 0, 1, 0.0, 1, 2, 0.00, 70, 0.00, 20, 0.00, 0),
+            (0, 0, 1, 0.0, 1, 1, 0.00, 3, 0.00, 5, 0.00, 0),
+            (0, 0, 0, 0.0, 1, 6, 0.00, 2, 0.00, 3, 0.00, 0),
+            (0, 0, 0, 0.0, 1, 25, 0.00, 2, 0.00, 40, 0.00, 0),
+            (0, 0, 0, 0.0, 1, 90, 0.05, 50, 0.00, 60, 0.00, 0),
+            (0, 0, 0, 0.0, 1, 3, 0.00, 25, 0.00, 0, 0.00, 0),
+            (0, 0, 0, 0.0, 1, 6, 0.00, 60, 0.00, 0, 0.00, 0),
+            (0, 0, 0, 0.0, 1, 14, 0.20, 30, 0.00, 2, 1.00, 0),
+            (1, 0, 0, 0.0, 1, 8, 0.00, 40, 0.00, 0, 0.00, 0),
+        ],
+    ]
+)
+
 #: Names of HTML, fixed values.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never shown as text of the page.
+#: Elements whose text is never shown as text of the page; of some not even a gap is seen where they stand.
+UNSEEN_TAGS = frozenset("script style noscript template svg".split())
 HIDDEN_TAGS = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button head title datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 AROUND_TAGS = frozenset("nav footer aside form menu dialog".split())
@@ -152,17 +178,24 @@ AROUND_ROLES = frozenset("navigation banner contentinfo complementary search for
 #: Words of class names and ids, fixed values: of what stands around an article (if it is the last that counts), of the
 #: heads of pages, of articles, and words that say nothing.
 AROUND_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars widget widgets nav navbar navigation menu submenu breadcrumb breadcrumbs footer comment comments commentlist commentform reply replies respond disqus share sharing social related recommended recommendations cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search searchform pagination pager skip".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars widget widgets nav navbar navigation menu submenu breadcrumb breadcrumbs footer comment comments commentlist commentform reply replies respond disqus share sharing social related recommended recommendations cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search searchform pagination pager skip"
+    # the same in German, French and Spanish
+    " werbung anzeige anzeigen fusszeile fussleiste seitenleiste navigationsleiste kommentar kommentare hinweis hinweise teilen suche anmeldung verwandte empfehlungen"
+    " publicite publicites pub pubs pied piedpage barre commentaire commentaires avis partager partage recherche connexion connexes recommandations abonnement"
+    " publicidad anuncio anuncios pie piepagina barralateral comentario comentarios aviso avisos compartir buscar busqueda acceso relacionados recomendados suscripcion".split()
 )
-HEAD_NAMES = frozenset("header masthead topbar".split())
+HEAD_NAMES = frozenset("header masthead topbar kopfzeile kopf entete cabecera encabezado".split())
 ARTICLE_NAMES = frozenset("article articlebody entry story post content maincontent main body text".split())
 PLAIN_NAMES = frozenset("site page main top bottom left right primary secondary wrapper wrap container inner outer box block section area list item items links posts content body text bar row col js is has the".split())
 ARTICLE_TAGS = frozenset("article main".split())
 #: Elements that hold the whole page, whose class names say nothing about their text.
 WHOLE_TAGS = frozenset("html body article main".split())
 
+#: How readers' comments are headed and how the last line of a page begins, in four languages; fixed values.
+_COMMENTS = re.compile(r"(?:\d+\s+(?:comments?|replies|responses|kommentare?|antworten|commentaires?|réponses|comentarios?|respuestas)|(?:comments?|kommentare?|commentaires?|comentarios?)(?:\s*\(\s*\d+\s*\))?)\s*:?\Z", re.I)
+_LAST_LINE = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)", re.I)
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\s[^<>\"']*|/)?(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>",
     re.S,
@@ -184,6 +217,8 @@ class Block:
     article: bool
     heading: bool
     named: float
+    #: The block-level element around the one that it stands in.
+    holder: _Element | None = None
 
     @property
     def links(self) -> float:
@@ -198,6 +233,8 @@ class _Element:
     article: bool = False
     half: bool = False
     full: bool = False
+    #: The first block behind it; None while it is open.
+    end: int | None = None
 
 
 def named(value: str, inside: bool) -> tuple[float, bool]:
@@ -241,7 +278,10 @@ class _Page:
             linked = sum(1 for p, inside in self.parts if inside for w in html.unescape(p).split() if _WORD.search(w))
             words = sum(1 for w in whole.split(" ") if _WORD.search(w))
             self.blocks.append(
-                Block(whole, words, min(linked, words), self.around, self.tagged > 0, self.articles > 0, self.headings > 0, 1.0 if self.full else 0.5 if self.half else 0.0)
+                Block(
+                    whole, words, min(linked, words), self.around, self.tagged > 0, self.articles > 0, self.headings > 0, 1.0 if self.full else 0.5 if self.half else 0.0,
+                    self.open[self.block_at[-2]] if len(self.block_at) > 1 else None,
+                )
             )
         self.parts = []
 
@@ -256,6 +296,7 @@ class _Page:
     def _close_down_to(self, place: int) -> None:
         while len(self.open) > place:
             e = self.open.pop()
+            e.end = len(self.blocks)
             self.at[e.tag].pop()
             if e.tag in BLOCK_TAGS:
                 self.block_at.pop()
@@ -355,19 +396,37 @@ def blocks(page: str | None) -> list[Block]:
                 at = end.end()
             elif name in ("script", "style", "textarea"):
                 at = len(source)
-            found.parts.append((" ", False))
+            if name not in UNSEEN_TAGS:
+                found.parts.append((" ", False))
         else:
             found.start(name, attributes or "")
             if attributes and attributes.endswith("/") and name not in VOID_TAGS and name not in BLOCK_TAGS:
                 found.end(name)
 
 
+def noted(found: list[Block]) -> np.ndarray:
+    """Whether each block follows a heading of readers' comments in the element that holds the heading, or is a line about rights at the end of a page.
+
+    Within an article, or with long text behind it, such a line is text like any other.
+    """
+    change, rights = np.zeros(len(found) + 1, int), np.zeros(len(found), bool)
+    behind = np.maximum.accumulate([0, *(b.words for b in reversed(found))])[-2::-1]
+    for i, block in enumerate(found):
+        if block.words <= 6 and _COMMENTS.match(block.text):
+            end = block.holder.end if block.holder and block.holder.end is not None else len(found)
+            change[i] += 1
+            change[max(end, i + 1)] -= 1
+        rights[i] = block.words <= 40 and behind[i] <= 20 and not block.article and bool(_LAST_LINE.match(block.text))
+    return (np.cumsum(change)[:-1] > 0) | rights
+
+
 def features(found: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block."""
     sizes = np.array([(b.words, b.links) for b in found], float).reshape(-1, 2)
     nothing, outside = np.zeros((1, 2)), -1 if any(b.tagged for b in found) else 0
     own = np.array([(b.around > 0, 1 if b.article else outside, b.heading, b.named) for b in found], float).reshape(-1, 4)
-    return np.hstack([own, sizes, np.vstack([nothing, sizes[:-1]])[: len(found)], np.vstack([sizes[1:], nothing])[: len(found)]])
+    marks = noted(found).astype(float).reshape(-1, 1)
+    return np.hstack([own, marks, sizes, np.vstack([nothing, sizes[:-1]])[: len(found)], np.vstack([sizes[1:], nothing])[: len(found)]])
 
 
 @dataclass
@@ -417,10 +476,15 @@ def trained(labelled: np.ndarray = LABELLED) -> Tree:
 
 
 def main_text(page: str | None, tree: Tree) -> str:
+    """The text of the blocks that the tree takes; where class names alone leave none, of those it takes without them."""
     found = blocks(page)
     if not found:
         return ""
-    chosen = tree.predict(features(found)) > 0.5
+    rows = features(found)
+    chosen = tree.predict(rows) > 0.5
+    if not chosen.any():
+        rows[:, FEATURES.index("named")] = 0.0
+        chosen = tree.predict(rows) > 0.5
     return " ".join(b.text for b, c in zip(found, chosen, strict=True) if c)
 
 

@@ -453,6 +453,47 @@ def test_pages_take_time_in_proportion(page):
     assert time.perf_counter() - began < 3
 
 
+LONG = "a long line of running text that says something of the matter at hand and goes on " * 5
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="newsletter"><h1>Title</h1><p>{LONG}</p></div>', f"Title {LONG}"),
+        (f'<div class="header"><p>{LONG}</p></div>', LONG),
+        (f"<div><h1>Title</h1><p>{LONG}</p></div><div><h3>3 comments</h3><p>Ann: I like this very much</p><p>Bob: me too</p></div><div>Copyright 2020 by the firm</div>", f"Title {LONG}"),
+        (f"<div><h1>Titel</h1><p>{LONG}</p></div><div><h3>2 Kommentare</h3><p>{LONG}</p></div>", f"Titel {LONG}"),
+        (f"<article><h1>Titre</h1><p>{LONG}</p><section><h2>Commentaires (2)</h2><p>Moi aussi</p></section><p>{LONG}</p></article>", f"Titre {LONG}{LONG}"),
+        (f'<div class="kopfzeile">Das Blatt</div><div><p>{LONG}</p></div><div class="fusszeile">Ein Verlag</div><div class="publicite">{LONG}</div>', LONG),
+        (f"<p>The word<svg><path/></svg>s go<script>x</script> on {LONG}</p>", f"The words go on {LONG}"),
+        (f"<article><p>{LONG}</p><p>All rights reserved.</p><p>{LONG}</p></article>", f"{LONG}All rights reserved. {LONG}"),
+    ],
+)
+def test_names_comments_and_last_lines(page, text):
+    assert htmltext.main_text(page, htmltext.trained()) == " ".join(text.split())
+
+
+def test_pages_without_names_and_article_tags(spark, sf_dir):
+    import html
+
+    right = total = 0
+    for row in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        article = row.html[row.html.index("<article>") + 9 : row.html.index("</article>")]
+        plain = " ".join(html.unescape(re.sub("</?b>", "", re.sub("<(?!/?b>)[^>]*>", " ", article))).split())
+        bare = re.sub(r"</?article>|</?(?:nav|footer|aside|header)>", "<div>", re.sub(r' (?:class|id|role)="[^"]*"', "", row.html))
+        right, total = right + (htmltext.main_text(bare, htmltext.trained()) == plain), total + 1
+    assert right >= 0.97 * total
+
+
+@pytest.mark.parametrize("piece", ["<!x ", "<?"])
+def test_unclosed_declarations_take_time_in_proportion(piece):
+    import time
+
+    began = time.perf_counter()
+    htmltext.blocks(piece * 500_000)
+    assert time.perf_counter() - began < 3
+
+
 def test_extraction_keeps_rows(spark):
     rows = [(1, "u", "<article>x</article>"), (None, None, None), (1, "u", "<article>x</article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
