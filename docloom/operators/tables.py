@@ -191,17 +191,19 @@ def text_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, written(islands.select(*PAGE, "row_no", "island", k.alias("k"), strips.alias("strips")), "islands")
 
 
-def longest_runs(rows: DataFrame) -> DataFrame:
+def longest_runs(rows: DataFrame, all_parted: bool = True) -> DataFrame:
     """(doc_id, page_no, island, k, next, strips): for each row the first one beyond it that leaves no strip free, and the strips free until there.
 
+    ``all_parted``: each row has a strip of its own, so that runs without one are of no use in longer ones.
+
     The strips of twice as many rows are what those of two halves share; each row then adds halves from the largest down while a strip is left.
     """
     key = [*PAGE, "island", "k"]
     spans, far = [rows.select(*key, "strips")], 1
     while True:
         ahead = spans[-1].select(*PAGE, "island", (F.col("k") - far).alias("k"), F.col("strips").alias("then"))
-        longer = spans[-1].join(ahead, key).select(*key, _common(F.col("strips"), F.col("then")).alias("strips")).where(_parted(F.col("strips")))
-        longer = written(longer, "spans")
+        longer = spans[-1].join(ahead, key).select(*key, _common(F.col("strips"), F.col("then")).alias("strips"))
+        longer = written(longer.where(_parted(F.col("strips"))) if all_parted else longer, "spans")
         if not longer.head(1):
             discard(longer)
             break
