@@ -148,6 +148,24 @@ def ole2_kind(content: Column) -> Column:
     return F.when(has("WordDocument"), kind("doc")).when(has("EncryptedPackage"), kind("sifreli"))
 
 
+# Fixed value: the identifier of a signed message's digest, as a record in hex.
+MESSAGE_DIGEST = "06 09 2A 86 48 86 F7 0D 01 09 04"
+DIGEST_BYTES = (20, 32, 48, 64)
+
+
+def message_digests(signature: Column) -> Column:
+    """The digests (hex) that a signature's nested records say the signed message has, of known lengths, in order.
+
+    The identifier is followed by a set and that by a byte string, each with its length in one byte or, after 81 or 82, in one or two.
+    A string that its bytes don't fill is none. Bytes are written as pairs with a blank behind them, so that none is read across two.
+    """
+    pairs = F.regexp_replace(F.hex(signature), "(..)", "$1 ")
+    any_length = "(?:[0-7]. |81 .. |82 .. .. )"
+    strings = "|".join(f"(?:81 |82 00 )?{n:02X} (?:.. ){{{n}}}" for n in DIGEST_BYTES)
+    found = F.regexp_extract_all(pairs, F.lit(f"(?<= |^){MESSAGE_DIGEST} 31 {any_length}04 ({strings})"), F.lit(1))
+    return F.transform(found, lambda d: F.regexp_replace(F.regexp_replace(d, "^(?:81 |82 00 )?.. ", ""), " ", ""))
+
+
 def digest_state(content: Column, digests: Column) -> Column:
     """Struct (state, algorithm): ``consistent`` if some digest (hex) is that of the content, ``inconsistent`` if digests of known length are all others', else ``unknown``."""
     known = {40: ("SHA-1", F.sha1(content)), 64: ("SHA-256", F.sha2(content, 256)), 96: ("SHA-384", F.sha2(content, 384)), 128: ("SHA-512", F.sha2(content, 512))}

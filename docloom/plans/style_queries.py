@@ -280,10 +280,28 @@ def page_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", setup.alias("s")).select("p_partkey", "s.*")
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'consistent' WHEN 1 THEN 'inconsistent' ELSE 'unknown' END AS state, CASE doc_id % 3 WHEN 0 THEN 'SHA-256' WHEN 1 THEN 'SHA-1' END AS algorithm FROM documents""")
+#: What each document's signature holds: digests of the text or of something else, in records of several forms, whole or broken.
+_SIGNED = {
+    0: ("consistent", "SHA-256"), 1: ("consistent", "SHA-1"), 2: ("inconsistent", "SHA-256"), 3: ("consistent", "SHA-512"), 4: ("unknown", None), 5: ("consistent", "SHA-384"), 6: ("unknown", None), 7: ("inconsistent", "SHA-1"),
+}
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 8 {" ".join(f"WHEN {k} THEN '{s}'" for k, (s, _) in _SIGNED.items())} END AS state, CASE doc_id % 8 {" ".join(f"WHEN {k} THEN '{a}'" for k, (_, a) in _SIGNED.items() if a)} END AS algorithm FROM documents""")
 def signature_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a signature's digests are those of the content."""
-    content = F.col("text").cast("binary")
-    n = F.col("doc_id") % 3
-    digests = F.when(n == 0, F.array(F.lit("0" * 40), F.upper(F.sha2(content, 256)))).when(n == 1, F.array(F.lit("ab"), F.lit("0" * 40))).otherwise(F.array(F.lit("ab")))
-    return table(spark, sf_dir, "documents").select("doc_id", convert.digest_state(content, digests).alias("s")).select("doc_id", "s.*")
+    """Whether the digests within signatures are those of the content."""
+    content, kind = F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.col("doc_id") % 8
+    head = F.concat(F.lit("308201"), F.hex(F.sha2(F.col("source"), 256)), F.lit(convert.MESSAGE_DIGEST.replace(" ", "")))
+    other = F.sha2(F.concat(F.lit("not "), F.col("source")), 256)
+    second = F.concat(head, F.lit("81"), F.lit("22"))  # an identifier without a set behind it
+    body = (
+        F.when(kind == 0, F.concat(F.lit("31220420"), F.sha2(content, 256)))
+        .when(kind == 1, F.concat(F.lit("318116048114"), F.sha1(content)))
+        .when(kind == 2, F.concat(F.lit("31220420"), other))
+        .when(kind == 3, F.concat(F.lit("31220420"), other, head, F.lit("31820042" + "04820040"), F.sha2(content, 512)))
+        .when(kind == 4, F.concat(F.lit("31220420"), F.substring(other, 1, 62)))  # a byte short
+        .when(kind == 5, F.concat(F.lit("31320430"), F.sha2(content, 384), F.lit("0500")))
+        .when(kind == 6, F.concat(F.lit("0420"), other, second))
+        .otherwise(F.concat(F.lit("31160414"), F.sha1(F.concat(content, F.lit("x").cast("binary")))))
+    )
+    signature = F.unhex(F.concat(head, body))
+    return table(spark, sf_dir, "documents").select("doc_id", convert.digest_state(content, convert.message_digests(signature)).alias("s")).select("doc_id", "s.*")
