@@ -338,7 +338,25 @@ def page_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", T.page_number_parts(F.col("raw")).alias("p")).select("id", "p.*")
 
 
-@query()
+_HEADS = paragraphs.HEADING
+_SUFFIX = f"^[''’][{paragraphs.LOWER}]"
+_SPACE = r"[\s\x0b\x85\p{Z}]+"
+_SOFT = "regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), chr(173) || '[ \\t]*\\n[ \\t]*(\\S)', '\\1', 'g')"
+_REPAIRED = f"replace(replace(replace(translate({_SOFT}, 'ĠġĢģ‟', 'İŞşş\"'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), chr(173), '')"
+_PREPARED = f"translate(replace(regexp_replace({_REPAIRED}, '[\\x{{E000}}-\\x{{F8FF}}]', '', 'g'), chr(9), '    '), chr(160), ' ')"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, string_split({_PREPARED}, chr(10)) AS s FROM documents), u AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS raw FROM p),
+l AS (SELECT doc_id, i, raw = '' AS nothing, regexp_matches(raw, '^ {{2,}}\S') AS inside, regexp_replace(regexp_replace(raw, ' {{2,}}', ' ', 'g'), '^{_SPACE}|{_SPACE}$', '', 'g') AS x FROM u),
+w AS (SELECT *, coalesce(lead(x) OVER d, '') AS after, coalesce(lead(inside) OVER d, false) AS after_inside, greatest(1, max(length(x)) OVER (PARTITION BY doc_id)) AS most, sum(CASE WHEN nothing THEN 1 ELSE 0 END) OVER d AS blanks FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT *, length(x) < most * {paragraphs.SHORT} AS short, regexp_matches(x, '{paragraphs.SENTENCE_END.replace("'", "''")}') AS closed, regexp_matches(after, '^{_HEADS}') OR (length(regexp_extract(after, '^[{paragraphs.UPPER}]+')) >= 3
+  AND NOT regexp_matches(substr(after, length(regexp_extract(after, '^[{paragraphs.UPPER}]+')) + 1), '{_SUFFIX}')) AS opens FROM w WHERE x <> ''),
+e AS (SELECT *, after = '' OR after_inside OR (closed AND (short OR opens)) OR (NOT closed AND short AND regexp_matches(x, '^{_HEADS}') AND NOT regexp_matches(after, '^[{paragraphs.LOWER}]')) AS ends FROM f),
+g AS (SELECT *, lag(i) OVER d = i - 1 AND NOT inside AND NOT lag(ends) OVER d AS goes_on, regexp_matches(lag(x) OVER d, '{paragraphs.CUT_WORD}') AND regexp_matches(x, '^[{paragraphs.LOWER}{paragraphs.HATS}]') AS cut, regexp_matches(lag(x) OVER d, '[0-9]-$') AND regexp_matches(x, '^[0-9]') AS number,
+  blanks - lag(blanks) OVER d AS gap, lag(i) OVER d IS NULL AS first FROM e WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT *, coalesce(lead(goes_on) OVER d AND lead(cut) OVER d, false) AS shorten FROM g WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT doc_id, string_agg(CASE WHEN first THEN '' WHEN goes_on THEN CASE WHEN cut OR number THEN '' ELSE ' ' END WHEN gap >= 2 THEN chr(10) || chr(10) ELSE chr(10) END || CASE WHEN shorten THEN regexp_replace(x, '-$', '') ELSE x END, '' ORDER BY i) AS t FROM h GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN regexp_replace(regexp_replace(coalesce(t, ''), ' {{2,}}', ' ', 'g'), ' ([,.;:!?])', '\1', 'g') END AS text FROM documents LEFT JOIN t USING (doc_id)""")
 def clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean paragraphs of every text; a fold, checked by tests against plain rules."""
+    """Clean paragraphs of every text."""
     return table(spark, sf_dir, "documents").select("doc_id", paragraphs.clean_paragraphs(F.col("text")).alias("text"))
