@@ -55,7 +55,7 @@ def points_in(points: DataFrame, boxes: DataFrame, x: Column, y: Column, side: f
 
 
 def connected(boxes: DataFrame, dx: float, dy: float, key: str = "box", side: float = CELL) -> DataFrame:
-    """``boxes`` (doc_id, page_no, ``key``, ...) with ``root``: the smallest key among the boxes of a page that meet within the tolerances, directly or through others."""
-    pairs = meeting(boxes, boxes, dx, dy, side).where(F.col(f"a.{key}") < F.col(f"b.{key}")).select(*PAGE, F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+    """``boxes`` (doc_id, page_no, ``key``, ...) with ``root``: the smallest key among the boxes of a page that meet, each with a margin of (dx, dy), directly or through others."""
+    pairs = meeting(boxes, boxes, 2 * dx, 2 * dy, side).where(F.col(f"a.{key}") < F.col(f"b.{key}")).select(*PAGE, F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
     labels = components(pairs, PAGE).select(*PAGE, F.col("node").alias(key), "label")
     return boxes.join(labels, [*PAGE, key], "left").withColumn("root", F.coalesce("label", key)).drop("label")

@@ -19,7 +19,7 @@ from docloom.operators.layout import chained, row_groups
 from docloom.operators.spatial import BOX, PAGE, connected, meeting
 from docloom.session import discard, written
 
-# Fixed values, in points: the gap over which strokes still meet, the least distance of two lines of a grid, the widest border.
+# Fixed values, in points: the margin with which strokes meet, the least distance of two lines of a grid, the widest border.
 CONNECTED, CLEARANCE, BORDER = 0.5, 2.0, 6.0
 #: Fixed value, in points: the distance between rows that parts tables.
 FAR = 50.0

@@ -12,7 +12,8 @@ def test_entry_runs(spark):
 
 
 def test_library_stands_alone(monkeypatch):
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    for name in ("corpus_pipeline", "docloom.llm", "docloom.llm.queries"):
+        monkeypatch.setitem(sys.modules, name, None)
     fresh = importlib.reload(entry)
     assert set(fresh.queries()) == set(catalog.QUERIES)
     assert set(fresh.oracle_sql()) == set(catalog.ORACLE_SQL)

@@ -90,7 +90,7 @@ def plain_cells(strokes):
 
 def plain_tables(strokes):
     def meet(a, b):
-        return a[1] - 0.5 <= b[3] and b[1] <= a[3] + 0.5 and a[2] - 0.5 <= b[4] and b[2] <= a[4] + 0.5
+        return a[1] - 1 <= b[3] and b[1] <= a[3] + 1 and a[2] - 1 <= b[4] and b[2] <= a[4] + 1
 
     groups = [[strokes[i] for i in g] for g in together(strokes, meet)]
     boxes = [(min(s[1] for s in g), min(s[2] for s in g), max(s[3] for s in g), max(s[4] for s in g)) for g in groups]
@@ -208,5 +208,5 @@ def test_connected_boxes_agree_with_plain_comparison(spark, sf_dir):
     got = by_page(spatial.connected(strokes, 3.0, 1.0, "stroke").collect(), "stroke", "root")
     for page, own in pages.items():
         own = sorted(own)
-        groups = together(own, lambda a, b: a[1] - 3 <= b[3] and b[1] <= a[3] + 3 and a[2] - 1 <= b[4] and b[2] <= a[4] + 1)
+        groups = together(own, lambda a, b: a[1] - 6 <= b[3] and b[1] <= a[3] + 6 and a[2] - 2 <= b[4] and b[2] <= a[4] + 2)
         assert sorted(got[page]) == sorted((own[i][0], own[g[0]][0]) for g in groups for i in g)
