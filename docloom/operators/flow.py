@@ -114,5 +114,5 @@ def bottom_margins(depths: DataFrame, documents: DataFrame, full_pages: DataFram
     alone = full_pages.select("doc_id", F.explode(F.array(F.col("page_no") - 1, F.col("page_no"))).alias("page_no")).where("page_no >= 1")
     breaks = broken.unionByName(alone).groupBy("doc_id").agg(F.array_sort(F.collect_set("page_no")).alias("breaks"))
     found = documents.select("doc_id").join(margins, "doc_id", "left").join(breaks, "doc_id", "left")
-    value = F.coalesce(F.greatest(F.lit(1.0), _round_margin(F.col("b").cast("double"))), F.lit(USUAL_MARGIN))
+    value = F.when(F.col("b").isNull(), F.lit(USUAL_MARGIN)).otherwise(F.greatest(F.lit(1.0), _round_margin(F.col("b").cast("double"))))
     return found.select("doc_id", value.alias("margin"), F.coalesce("breaks", F.array().cast("array<int>")).alias("breaks"))
