@@ -73,11 +73,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of a scratch table that Spark may join by broadcast. It goes by the size of files, and a few megabytes of them can hold millions of rows.
+MOST_BROADCAST = 100_000
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, which cuts lineage."""
+    """``df`` as a Parquet table in the shared folder, which cuts lineage; one of many rows is joined by shuffle."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if out.count() > MOST_BROADCAST:
+        out = out.hint("merge")
     out.scratch = path
     return out
 
