@@ -38,11 +38,19 @@ def image_kind(content: Column) -> Column:
     )
 
 
+def _utf16(content: Column) -> Column:
+    """The text of UTF-16 bytes with a mark; characters of two units and those cut off come out as signs of replacement, and nothing is an error."""
+    units = F.regexp_extract_all(F.hex(content), F.lit("...."), F.lit(0))
+    ordered = F.when(_is(content, 0, "FFFE"), F.transform(units, lambda u: F.concat(F.substring(u, 3, 2), F.substring(u, 1, 2)))).otherwise(units)
+    whole = F.transform(ordered, lambda u: F.when(u.between("D800", "DFFF"), "FFFD").otherwise(u))
+    return F.decode(F.unhex(F.array_join(F.slice(whole, F.lit(2), F.greatest(F.size(whole) - 1, F.lit(0))), "")), "UTF-16BE")
+
+
 def file_kind(content: Column) -> Column:
     """Struct (kind, sub) of a file by its content, whatever its name. Archives come out as ``zip``, to be opened by ``zip_kind``."""
     head = F.substring(content, 1, 8192)
     image = image_kind(head)
-    text = F.when(_is(head, 0, "EFBBBF"), F.decode(F.substring(head, 4, 8189), "UTF-8")).when(_is(head, 0, "FFFE") | _is(head, 0, "FEFF"), F.decode(head, "UTF-16")).otherwise(F.decode(head, "ISO-8859-1"))
+    text = F.when(_is(head, 0, "EFBBBF"), F.make_valid_utf8(F.substring(head, 4, 8189).cast("string"))).when(_is(head, 0, "FFFE") | _is(head, 0, "FEFF"), _utf16(head)).otherwise(F.decode(head, "ISO-8859-1"))
     start = F.regexp_replace(text, r"^\s+", "")
     kind = lambda k, s: F.struct(F.lit(k).alias("kind"), (s if isinstance(s, Column) else F.lit(s).cast("string")).alias("sub"))
     pdf = F.contains(F.hex(F.substring(head, 1, 1024)), F.lit(b"%PDF-".hex().upper()))
