@@ -23,7 +23,7 @@ repeated rows give repeated rows; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,16 @@ MOST_FREQUENT, LEAST_FREQUENT = 200_000, 64
 MOST_GOING = 2_000_000
 
 
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that over half of the hashes in ``parts`` have; none of no hashes."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in parts:
+        bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The unsigned 64-bit SimHash of one whole text."""
     words = (text or "").encode().lower().split()
@@ -50,13 +60,9 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()
     stops = (ends[width - 1 :] - 1).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for at in range(0, len(starts), SHINGLES_AT_ONCE):
-        spans = zip(starts[at : at + SHINGLES_AT_ONCE], stops[at : at + SHINGLES_AT_ONCE], strict=True)
-        hashes = np.array([digest(joined[a:b], 42) for a, b in spans], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    parts = (zip(starts[at : at + SHINGLES_AT_ONCE], stops[at : at + SHINGLES_AT_ONCE], strict=True) for at in range(0, len(starts), SHINGLES_AT_ONCE))
+    return majority(np.array([digest(joined[a:b], 42) for a, b in spans], "<u8") for spans in parts)
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
