@@ -5,7 +5,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 
-from docloom.operators import spatial, tables
+from docloom.operators import chains, spatial, tables
 from docloom.plans import table_queries
 from docloom.session import table
 
@@ -210,3 +210,17 @@ def test_connected_boxes_agree_with_plain_comparison(spark, sf_dir):
         own = sorted(own)
         groups = together(own, lambda a, b: a[1] - 6 <= b[3] and b[1] <= a[3] + 6 and a[2] - 2 <= b[4] and b[2] <= a[4] + 2)
         assert sorted(got[page]) == sorted((own[i][0], own[g[0]][0]) for g in groups for i in g)
+
+
+@pytest.mark.parametrize("dense", [4096, 100])
+def test_connected_boxes_are_linked_without_pairs(spark, monkeypatch, dense):
+    """3,000 boxes that all meet make 4,498,500 pairs; only what hangs together differently in several cells may be linked."""
+    linked = []
+    monkeypatch.setattr(spatial, "DENSE", dense)
+    monkeypatch.setattr(spatial, "components", lambda edges, keys: linked.append(edges.count()) or chains.components(edges, keys))
+    same = spark.range(3000).selectExpr("'d' AS doc_id", "1 AS page_no", "id AS box", "10.0D AS x0", "20.0D AS y0", "90.0D + id % 3 AS x1", "30.0D AS y1")
+    chain = spark.range(200).selectExpr("'d' AS doc_id", "2 AS page_no", "199 - id AS box", "id * 20.0D AS x0", "7.0D AS y0", "id * 20.0D + 21 AS x1", "9.0D AS y1")
+    lost = spark.sql("SELECT 'd' AS doc_id, 1 AS page_no, 5000L AS box, CAST(NULL AS double) AS x0, 20.0D AS y0, 30.0D AS x1, 30.0D AS y1 UNION ALL SELECT NULL, 1, 5001L, 10.0D, 20.0D, 30.0D, 30.0D UNION ALL SELECT NULL, 1, 5002L, 10.0D, 20.0D, 30.0D, 30.0D")
+    found = spatial.connected(same.unionByName(chain).unionByName(lost), 0.5, 0.5).collect()
+    assert {(r.page_no, r.box, r.root) for r in found} == {(1, k, 0) for k in range(3000)} | {(2, k, 0) for k in range(200)} | {(1, k, k) for k in (5000, 5001, 5002)}
+    assert len(found) == 3203 and sum(linked) < 3000
