@@ -126,3 +126,48 @@ def test_boxes_grow_as_in_a_plain_loop(spark, sf_dir, name):
             inside = lambda b, page=page: sum(area(w) for w in words.get(page, []) if b[0] <= (w[0] + w[2]) / 2 <= b[2] and b[1] <= (w[1] + w[3]) / 2 <= b[3])
             expected = [b for b in expected if inside(b) < 0.15 * area(b)]
         assert sorted(found.get(page, [])) == sorted(expected), page
+
+
+@pytest.mark.parametrize("limits", [(2048, 1 << 20), (40, 500)])
+def test_lines_of_one_key_are_compared_as_one(spark, monkeypatch, limits):
+    import numpy as np
+
+    monkeypatch.setattr(layout, "LINES_AT_ONCE", limits[0])
+    monkeypatch.setattr(layout, "PAIRS_AT_ONCE", limits[1])
+    rng = np.random.default_rng(4)
+    rows = [("d", i % 2, int(rng.integers(0, 9)), int(rng.integers(0, 9)), float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(zip(rng.integers(0, 200, 160), rng.integers(0, 90, 160), rng.integers(1, 90, 160), rng.integers(4, 12, 160), strict=True))]
+    rows += [("d", 0, 3, 99, None, 5.0, None, 9.0), ("d", 0, 3, 98, 900.0, 5.0, 910.0, 9.0)]
+    lines = spark.createDataFrame(rows, "doc_id string, page_no int, block int, line int, x0 double, y0 double, x1 double, y1 double")
+    bounds, near = {}, {}
+    for _, page, block, line, x0, y0, x1, y1 in rows:
+        starts, ends = bounds.setdefault((page, block, line), ([], []))
+        above, below = near.setdefault((page, block, line), ([], []))
+        for _, p, _, _, u0, v0, u1, v1 in rows:
+            if p != page or x0 is None or u0 is None:
+                continue
+            if min(x1, u1) - max(x0, u0) > 0.3 * max(1.0, min(x1 - x0, u1 - u0)):
+                starts.append(u0), ends.append(u1)
+            if min(x1, u1) > max(x0, u0) and v1 - v0 >= 0.7 * (y1 - y0) and abs(y0 - v0) > 0.5 * (y1 - y0):
+                (above if y0 > v0 else below).append(abs(y0 - v0))
+    for key, (starts, ends) in list(bounds.items()):
+        starts.sort()
+        if starts:
+            bounds[key] = next((a for a, b in zip(starts, starts[1:], strict=False) if b - a <= 1.5), starts[0]), max(ends)
+        else:
+            del bounds[key]
+    assert {(r.page_no, r.block, r.line): (r.left, r.right) for r in layout.column_bounds(lines).collect()} == bounds
+    assert {(r.page_no, r.block, r.line): (r.above, r.below) for r in layout.neighbours(lines).collect()} == {k: (min(a, default=None), min(b, default=None)) for k, (a, b) in near.items()}
+
+
+def test_pages_are_compared_as_tables_of_numbers(spark):
+    """Lines that are compared with their page one by one take ten calls and more each; a page takes as many in all."""
+    calls = []
+
+    def compare(boxes, first, page):
+        calls.append(len(first))
+        assert len(first) == 86
+        return (page["x0"].sum() + boxes["x0"],)
+
+    lines = spark.range(860).selectExpr("id % 10 AS doc_id", "1 AS page_no", "id AS block", "CAST(id AS double) AS x0")
+    found = layout._compared(layout._beside_page(lines, ["block"], ["x0"]), ["block"], ["x0"], ["sum"], compare)
+    assert found.count() == 860
