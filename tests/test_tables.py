@@ -224,3 +224,12 @@ def test_connected_boxes_are_linked_without_pairs(spark, monkeypatch, dense):
     found = spatial.connected(same.unionByName(chain).unionByName(lost), 0.5, 0.5).collect()
     assert {(r.page_no, r.box, r.root) for r in found} == {(1, k, 0) for k in range(3000)} | {(2, k, 0) for k in range(200)} | {(1, k, k) for k in (5000, 5001, 5002)}
     assert len(found) == 3203 and sum(linked) < 3000
+
+
+def test_strokes_that_all_meet_make_no_pairs(spark, monkeypatch):
+    """20 lines each way, drawn ten times over: 79,800 pairs, none of which may be written or linked; one table of 19 by 19 cells."""
+    monkeypatch.setattr(spatial, "components", lambda edges, keys: pytest.fail("pairs of strokes"))
+    places = spark.range(400).selectExpr("'d' AS doc_id", "1 AS page_no", "id AS stroke", "id % 20 * 30.0D AS at", "id % 40 < 20 AS flat")
+    strokes = places.selectExpr("doc_id", "page_no", "stroke", "if(flat, 0.0D, at - 0.25D) AS x0", "if(flat, at - 0.25D, 0.0D) AS y0", "if(flat, 570.0D, at + 0.25D) AS x1", "if(flat, at + 0.25D, 570.0D) AS y1")
+    cells = tables.ruled_tables(strokes).collect()
+    assert sorted((c.row_no, c.col_no, c.row_span, c.col_span) for c in cells) == [(r, c, 1, 1) for r in range(19) for c in range(19)]
