@@ -171,3 +171,14 @@ def test_pages_are_compared_as_tables_of_numbers(spark):
     lines = spark.range(860).selectExpr("id % 10 AS doc_id", "1 AS page_no", "id AS block", "CAST(id AS double) AS x0")
     found = layout._compared(layout._beside_page(lines, ["block"], ["x0"]), ["block"], ["x0"], ["sum"], compare)
     assert found.count() == 860
+
+
+def test_images_meet_only_the_words_about_them(spark):
+    """Words far above and below tell nothing of an image and are in no pair with it; nearest lines within three points, of two as near the one above."""
+    far = spark.range(2000).selectExpr("'d' AS doc_id", "1 AS page_no", "0.0D AS x0", "id * 100.0D + 5000 AS y0", "9.0D AS x1", "id * 100.0D + 5010 AS y1", "id * 100.0D + 5008 AS y", "'w' AS text")
+    near = spark.createDataFrame([("d", 1, 60.0, 100.0, 70.0, 112.0, 108.0, "w"), ("d", 1, 80.0, 100.0, 90.0, 112.0, 112.0, "w"), ("d", 1, 60.0, 300.0, 70.0, 312.0, 309.0, "w")], "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double, y double, text string")
+    images = spark.createDataFrame([("d", 1, 1, 10.0, 90.0, 50.0, 110.0), ("d", 1, 2, 10.0, 200.0, 50.0, 220.0), ("d", 1, 3, 10.0, 280.0, 50.0, 305.0), ("d", 1, 4, 62.0, 290.0, 68.0, 309.0), ("e", 1, 5, 1.0, 1.0, 2.0, 7.0)], "doc_id string, page_no int, image_no int, x0 double, y0 double, x1 double, y1 double")
+    found = layout.images_in_lines(images, near.unionByName(far))
+    assert {(r.image_no, r.y) for r in found.collect()} == {(1, 108.0), (2, 220.0), (5, 7.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strip" in plan and "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
