@@ -50,7 +50,7 @@ def stroke_tables(strokes: DataFrame, gap: float = CONNECTED) -> DataFrame:
 
 
 def grid_lines(strokes: DataFrame, clearance: float = CLEARANCE, border: float = BORDER) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, page_no, table_no, flat, line, at): the lines of each table's grid, numbered from 0 in either direction; and ``strokes`` with their ``line``, ``low`` and ``high`` along it.
+    """(doc_id, page_no, table_no, flat, line, at): the lines of each table's grid, numbered from 0 in either direction; and ``strokes`` with their ``line``, its ``at``, ``low`` and ``high`` along it.
 
     Places within the clearance of the next are one line, at their mean. The table's edge is a line where the nearest is farther than
     the widest border.
@@ -71,12 +71,12 @@ def grid_lines(strokes: DataFrame, clearance: float = CLEARANCE, border: float =
     every = lines.unionByName(before).unionByName(behind)
     number = F.row_number().over(Window.partitionBy(*TABLE, "flat").orderBy("at", F.col("cluster").asc_nulls_last())) - 1
     grid = written(every.withColumn("line", number.cast("int")), "grid")
-    numbered = snapped.join(grid.where("cluster >= 0").select(*TABLE, "flat", "cluster", "line"), [*TABLE, "flat", "cluster"])
-    return grid.select(*TABLE, "flat", "line", "at"), numbered.select(*TABLE, "flat", "line", "low", "high")
+    numbered = snapped.join(grid.where("cluster >= 0").select(*TABLE, "flat", "cluster", "line", "at"), [*TABLE, "flat", "cluster"])
+    return grid.select(*TABLE, "flat", "line", "at"), numbered.select(*TABLE, "flat", "line", "at", "low", "high")
 
 
 def borders(grid: DataFrame, strokes: DataFrame) -> DataFrame:
-    """(doc_id, page_no, table_no, flat, line, across): the borders that are there, ``across`` being the row or column beside which a border stands.
+    """(doc_id, page_no, table_no, flat, line, place, across): the borders that are there, ``place`` being that of their line and ``across`` the row or column beside which a border stands.
 
     A stroke along one direction crosses the middles that lie within it. Middles and the ends of strokes are put in one order, so
     the middles before each end are counted without comparing strokes with rows.
@@ -85,17 +85,26 @@ def borders(grid: DataFrame, strokes: DataFrame) -> DataFrame:
     # Rows lie between flat lines and are crossed by upright strokes.
     middles = grid.withColumn("at", (F.col("at") + F.lead("at").over(rows)) / 2).where("at IS NOT NULL").select(*TABLE, (~F.col("flat")).alias("flat"), "at")
     # A middle counts for a low end at or before it, for a high end strictly before it.
-    marks = strokes.select(*TABLE, "flat", "line", F.struct("low", "high").alias("own"), F.explode(F.array(F.struct(F.col("low").alias("at"), F.lit(2).alias("kind")), F.struct(F.col("high").alias("at"), F.lit(0).alias("kind")))).alias("m"))
+    marks = strokes.select(*TABLE, "flat", "line", F.struct("low", "high", F.col("at").alias("place")).alias("own"), F.explode(F.array(F.struct(F.col("low").alias("at"), F.lit(2).alias("kind")), F.struct(F.col("high").alias("at"), F.lit(0).alias("kind")))).alias("m"))
     marks = marks.select(*TABLE, "flat", "line", "own", "m.at", "m.kind")
-    both = marks.unionByName(middles.withColumns({"line": F.lit(None).cast("int"), "own": F.lit(None).cast("struct<low:double,high:double>"), "kind": F.lit(1)}))
+    both = marks.unionByName(middles.withColumns({"line": F.lit(None).cast("int"), "own": F.lit(None).cast("struct<low:double,high:double,place:double>"), "kind": F.lit(1)}))
     order = Window.partitionBy(*TABLE, "flat").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     counted = both.withColumn("before", F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).over(order)).where("line IS NOT NULL")
     spans = counted.groupBy(*TABLE, "flat", "line", "own").agg(F.max(F.when(F.col("kind") == 2, F.col("before"))).alias("first"), F.max(F.when(F.col("kind") == 0, F.col("before"))).alias("end"))
-    crossed = spans.where(F.col("end") > F.col("first")).select(*TABLE, "flat", "line", F.explode(F.sequence("first", F.col("end") - 1)).alias("across"))
-    # The outer lines stand whole, drawn or not.
-    size = grid.groupBy(*TABLE, "flat").agg((F.max("line") - 1).alias("last")).where("last >= 0")
-    outer = size.select(*TABLE, (~F.col("flat")).alias("flat"), F.lit(0).alias("line"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("across"))
-    return crossed.select(*TABLE, "flat", "line", F.col("across").cast("int").alias("across")).unionByName(outer).distinct()
+    crossed = spans.where(F.col("end") > F.col("first")).select(*TABLE, "flat", "line", "own.place", F.explode(F.sequence("first", F.col("end") - 1)).alias("across"))
+    # The outer lines stand whole, drawn or not: the first flat one beside each column, the first upright one beside each row.
+    size = _extent(grid)
+    edge = lambda flat, place, n: F.when(F.col(n) > 0, F.struct(F.lit(flat).alias("flat"), F.col(place).alias("place"), F.sequence(F.lit(0), F.col(n) - 1).alias("all")))
+    outer = size.select(*TABLE, F.explode(F.array(edge(True, "top", "cols"), edge(False, "left", "rows"))).alias("e")).where("e IS NOT NULL")
+    outer = outer.select(*TABLE, "e.flat", F.lit(0).alias("line"), "e.place", F.explode("e.all").alias("across"))
+    return crossed.select(*TABLE, "flat", "line", "place", F.col("across").cast("int").alias("across")).unionByName(outer).distinct()
+
+
+def _extent(grid: DataFrame) -> DataFrame:
+    """(doc_id, page_no, table_no, rows, cols, left, top, right, bottom): the extent of each grid, null where it has no line in a direction."""
+    flat = lambda c, on=True: F.when(F.col("flat") == on, F.col(c))
+    ends = [F.min(flat("at", False)).alias("left"), F.min(flat("at")).alias("top"), F.max(flat("at", False)).alias("right"), F.max(flat("at")).alias("bottom")]
+    return grid.groupBy(*TABLE).agg(F.max(flat("line")).alias("rows"), F.max(flat("line", False)).alias("cols"), *ends)
 
 
 def _regions(cells: DataFrame) -> DataFrame:
@@ -105,20 +114,22 @@ def _regions(cells: DataFrame) -> DataFrame:
 
 
 def spanned_cells(grid: DataFrame, there: DataFrame) -> DataFrame:
-    """(doc_id, page_no, table_no, row_no, col_no, row_span, col_span): the cells of tables.
+    """(doc_id, page_no, table_no, row_no, col_no, row_span, col_span, x0, y0, x1, y1): the cells of tables.
 
     A cell begins where its left and its upper border are there and spans up to the next border in its row and its column. Where another
     cell begins within its region, the region doesn't merge: each grid cell of it is a cell. That may cut later regions, in reading
     order, so it is repeated until nothing changes.
     """
-    size = grid.groupBy(*TABLE).agg((F.max(F.when(F.col("flat"), F.col("line")))).alias("rows"), (F.max(F.when(~F.col("flat"), F.col("line")))).alias("cols")).where("rows > 0 AND cols > 0")
-    inner = there.join(size, TABLE)
-    left = inner.where("NOT flat AND line < cols").select(*TABLE, F.col("across").alias("row_no"), F.col("line").alias("col_no"), "cols")
-    upper = inner.where("flat AND line < rows").select(*TABLE, F.col("line").alias("row_no"), F.col("across").alias("col_no"), "rows")
-    wide = F.coalesce(F.lead("col_no").over(Window.partitionBy(*TABLE, "row_no").orderBy("col_no")), F.col("cols")) - F.col("col_no")
-    high = F.coalesce(F.lead("row_no").over(Window.partitionBy(*TABLE, "col_no").orderBy("row_no")), F.col("rows")) - F.col("row_no")
-    cells = left.withColumn("col_span", wide).join(upper.withColumn("row_span", high), [*TABLE, "row_no", "col_no"])
-    cells = written(cells.select(*TABLE, "row_no", "col_no", "row_span", "col_span"), "cells")
+    inner = there.join(_extent(grid).where("rows > 0 AND cols > 0"), TABLE)
+    along = Window.partitionBy(*TABLE, "row_no").orderBy("col_no")
+    down = Window.partitionBy(*TABLE, "col_no").orderBy("row_no")
+    left = inner.where("NOT flat AND line < cols").withColumns({"row_no": F.col("across"), "col_no": F.col("line")})
+    left = left.select(*TABLE, "row_no", "col_no", (F.coalesce(F.lead("col_no").over(along), "cols") - F.col("col_no")).alias("col_span"), F.col("place").alias("x0"), F.coalesce(F.lead("place").over(along), "right").alias("x1"))
+    upper = inner.where("flat AND line < rows").withColumns({"row_no": F.col("line"), "col_no": F.col("across")})
+    upper = upper.select(*TABLE, "row_no", "col_no", (F.coalesce(F.lead("row_no").over(down), "rows") - F.col("row_no")).alias("row_span"), F.col("place").alias("y0"), F.coalesce(F.lead("place").over(down), "bottom").alias("y1"))
+    # One row of each at a place at most. They are put together and not joined, as a join may send all of one side through the driver.
+    both = left.unionByName(upper, allowMissingColumns=True).groupBy(*TABLE, "row_no", "col_no").agg(*[F.max(c).alias(c) for c in ("row_span", "col_span", *BOX)])
+    cells = written(both.where("row_span IS NOT NULL AND col_span IS NOT NULL"), "cells")
     large = written(_regions(cells.where("row_span > 1 OR col_span > 1")), "regions")
     own = (F.col("r") == F.col("row_no")) & (F.col("c") == F.col("col_no"))
     begins = cells.select(*TABLE, F.col("row_no").alias("r"), F.col("col_no").alias("c"))
@@ -130,8 +141,11 @@ def spanned_cells(grid: DataFrame, there: DataFrame) -> DataFrame:
         cut = large.join(broken, place, "left_anti").where(~own).join(loose, [*TABLE, "r", "c"]).where(F.col("by") < F.struct("row_no", "col_no"))
         more = written(cut.select(*place).distinct(), "broken")
         if not more.head(1):
-            whole = cells.join(broken, place, "left_anti").unionByName(cells.join(broken, place, "left_semi").withColumns({"row_span": F.lit(1), "col_span": F.lit(1)}))
-            return whole.unionByName(loose.select(*TABLE, F.col("r").alias("row_no"), F.col("c").alias("col_no"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span")))
+            single = cells.join(broken, place, "left_semi").select(*place).unionByName(loose.select(*TABLE, F.col("r").alias("row_no"), F.col("c").alias("col_no")))
+            for low, high, flat, number in (("x0", "x1", "NOT flat", "col_no"), ("y0", "y1", "flat", "row_no")):
+                lines = Window.partitionBy(*TABLE).orderBy("line")
+                single = single.join(grid.where(flat).select(*TABLE, F.col("line").alias(number), F.col("at").alias(low), F.lead("at").over(lines).alias(high)), [*TABLE, number])
+            return cells.join(broken, place, "left_anti").unionByName(single.withColumns({"row_span": F.lit(1), "col_span": F.lit(1)}))
         broken = written(broken.unionByName(more), "broken")
     return cells
 
@@ -144,14 +158,7 @@ def ruled_tables(strokes: DataFrame) -> DataFrame:
     drawn = written(stroke_tables(strokes.where(" AND ".join(f"{c} IS NOT NULL" for c in BOX)).select(*PAGE, "stroke", *BOX)), "table-strokes")
     grid, lined = grid_lines(drawn)
     cells = spanned_cells(grid, written(borders(grid, lined), "borders"))
-
-    def edge(flat: bool, name: str) -> DataFrame:
-        return grid.where("flat" if flat else "NOT flat").select(*TABLE, F.col("line").alias(f"{name}_line"), F.col("at").alias(name))
-
-    placed = cells.withColumns({"x0_line": F.col("col_no"), "x1_line": F.col("col_no") + F.col("col_span"), "y0_line": F.col("row_no"), "y1_line": F.col("row_no") + F.col("row_span")})
-    for name in BOX:
-        placed = placed.join(edge(name[0] == "y", name), [*TABLE, f"{name}_line"])
-    return placed.select(*TABLE, *[F.col(c).cast("int").alias(c) for c in ("row_no", "col_no", "row_span", "col_span")], *BOX)
+    return cells.select(*TABLE, *[F.col(c).cast("int").alias(c) for c in ("row_no", "col_no", "row_span", "col_span")], *BOX)
 
 
 def _common(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ import pytest
 
 from docloom.operators import chains, spatial, tables
 from docloom.plans import table_queries
-from docloom.session import table
+from docloom.session import table, written
 
 EPS = 1e-9
 
@@ -233,3 +233,14 @@ def test_strokes_that_all_meet_make_no_pairs(spark, monkeypatch):
     strokes = places.selectExpr("doc_id", "page_no", "stroke", "if(flat, 0.0D, at - 0.25D) AS x0", "if(flat, at - 0.25D, 0.0D) AS y0", "if(flat, 570.0D, at + 0.25D) AS x1", "if(flat, at + 0.25D, 570.0D) AS y1")
     cells = tables.ruled_tables(strokes).collect()
     assert sorted((c.row_no, c.col_no, c.row_span, c.col_span) for c in cells) == [(r, c, 1, 1) for r in range(19) for c in range(19)]
+
+
+def test_borders_of_cells_are_not_joined(spark, monkeypatch):
+    """Left and upper borders have as many rows as there are cells, in small files; a join of theirs went through the driver. The joins left are those of either with the extents of tables."""
+    plans = {}
+    monkeypatch.setattr(tables, "written", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()) and written(df, label))
+    places = spark.range(8).selectExpr("'d' AS doc_id", "1 AS page_no", "id AS stroke", "id % 4 * 30.0D AS at", "id < 4 AS flat")
+    strokes = places.selectExpr("doc_id", "page_no", "stroke", "if(flat, 0.0D, at) AS x0", "if(flat, at, 0.0D) AS y0", "if(flat, 90.0D, at) AS x1", "if(flat, at, 90.0D) AS y1")
+    found = {(c.row_no, c.col_no): (c.x0, c.y0, c.x1, c.y1) for c in tables.ruled_tables(strokes).collect()}
+    assert found == {(r, c): (c * 30.0, r * 30.0, c * 30.0 + 30, r * 30.0 + 30) for r in range(3) for c in range(3)}
+    assert plans["cells"].count("Join ") == 2
