@@ -47,14 +47,15 @@ def meeting(a: DataFrame, b: DataFrame, dx: float = 0.0, dy: float = 0.0, side:
 
     Boxes that only touch meet unless ``touch`` is false.
     """
-    left = in_cells(a.select(*PAGE, *BOX, F.struct(*a.columns).alias("a")), dx, dy, side).alias("l")
-    right = in_cells(b.select(*PAGE, *BOX, F.struct(*b.columns).alias("b")), 0.0, 0.0, side).alias("r")
+    left, right = in_cells(a, dx, dy, side).alias("l"), in_cells(b, 0.0, 0.0, side).alias("r")
+    # The structs are made of what is joined; made before, places would be shuffled twice.
+    pair = [F.struct(*[F.col(f"{of}.{c}") for c in t.columns]).alias(name) for of, t, name in (("l", a, "a"), ("r", b, "b"))]
     x, y = F.greatest(F.col("l.x0") - dx, F.col("r.x0")), F.greatest(F.col("l.y0") - dy, F.col("r.y0"))
     width, height = F.least(F.col("l.x1") + dx, F.col("r.x1")) - x, F.least(F.col("l.y1") + dy, F.col("r.y1")) - y
     meet = (width >= 0) & (height >= 0) if touch else (width > 0) & (height > 0)
     owner = (cell(x, side) == F.col("l.cx")) & (cell(y, side) == F.col("l.cy"))
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*PAGE, "cx", "cy")]
-    return left.join(right, same[0] & same[1] & same[2] & same[3] & meet & owner).select(F.col("l.doc_id").alias("doc_id"), F.col("l.page_no").alias("page_no"), "a", "b")
+    return left.join(right, same[0] & same[1] & same[2] & same[3] & meet & owner).select(F.col("l.doc_id").alias("doc_id"), F.col("l.page_no").alias("page_no"), *pair)
 
 
 def points_in(points: DataFrame, boxes: DataFrame, x: Column, y: Column, side: float = CELL) -> tuple[DataFrame, DataFrame, Column]:

@@ -244,3 +244,12 @@ def test_borders_of_cells_are_not_joined(spark, monkeypatch):
     found = {(c.row_no, c.col_no): (c.x0, c.y0, c.x1, c.y1) for c in tables.ruled_tables(strokes).collect()}
     assert found == {(r, c): (c * 30.0, r * 30.0, c * 30.0 + 30, r * 30.0 + 30) for r in range(3) for c in range(3)}
     assert plans["cells"].count("Join ") == 2
+
+
+def test_places_of_boxes_that_meet_are_shuffled_once(spark):
+    """Rows are made structs when they have met; below the join a struct would hold the places that the row has too."""
+    boxes = spark.createDataFrame([("d", 1, 7, 0.0, 0.0, 9.0, 9.0), ("d", 1, 8, 5.0, 5.0, 40.0, 40.0)], "doc_id string, page_no int, k int, x0 double, y0 double, x1 double, y1 double")
+    pairs = spatial.meeting(boxes, boxes.drop("k"))
+    plan = pairs._jdf.queryExecution().analyzed().toString()
+    assert "struct(" in plan and plan.rindex("struct(") < plan.index("Join")
+    assert sorted((r.a.k, r.b.x0, r.b.y1) for r in pairs.collect()) == [(7, 0.0, 9.0), (7, 5.0, 40.0), (8, 0.0, 9.0), (8, 5.0, 40.0)]
