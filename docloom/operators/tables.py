@@ -11,10 +11,12 @@ when all lines of the run are laid over each other part its columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.chains import components, reached
+from docloom.operators.chains import components
 from docloom.operators.layout import chained, row_groups
 from docloom.operators.spatial import BOX, PAGE, connected, meeting
 from docloom.session import discard, written
@@ -25,6 +27,8 @@ CONNECTED, CLEARANCE, BORDER = 0.5, 2.0, 6.0
 FAR = 50.0
 #: Beyond every page.
 ENDLESS = 1e9
+#: Lines of a page whose rows stand in one list.
+MOST_LINES = 1 << 14
 TABLE = [*PAGE, "table_no"]
 
 
@@ -176,26 +180,69 @@ def _parted(strips: Column) -> Column:
     return F.size(strips) > 2
 
 
-def text_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``lines`` with ``row_no``, and (doc_id, page_no, row_no, island, k, strips) of the rows that have text beside text.
+def text_rows(lines: DataFrame, most: int = MOST_LINES) -> DataFrame:
+    """(doc_id, page_no, part, parts, rows): the rows of each page that have text beside text, from the top, as one list of structs (at, island, strips, lines).
 
-    ``strips``: the free intervals of the row, margins included. Rows that follow each other without one of a single column and
-    without a large distance between them are an island; ``k`` counts its rows from 1.
+    ``at`` counts them from 1. ``strips``: the free intervals of the row, margins included. ``lines``: line_no and x0 of each. Rows that follow each other without one
+    of a single column and without a large distance between them are an ``island``. A page of over ``most`` lines is several parts, counted from 0.
+    All follows from one order of the page, so lines are shuffled by their page and no further.
     """
-    placed = written(row_groups(lines), "rows")
     row = Window.partitionBy(*PAGE, "row_no").orderBy("x0", "x1")
-    reach = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
-    gaps = placed.withColumn("reach", reach)
-    gap = F.when(F.col("x0") > F.col("reach"), F.struct(F.col("reach").alias("low"), F.col("x0").alias("high")))
-    facts = gaps.groupBy(*PAGE, "row_no").agg(F.min("x0").alias("left"), F.max("x1").alias("right"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.array_sort(F.collect_list(gap)).alias("gaps"))
+    gaps = row_groups(lines).withColumn("reach", F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1)))
+    gap = F.when(F.col("x0") > F.col("reach"), F.struct(F.col("reach").cast("double").alias("low"), F.col("x0").cast("double").alias("high")))
+    ends = [F.min("x0").alias("left"), F.max("x1").alias("right"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
+    facts = gaps.groupBy(*PAGE, "row_no").agg(*ends, F.array_sort(F.collect_list(gap)).alias("gaps"), F.collect_list(F.struct("line_no", F.col("x0").cast("double").alias("x0"))).alias("lines"))
     page = Window.partitionBy(*PAGE).orderBy("row_no")
     parted = F.size("gaps") > 0
     cut = ~parted | ~F.coalesce(F.lag(parted).over(page), F.lit(False)) | (F.col("y0") - F.lag("y1").over(page) >= FAR)
     strip = lambda a, b: F.struct(a.cast("double").alias("low"), b.cast("double").alias("high"))
     strips = F.concat(F.array(strip(F.lit(-ENDLESS), F.col("left"))), "gaps", F.array(strip(F.col("right"), F.lit(ENDLESS))))
-    islands = facts.withColumn("island", F.sum(F.when(cut, 1).otherwise(0)).over(page.rowsBetween(Window.unboundedPreceding, 0))).where(parted)
-    k = F.row_number().over(Window.partitionBy(*PAGE, "island").orderBy("row_no"))
-    return placed, written(islands.select(*PAGE, "row_no", "island", k.alias("k"), strips.alias("strips")), "islands")
+    above = page.rowsBetween(Window.unboundedPreceding, 0)
+    islands = facts.withColumn("island", F.sum(F.when(cut, 1).otherwise(0)).over(above)).where(parted)
+    before = F.sum(F.size("lines")).over(above) - F.size("lines")
+    islands = islands.withColumn("part", F.floor(before / most)).withColumn("part", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("part")) - 1)
+    islands = islands.withColumns({"parts": F.max("part").over(Window.partitionBy(*PAGE)) + 1, "at": F.row_number().over(page)})
+    return islands.groupBy(*PAGE, "part", "parts").agg(F.sort_array(F.collect_list(F.struct("at", "island", strips.alias("strips"), "lines"))).alias("rows"))
+
+
+#: A run of rows: its first row, how many it has and the strips that they leave free; and what is known of a page's runs after some of its rows.
+RUN = "struct<first:int,n:int,strips:array<struct<low:double,high:double>>>"
+STATE = f"struct<done:array<{RUN}>,island:bigint,open:{RUN}>"
+
+
+def _ended(state: Column) -> Column:
+    """All runs of ``state``, with the open one."""
+    return F.concat(F.coalesce(state.done, F.array().cast(f"array<{RUN}>")), F.when(state.open.isNull(), F.array().cast(f"array<{RUN}>")).otherwise(F.array(state.open)))
+
+
+def _taken(rows: Column, state: Column) -> Column:
+    """``state`` after ``rows``: the runs that are done, and the open one. Each row joins the open run if that is of its island and a strip is left, else it begins a run.
+
+    A strip may be left by a run of whose first rows none was left, so runs can't be put together from halves.
+    """
+    new = lambda first, n, strips: F.struct(first.cast("int").alias("first"), n.cast("int").alias("n"), strips.alias("strips"))
+
+    def add(s: Column, x: Column) -> Column:
+        both = _common(s.open.strips, x.strips)
+        longer = F.coalesce((s.island == x.island) & _parted(both), F.lit(False))
+        done = F.when(longer, s.done).otherwise(_ended(s))
+        return F.struct(done.alias("done"), x.island.alias("island"), F.when(longer, new(s.open.first, s.open.n + 1, both)).otherwise(new(x["at"], F.lit(1), x.strips)).alias("open"))
+
+    return F.aggregate(rows, state, add)
+
+
+def _cells(run: Column, rows: Column) -> Column:
+    """For each row of a run the column and line_no of its lines."""
+    inner = _inner(run.strips)
+    return F.transform(F.slice(rows, run.first - rows[0]["at"] + 1, run.n), lambda row: F.transform(row.lines, lambda line: F.struct(_column(inner, line.x0).alias("col_no"), line.line_no.alias("line_no"))))
+
+
+def _inner(strips: Column) -> Column:
+    return F.slice(strips, F.lit(2), F.size(strips) - 2)
+
+
+def _column(inner: Column, x0: Column) -> Column:
+    return F.size(F.filter(inner, lambda s: s.high <= x0))
 
 
 def longest_runs(rows: DataFrame, all_parted: bool = True) -> DataFrame:
@@ -228,25 +275,54 @@ def longest_runs(rows: DataFrame, all_parted: bool = True) -> DataFrame:
     return found
 
 
-def aligned_tables(lines: DataFrame) -> DataFrame:
+def aligned_tables(lines: DataFrame, most: int = MOST_LINES) -> DataFrame:
     """(doc_id, page_no, table_no, row_no, col_no, line_no): the cell of each line (doc_id, page_no, line_no, box) of text that stands in columns without rules.
 
     Rows are lines whose heights overlap. From the first row of an island of rows with text beside text, a run takes rows while a
     free vertical strip is left through all of them; the next run begins where none would be. The strips part the columns. A run of two
     columns with one line at most in each cell reads as lines with a gap and isn't a table. Numbers count from 0; lines without a place take no part.
+
+    The runs of a page are taken one after the other where its rows are, part by part on a page of over ``most`` lines.
     """
-    placed, rows = text_rows(lines.where(" AND ".join(f"{c} IS NOT NULL" for c in BOX)).select(*PAGE, "line_no", *BOX))
-    runs = longest_runs(rows)
-    links = runs.select(*PAGE, "island", F.col("k").alias("at"), "next")
-    starts = reached(links, rows.where("k = 1").select(*PAGE, "island", F.col("k").alias("at")), [*PAGE, "island"])
-    first = runs.join(starts.withColumnRenamed("at", "k"), [*PAGE, "island", "k"]).select(*PAGE, "island", F.col("k").alias("from"), "next", "strips")
-    inner = F.slice("strips", F.lit(2), F.size("strips") - 2)
-    owned = rows.select(*PAGE, "island", "row_no", "k").join(first, [*PAGE, "island"]).where((F.col("k") >= F.col("from")) & (F.col("k") < F.col("next")))
-    owned = owned.select(*PAGE, "row_no", "island", "from", (F.col("k") - F.col("from")).alias("r"), inner.alias("strips"))
-    column = F.size(F.filter("strips", lambda s: s.high <= F.col("x0")))
-    cells = written(placed.join(owned, [*PAGE, "row_no"]).select(*PAGE, "island", "from", "r", column.alias("col_no"), F.size("strips").alias("parts"), "line_no"), "aligned")
-    crowded = cells.groupBy(*PAGE, "island", "from", "r", "col_no").agg(F.max("parts").alias("parts"), F.count("*").alias("n"))
-    real = crowded.groupBy(*PAGE, "island", "from").agg(F.max("n").alias("most"), F.max("parts").alias("parts")).where("parts > 1 OR most > 1")
-    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("island", "from")) - 1
-    tables = real.select(*PAGE, "island", "from", number.alias("table_no"))
-    return cells.join(tables, [*PAGE, "island", "from"]).select(*TABLE, F.col("r").cast("int").alias("row_no"), "col_no", "line_no")
+    placed = lines.where(" AND ".join(f"{c} IS NOT NULL" for c in (*PAGE, *BOX))).select(*PAGE, "line_no", *BOX)
+    pages = written(text_rows(placed, most), "text-rows")
+    rows = F.col("rows")
+    runs = F.transform(_ended(_taken(rows, F.lit(None).cast(STATE))), lambda run: F.struct((F.size(run.strips) > 3).alias("wide"), _cells(run, rows).alias("cells")))
+    crowded = lambda cells: F.exists(cells, lambda row: F.size(F.array_distinct(F.transform(row, lambda c: c.col_no))) < F.size(row))
+    whole = pages.where("parts = 1").select(*PAGE, F.posexplode(F.filter(runs, lambda run: run.wide | crowded(run.cells))).alias("table_no", "run"))
+    whole = whole.select(*TABLE, F.posexplode("run.cells").alias("row_no", "row")).select(*TABLE, "row_no", F.explode("row").alias("cell")).select(*TABLE, "row_no", "cell.*")
+    large = pages.where("parts > 1")
+    return whole.unionByName(_tables_in_parts(large)) if large.head(1) else whole
+
+
+def _runs_in_parts(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, from, next, strips): the runs of pages whose rows come in parts; a part begins with the run that the one before left open."""
+    last, states = pages.agg(F.max("part")).first()[0], []
+    for part in range(last + 1):
+        own = pages.where(F.col("part") == part)
+        before = F.lit(None).cast(STATE)
+        if states:
+            own = own.join(states[-1].select(*PAGE, F.struct(F.array().cast(f"array<{RUN}>").alias("done"), "state.island", "state.open").alias("before")), PAGE)
+            before = F.col("before")
+        states.append(written(own.select(*PAGE, (F.col("part") == F.col("parts") - 1).alias("last"), _taken(F.col("rows"), before).alias("state")), "part"))
+    done = F.when(F.col("last"), _ended(F.col("state"))).otherwise(F.col("state.done"))
+    runs = reduce(DataFrame.unionByName, [s.select(*PAGE, F.explode(done).alias("run")) for s in states])
+    runs = written(runs.select(*PAGE, F.col("run.first").alias("from"), (F.col("run.first") + F.col("run.n")).alias("next"), "run.strips"), "runs")
+    discard(*states)
+    return runs
+
+
+def _tables_in_parts(pages: DataFrame) -> DataFrame:
+    runs = _runs_in_parts(pages)
+    rows = pages.select(*PAGE, F.explode("rows").alias("row")).select(*PAGE, "row.at", "row.lines")
+    # Each row has the run that began last.
+    began = F.last("from", ignorenulls=True).over(Window.partitionBy(*PAGE).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    marks = rows.join(runs.select(*PAGE, F.col("from").alias("at"), "from"), [*PAGE, "at"], "left").withColumn("from", began)
+    owned = marks.join(runs.select(*PAGE, "from", _inner(F.col("strips")).alias("strips")), [*PAGE, "from"])
+    owned = owned.select(*PAGE, "from", (F.col("at") - F.col("from")).alias("r"), "strips", F.explode("lines").alias("line"))
+    cells = written(owned.select(*PAGE, "from", "r", _column(F.col("strips"), F.col("line.x0")).alias("col_no"), F.size("strips").alias("parts"), "line.line_no"), "aligned")
+    crowded = cells.groupBy(*PAGE, "from", "r", "col_no").agg(F.max("parts").alias("parts"), F.count("*").alias("n"))
+    real = crowded.groupBy(*PAGE, "from").agg(F.max("n").alias("most"), F.max("parts").alias("parts")).where("parts > 1 OR most > 1")
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("from")) - 1
+    tables = real.select(*PAGE, "from", number.alias("table_no"))
+    return cells.join(tables, [*PAGE, "from"]).select(*TABLE, F.col("r").cast("int").alias("row_no"), "col_no", "line_no")

@@ -27,12 +27,13 @@ def strokes_of(items: DataFrame) -> DataFrame:
 
 def lines_of(items: DataFrame) -> DataFrame:
     """Line items as lines of text, an order being a page: some stand beside each other in columns, some reach across them."""
-    number = F.row_number().over(Window.partitionBy("l_suppkey", "l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")) - 1
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")) - 1
     row, column = F.floor(number / 4), number % 4
     left = column * 120.0 + F.col("l_partkey") % 30
     wide = F.when(F.col("l_orderkey") % 11 == 0, 200.0).otherwise(40.0 + F.col("l_quantity"))
     top = row * 14.0 + F.floor(row / 9) * 60 + F.col("l_linenumber") % 3
-    lines = items.select(F.col("l_suppkey").alias("doc_id"), F.col("l_returnflag").alias("page_no"), number.alias("line_no"), left.alias("x0"), top.alias("y0"), (left + wide).alias("x1"), (top + 9.0).alias("y1"), F.concat_ws(" ", "l_linestatus", "l_orderkey").alias("text"), (F.col("l_orderkey") % 5).alias("kind"))
+    # Named before they are numbered, else Spark shuffles numbered lines by their page again.
+    lines = items.withColumnsRenamed({"l_suppkey": "doc_id", "l_returnflag": "page_no"}).select(*PAGE, number.alias("line_no"), left.alias("x0"), top.alias("y0"), (left + wide).alias("x1"), (top + 9.0).alias("y1"), F.concat_ws(" ", "l_linestatus", "l_orderkey").alias("text"), (F.col("l_orderkey") % 5).alias("kind"))
     return lines.where("kind <> 0 OR line_no % 4 = 0").drop("kind")
 
 

@@ -1,5 +1,6 @@
 """Ruled and aligned tables against plain loops over the same strokes and lines."""
 
+import re
 from collections import defaultdict
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -197,6 +198,38 @@ def test_aligned_tables_agree_with_a_plain_scan(spark, sf_dir):
 LINES = "doc_id int, page_no int, line_no int, x0 double, y0 double, x1 double, y1 double"
 
 
+def test_runs_end_where_no_strip_is_left_even_if_one_is_again_below(spark):
+    """The second row fills the gap of the first, the third leaves a strip beside both and so hides that; a page of such islands, and one of a single island in parts."""
+    rows = [[(0.0, 10.0), (20.0, 30.0)], [(5.0, 25.0), (28.0, 35.0)], [(0.0, 8.0), (45.0, 70.0), (100.0, 110.0)], [(0.0, 50.0), (60.0, 120.0)]]
+    islands = [(i * 7 + n, x0, i * 99.0 + r * 14, x1, i * 99.0 + r * 14 + 9) for i in range(10) for n, (r, x0, x1) in enumerate((r, *box) for r in range(3) for box in rows[r])]
+    single = [(i * 9 + n, x0, (i * 4 + r) * 14.0, x1, (i * 4 + r) * 14.0 + 9) for i in range(400) for n, (r, x0, x1) in enumerate((r, *box) for r in range(4) for box in rows[r])]
+    frame = spark.createDataFrame([(1, 1, *r) for r in islands] + [(1, 2, *r) for r in single], LINES)
+    got = by_page(tables.aligned_tables(frame, 1000).collect(), "table_no", "row_no", "col_no", "line_no")
+    assert len({r[0] for r in plain_aligned(islands)}) == 10
+    assert sorted(got[1, 1]) == plain_aligned(islands)
+    assert sorted(got[1, 2]) == plain_aligned(single)
+
+
+def test_long_runs_in_parts(spark):
+    """A run of 300 rows goes through parts of 50 lines, beside pages that are one part."""
+    lines = [(i * 2 + c, c * 50.0, i * 14.0, c * 50.0 + 20 + i % 3, i * 14.0 + 9) for i in range(300) for c in range(2) if (i, c) != (200, 1)]
+    lines += [(1000, 75.0, 0.0, 80.0, 9.0)]
+    rows = [(1, p, *r) for p in (1, 2) for r in lines if p == 1 or r[0] < 40]
+    got = by_page(tables.aligned_tables(spark.createDataFrame(rows, LINES), 50).collect(), "table_no", "row_no", "col_no", "line_no")
+    for p in (1, 2):
+        assert sorted(got.get((1, p), [])) == plain_aligned([r[2:] for r in rows if r[1] == p]), p
+
+
+def test_lines_are_shuffled_by_their_page_and_no_further(spark, sf_dir, monkeypatch):
+    """Rows, islands and runs follow from one order of a page."""
+    plans = {}
+    monkeypatch.setattr(tables, "written", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and written(df, label))
+    # Other rows than those that another test has cached.
+    found = tables.aligned_tables(table_queries.lines_of(table(spark, sf_dir, "lineitem").where("l_orderkey > 1")))
+    assert {label: re.findall(r"Exchange \w+", plan) for label, plan in plans.items()} == {"text-rows": ["Exchange hashpartitioning"]}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("rows", [[], [(1, 1, 0, 0.0, 0.0, 9.0, 9.0)], [(1, 1, 0, None, 0.0, 9.0, 9.0), (1, 1, 1, 20.0, 0.0, 29.0, 9.0)]])
 def test_no_aligned_table(spark, rows):
     assert tables.aligned_tables(spark.createDataFrame(rows, LINES)).collect() == []
