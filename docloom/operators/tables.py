@@ -60,23 +60,27 @@ def grid_lines(strokes: DataFrame, clearance: float = CLEARANCE, border: float =
     the widest border.
     """
     middle = F.round(F.when(F.col("flat"), F.col("y0") + F.col("y1")).otherwise(F.col("x0") + F.col("x1")) / 2, 1)
+    # The edges of the table as the strokes of both directions have them. All windows lie within a table, so strokes are shuffled by that once.
+    edge = lambda f, flat, upright: F.when(F.col("flat"), f(flat).over(Window.partitionBy(*TABLE))).otherwise(f(upright).over(Window.partitionBy(*TABLE)))
     placed = strokes.select(
-        *TABLE, "stroke", "flat", middle.alias("place"),
+        *TABLE, "stroke", "flat", middle.alias("place"), edge(F.min, "y0", "x0").alias("near"), edge(F.max, "y1", "x1").alias("far"),
         F.when(F.col("flat"), F.col("x0")).otherwise(F.col("y0")).alias("low"), F.when(F.col("flat"), F.col("x1")).otherwise(F.col("y1")).alias("high"),
     )
+    own, direction = Window.partitionBy(*TABLE, "flat", "cluster"), Window.partitionBy(*TABLE, "flat")
     snapped = chained(placed, [*TABLE, "flat"], "place", clearance, False, "stroke")
-    lines = snapped.groupBy(*TABLE, "flat", "cluster").agg(F.round(F.avg(F.col("place").cast("decimal(18, 1)")), 1).cast("double").alias("at"))
-    # The edges of the table as the other direction's strokes and its own have them.
-    reach = strokes.groupBy(*TABLE).agg(F.min("x0").alias("left"), F.min("y0").alias("top"), F.max("x1").alias("right"), F.max("y1").alias("bottom"))
-    ends = lines.groupBy(*TABLE, "flat").agg(F.min("at").alias("least"), F.max("at").alias("most")).join(reach, TABLE)
-    near, far = F.when(F.col("flat"), F.col("top")).otherwise(F.col("left")), F.when(F.col("flat"), F.col("bottom")).otherwise(F.col("right"))
-    before = ends.where(F.col("least") - near > border).select(*TABLE, "flat", F.lit(-1).alias("cluster"), near.alias("at"))
-    behind = ends.where(far - F.col("most") > border).select(*TABLE, "flat", F.lit(None).cast("int").alias("cluster"), far.alias("at"))
-    every = lines.unionByName(before).unionByName(behind)
-    number = F.row_number().over(Window.partitionBy(*TABLE, "flat").orderBy("at", F.col("cluster").asc_nulls_last())) - 1
-    grid = written(every.withColumn("line", number.cast("int")), "grid")
-    numbered = snapped.join(grid.where("cluster >= 0").select(*TABLE, "flat", "cluster", "line", "at"), [*TABLE, "flat", "cluster"])
-    return grid.select(*TABLE, "flat", "line", "at"), numbered.select(*TABLE, "flat", "line", "at", "low", "high")
+    snapped = snapped.withColumn("at", F.round(F.avg(F.col("place").cast("decimal(18, 1)")).over(own), 1).cast("double"))
+    snapped = snapped.withColumns({"before": F.min("at").over(direction) - F.col("near") > border, "behind": F.col("far") - F.max("at").over(direction) > border})
+    line = (F.col("cluster") + F.when(F.col("before"), 1).otherwise(0)).cast("int")
+    numbered = written(snapped.select(*TABLE, "flat", line.alias("line"), "at", "low", "high", F.when(F.col("before"), F.col("near")).alias("near"), F.when(F.col("behind"), F.col("far")).alias("far")), "lined")
+    lines = numbered.groupBy(*TABLE, "flat", "line").agg(*[F.first(c).alias(c) for c in ("at", "near", "far")])
+    last = F.lead("line").over(Window.partitionBy(*TABLE, "flat").orderBy("line")).isNull()
+    each = F.array(
+        F.struct("line", "at"),
+        F.when((F.col("line") == 1) & F.col("near").isNotNull(), F.struct(F.lit(0).alias("line"), F.col("near").alias("at"))),
+        F.when(F.col("last") & F.col("far").isNotNull(), F.struct((F.col("line") + 1).alias("line"), F.col("far").alias("at"))),
+    )
+    grid = lines.withColumn("last", last).select(*TABLE, "flat", F.explode(F.array_compact(each)).alias("e")).select(*TABLE, "flat", "e.line", "e.at")
+    return written(grid, "grid"), numbered.drop("near", "far")
 
 
 def borders(grid: DataFrame, strokes: DataFrame) -> DataFrame:
@@ -96,12 +100,13 @@ def borders(grid: DataFrame, strokes: DataFrame) -> DataFrame:
     counted = both.withColumn("before", F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).over(order)).where("line IS NOT NULL")
     spans = counted.groupBy(*TABLE, "flat", "line", "own").agg(F.max(F.when(F.col("kind") == 2, F.col("before"))).alias("first"), F.max(F.when(F.col("kind") == 0, F.col("before"))).alias("end"))
     crossed = spans.where(F.col("end") > F.col("first")).select(*TABLE, "flat", "line", "own.place", F.explode(F.sequence("first", F.col("end") - 1)).alias("across"))
-    # The outer lines stand whole, drawn or not: the first flat one beside each column, the first upright one beside each row.
+    # Each once, still within the tables' partitions. The outer lines stand whole, drawn or not: the first flat one beside each column, the first upright one beside each row.
+    crossed = crossed.where("line > 0").distinct()
     size = _extent(grid)
     edge = lambda flat, place, n: F.when(F.col(n) > 0, F.struct(F.lit(flat).alias("flat"), F.col(place).alias("place"), F.sequence(F.lit(0), F.col(n) - 1).alias("all")))
     outer = size.select(*TABLE, F.explode(F.array(edge(True, "top", "cols"), edge(False, "left", "rows"))).alias("e")).where("e IS NOT NULL")
     outer = outer.select(*TABLE, "e.flat", F.lit(0).alias("line"), "e.place", F.explode("e.all").alias("across"))
-    return crossed.select(*TABLE, "flat", "line", "place", F.col("across").cast("int").alias("across")).unionByName(outer).distinct()
+    return crossed.select(*TABLE, "flat", "line", "place", F.col("across").cast("int").alias("across")).unionByName(outer)
 
 
 def _extent(grid: DataFrame) -> DataFrame:
@@ -159,8 +164,7 @@ def ruled_tables(strokes: DataFrame) -> DataFrame:
 
     Rows and columns count from 0. Strokes without a place and groups in one direction alone make no table.
     """
-    drawn = written(stroke_tables(strokes.where(" AND ".join(f"{c} IS NOT NULL" for c in BOX)).select(*PAGE, "stroke", *BOX)), "table-strokes")
-    grid, lined = grid_lines(drawn)
+    grid, lined = grid_lines(stroke_tables(strokes.where(" AND ".join(f"{c} IS NOT NULL" for c in BOX)).select(*PAGE, "stroke", *BOX)))
     cells = spanned_cells(grid, written(borders(grid, lined), "borders"))
     return cells.select(*TABLE, *[F.col(c).cast("int").alias(c) for c in ("row_no", "col_no", "row_span", "col_span")], *BOX)
 

@@ -17,9 +17,10 @@ def strokes_of(items: DataFrame) -> DataFrame:
     place = (F.floor(F.col("l_partkey") / 2) % 7) * 20.0 + (F.col("l_orderkey") % 3) * 0.25
     low = (F.col("l_orderkey") % 6) * 20.0
     high = low + (F.floor(F.col("l_orderkey") / 6) % 4 + 1) * 20.0
-    number = F.row_number().over(Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")) - 1
-    return items.select(
-        F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), number.alias("stroke"),
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")) - 1
+    # Named before they are numbered, else Spark shuffles numbered strokes by their page again.
+    return items.withColumnsRenamed({"l_suppkey": "doc_id", "l_linenumber": "page_no"}).select(
+        *PAGE, number.alias("stroke"),
         F.when(flat, low).otherwise(place - 0.25).alias("x0"), F.when(flat, place - 0.25).otherwise(low).alias("y0"),
         F.when(flat, high).otherwise(place + 0.25).alias("x1"), F.when(flat, place + 0.25).otherwise(high).alias("y1"),
     )

@@ -279,6 +279,18 @@ def test_borders_of_cells_are_not_joined(spark, monkeypatch):
     assert plans["cells"].count("Join ") == 2
 
 
+def test_strokes_take_their_lines_with_one_shuffle(spark):
+    """Clusters, their places and the edges of the table are windows within a table; strokes met their grid by a join before."""
+    strokes = spark.range(8).selectExpr("'d' AS doc_id", "1 AS page_no", "0L AS table_no", "id AS stroke", "id < 4 AS flat", "id % 4 * 30.0D AS at").selectExpr("doc_id", "page_no", "table_no", "stroke", "flat", "if(flat, 0.0D, at) AS x0", "if(flat, at, 10.0D) AS y0", "if(flat, 97.0D, at) AS x1", "if(flat, at, 80.0D) AS y1")
+    plans = {}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tables, "written", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and written(df, label))
+        grid, lined = tables.grid_lines(strokes)
+    assert "Join" not in plans["lined"] + plans["grid"] and plans["lined"].count("Exchange ") == 1
+    assert sorted((r.flat, r.line, r["at"]) for r in grid.collect()) == [(False, k, k * 30.0) for k in range(4)] + [(False, 4, 97.0)] + [(True, k, k * 30.0) for k in range(4)]
+    assert sorted((r.flat, r.line, r.low, r.high) for r in lined.collect()) == [(False, k, 10.0, 80.0) for k in range(4)] + [(True, k, 0.0, 97.0) for k in range(4)]
+
+
 def test_places_of_boxes_that_meet_are_shuffled_once(spark):
     """Rows are made structs when they have met; below the join a struct would hold the places that the row has too."""
     boxes = spark.createDataFrame([("d", 1, 7, 0.0, 0.0, 9.0, 9.0), ("d", 1, 8, 5.0, 5.0, 40.0, 40.0)], "doc_id string, page_no int, k int, x0 double, y0 double, x1 double, y1 double")
