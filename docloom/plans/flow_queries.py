@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import clicked, flow
+from docloom.operators.spatial import PAGE
 from docloom.plans.registry import query
 from docloom.session import table
 
@@ -75,12 +76,13 @@ def flow_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def set_lines_of(items: DataFrame) -> DataFrame:
     """Line items as lines of set pages: most reach the right edge, some are short, indented, hang or stand apart."""
-    w = Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    w = Window.partitionBy(*PAGE).orderBy("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     part, order = F.col("l_partkey"), F.col("l_orderkey")
     thick = F.when(order % 19 == 0, 14.0).otherwise(10.0)
     apart = F.when(part % 29 == 0, 30.0).when(part % 31 == 0, 3.0).otherwise(0.0)
-    rows = items.select(
-        F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), (F.row_number().over(w) - 1).alias("at"), F.sum(F.lit(12.0) + apart).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("top"), thick.alias("thick"),
+    # Named before they are numbered, else Spark shuffles numbered lines by their page again.
+    rows = items.withColumnsRenamed({"l_suppkey": "doc_id", "l_linenumber": "page_no"}).select(
+        *PAGE, (F.row_number().over(w) - 1).alias("at"), F.sum(F.lit(12.0) + apart).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("top"), thick.alias("thick"),
         F.when(part % 7 == 0, 66.0).when(part % 13 < 3, 80.0).otherwise(50.0).alias("start"), F.when(order % 6 == 0, 300.0).when(order % 5 == 0, 524.0).otherwise(525.0).alias("end"),
     )
     return rows.select("doc_id", "page_no", "at", "top", (F.col("top") + F.col("thick")).alias("bottom"), "start", "end")
