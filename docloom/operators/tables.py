@@ -249,36 +249,6 @@ def _column(inner: Column, x0: Column) -> Column:
     return F.size(F.filter(inner, lambda s: s.high <= x0))
 
 
-def longest_runs(rows: DataFrame, all_parted: bool = True) -> DataFrame:
-    """(doc_id, page_no, island, k, next, strips): for each row the first one beyond it that leaves no strip free, and the strips free until there.
-
-    ``all_parted``: each row has a strip of its own, so that runs without one are of no use in longer ones.
-
-    The strips of twice as many rows are what those of two halves share; each row then adds halves from the largest down while a strip is left.
-    """
-    key = [*PAGE, "island", "k"]
-    spans, far = [rows.select(*key, "strips")], 1
-    while True:
-        ahead = spans[-1].select(*PAGE, "island", (F.col("k") - far).alias("k"), F.col("strips").alias("then"))
-        longer = spans[-1].join(ahead, key).select(*key, _common(F.col("strips"), F.col("then")).alias("strips"))
-        longer = written(longer.where(_parted(F.col("strips"))) if all_parted else longer, "spans")
-        if not longer.head(1):
-            discard(longer)
-            break
-        spans.append(longer)
-        far *= 2
-    found = rows.select(*key, (F.col("k") + 1).alias("next"), "strips")
-    for span in reversed(spans):
-        found = found.join(span.select(*PAGE, "island", F.col("k").alias("next"), F.col("strips").alias("then")), [*PAGE, "island", "next"], "left")
-        both = _common(F.col("strips"), F.col("then"))
-        take = F.coalesce(_parted(both), F.lit(False))
-        found = found.select(*key, F.when(take, F.col("next") + far).otherwise(F.col("next")).cast("int").alias("next"), F.when(take, both).otherwise(F.col("strips")).alias("strips"))
-        far //= 2
-    found = written(found, "runs")
-    discard(*spans[1:])
-    return found
-
-
 def aligned_tables(lines: DataFrame, most: int = MOST_LINES) -> DataFrame:
     """(doc_id, page_no, table_no, row_no, col_no, line_no): the cell of each line (doc_id, page_no, line_no, box) of text that stands in columns without rules.
 

@@ -64,13 +64,14 @@ def aligned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def columned_lines_of(items: DataFrame) -> DataFrame:
     """Line items as lines of pages that change between one and two columns."""
-    number = F.row_number().over(Window.partitionBy("l_suppkey", "l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")) - 1
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")) - 1
     row, right, part = F.floor(F.col("number") / 2), F.col("number") % 2 == 1, F.col("l_partkey")
     whole = F.floor(F.col("number") / 24) % 3 == 0
     left = F.when(right, 310.0 - part % 41 * F.when(part % 23 == 0, 3).otherwise(0)).otherwise(50.0 + part % 3)
     end = F.when(whole & (part % 5 > 0), 540.0).when(right, 540.0 - part % 90).otherwise(290.0 - part % 80)
-    rows = items.withColumn("number", number).select(
-        F.col("l_suppkey").alias("doc_id"), F.col("l_returnflag").alias("page_no"), F.col("number").alias("line_no"), left.alias("x0"), (row * 14.0 + F.when(whole & right, 7.0).otherwise(0.0)).alias("y0"),
+    # Named before they are numbered, else Spark shuffles numbered lines by their page again.
+    rows = items.withColumnsRenamed({"l_suppkey": "doc_id", "l_returnflag": "page_no"}).withColumn("number", number).select(
+        *PAGE, F.col("number").alias("line_no"), left.alias("x0"), (row * 14.0 + F.when(whole & right, 7.0).otherwise(0.0)).alias("y0"),
         end.alias("x1"), (row * 14.0 + F.when(whole & right, 7.0).otherwise(0.0) + 6).alias("y1"), F.lit(50.0).alias("page_left"), F.lit(545.0).alias("page_right"), (F.col("l_orderkey") % 9).alias("kind"),
     )
     return rows.where("kind > 0").drop("kind")
